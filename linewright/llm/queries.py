@@ -6,9 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP9_SQL, op9_poisson_mix
+from .near_duplicates import op10_ngram_jaccard
 from .packing import op3_packing
+from .quality import op6_quality_rules
 from .token_counts import op1_token_counts
+from .toxicity import op8_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_packing)}
 
-ORACLES: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over `documents`."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_packing, op6_quality_rules, op8_toxicity, op9_poisson_mix, op10_ngram_jaccard, pipeline)}
+
+ORACLES: dict[str, str] = {"op9_poisson_mix": OP9_SQL}

@@ -76,9 +76,9 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^ \\t-\\r]+ of all documents, and the first word of each document (with the total last)."""
-    inside = ~_SEP[raw]
+def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^ \\t-\\r]+ of all documents, and the first word of each document (with the total last). `apart`: another table of the bytes between words."""
+    inside = ~apart[raw]
     before = np.zeros(len(raw) + 1, bool)
     before[1:] = inside
     first = offsets[:-1][np.diff(offsets) > 0]
