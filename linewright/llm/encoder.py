@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a worker keeps; past that the memo starts anew.
-MEMO_ENTRIES = 400_000
+#: Entries that a worker keeps, of about 200 bytes each; past that only what the batch at hand has is kept.
+MEMO_ENTRIES = 1_200_000
 #: Longer chunks are encoded each time they occur.
 MEMO_CHARS = 48
 _UNSAFE = re.compile(r" \s|\s ")
@@ -31,17 +30,21 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
         parts = [None if x and _UNSAFE.search(x) else (x or "").split(" ") for x in texts]
+        heads, tails = set(), set()
+        for chunks in parts:
+            if chunks:
+                heads.add(chunks[0])
+                tails.update(chunks)
         if len(self.first) + len(self.spaced) > MEMO_ENTRIES:
-            self.first, self.spaced = {}, {}
-        heads = {x[0] for x in parts if x} - self.first.keys()
-        tails = set().union(*(x[1:] for x in parts if x)) - self.spaced.keys()
+            self.first = {k: self.first[k] for k in heads & self.first.keys()}
+            self.spaced = {k: self.spaced[k] for k in tails & self.spaced.keys()}
         long_first, long_spaced = {}, {}
-        for new, lead, short, long in ((list(heads), "", self.first, long_first), (list(tails), " ", self.spaced, long_spaced)):
+        for new, lead, short, long in ((list(heads - self.first.keys()), "", self.first, long_first), (list(tails - self.spaced.keys()), " ", self.spaced, long_spaced)):
             for text, ids in zip(new, self._encode([lead + x for x in new]), strict=True):
                 (short if len(text) <= MEMO_CHARS else long)[text] = ids
         out = []

@@ -69,17 +69,16 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     np.subtract.at(cover, twice + WINDOW, 1)
     repeated = np.cumsum(cover[:-1]) > 0
 
-    newline = raw == 10
-    line_starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(newline) + 1]))
+    breaks = np.flatnonzero(raw == 10)
+    line_starts = np.unique(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks + 1]))
     line_starts = line_starts[line_starts < len(raw)]
-    stops = np.unique(np.concatenate([np.flatnonzero(newline), offsets[1:]]))
-    line_ends = stops[np.searchsorted(stops, line_starts)] if len(line_starts) else line_starts
+    line_ends = np.minimum(np.append(breaks, len(raw))[np.searchsorted(breaks, line_starts)], offsets[np.searchsorted(offsets, line_starts, "right")])
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
     line_doc = np.searchsorted(offsets, line_starts, "right") - 1
     lines = np.bincount(line_doc, minlength=n)
-    distinct = np.unique(np.stack([line_doc.astype(np.uint64), span_hashes(raw, line_starts, line_ends)]), axis=1)
-    unlike = np.bincount(distinct[0].astype(np.int64), minlength=n)
+    _, first = np.unique(mix(span_hashes(raw, line_starts, line_ends) ^ mix(line_doc.astype(np.uint64) + np.uint64(1))), return_index=True)
+    unlike = np.bincount(line_doc[first], minlength=n)
     by_word = [np.bincount(doc[m], minlength=n) for m in (repeated, stutter)]
     return np.stack([counts, chars, per_doc(_SYMBOL[raw]), lines - unlike, by_word[0], per_doc(_MARK[raw]), per_doc(capitals), by_word[1], lines], axis=1).astype(np.int64)
 
