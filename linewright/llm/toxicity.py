@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from .textkit import remainder, slices, span_hashes, table, words
 
 BUCKET_BITS = 18
-#: The model is fitted on about so many labelled rows of either class at most, drawn by a hash of their ids.
-SAMPLE_ROWS = 3000
-#: A word must occur in so many sampled documents to get a weight.
-LEAST_DOCS = 8
-EPOCHS = 150
-DECAY = 2e-3
+#: The model is fitted on about so many labelled rows that are not toxic (0) and that are (1) at most, drawn by a hash of their ids.
+SAMPLE_ROWS = {0: 12_000, 1: 4000}
+#: To get a weight, a word must occur in so many sampled documents, and the number of toxic ones among them must be so many standard deviations off.
+LEAST_DOCS = 5
+LEAST_DEVIATION = 3.5
+EPOCHS = 200
+#: Strength of the absolute penalty, over the square root of the number of sampled rows: words that tell nothing get no weight.
+PENALTY = 0.002
+RATE = 0.1
 _CLOSERS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()[]*#$%&|", np.uint8))
 _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
@@ -35,8 +38,11 @@ def sentences(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     A sentence ends after a word whose last character is . ! or ?, at a line's end and at the document's end.
     """
     starts, ends, bounds = words(raw, offsets)
+    capital = np.zeros(len(raw), bool)
+    capital[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)
+    raw = raw + (capital * 32).astype(np.uint8)  # the two-byte capitals of Latin-1
     trimmed = ends.copy()
-    for _ in range(3):
+    for _ in range(6):
         strip = (trimmed - starts > 1) & _CLOSERS[raw[np.maximum(trimmed - 1, 0)]] if len(raw) else np.zeros(0, bool)
         trimmed -= strip
     buckets = (span_hashes(raw, starts, trimmed, lower=True) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -69,11 +75,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(buckets: np.ndarray, heads: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> Model:
-    """Weights that maximise the likelihood of the document labels under the noisy-or, by full-batch Adam with decay."""
+    """Weights that maximise the likelihood of the document labels under the noisy-or, less an absolute penalty, by proximal steps with a rate for each weight."""
     size = 1 << BUCKET_BITS
     owner = np.repeat(doc, np.diff(np.append(heads, len(buckets))))
-    spread = np.bincount(np.unique(owner * size + buckets) % size, minlength=size)
-    known = np.flatnonzero(spread >= LEAST_DOCS)
+    present = np.unique(owner * size + buckets)
+    spread = np.bincount(present % size, minlength=size)
+    bad = np.bincount(present % size, toxic[present // size], minlength=size)
+    usual = toxic.mean()
+    known = np.flatnonzero((spread >= LEAST_DOCS) & (np.abs(bad - spread * usual) >= LEAST_DEVIATION * np.sqrt(spread * usual * (1 - usual))))
     column = np.full(size, len(known))
     column[known] = np.arange(len(known))
     x = column[buckets]
@@ -82,30 +91,31 @@ def fit(buckets: np.ndarray, heads: np.ndarray, doc: np.ndarray, toxic: np.ndarr
     x = x[used]
     w, n = np.zeros(len(known) + 1), len(toxic)
     w[-1] = -5.0
-    first, second = np.zeros_like(w), np.zeros_like(w)
+    mean, square, limit = np.zeros_like(w), np.zeros_like(w), PENALTY / np.sqrt(n)
     for step in range(1, EPOCHS + 1):
         z = np.bincount(sentence, w[x], minlength=len(heads)) + w[-1]
         total = np.bincount(doc, np.logaddexp(0, z), minlength=n)
         pull = np.where(toxic == 1, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
         g = pull[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
         grad = np.append(np.bincount(x, g[sentence], minlength=len(known)), g.sum()) / n
-        grad[:-1] += DECAY * w[:-1] / 10
-        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        w -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        rate = RATE / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        w -= rate * mean
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - np.minimum(rate[:-1] * limit, RATE), 0)
     weights = np.zeros(size, np.float32)
     weights[known] = w[:-1]
     return Model(weights, float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most about SAMPLE_ROWS of either class.
+    """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most about SAMPLE_ROWS of each class.
 
     A document with several labels counts as toxic if one says so. Without labelled rows of both classes the model gives every sentence the same low score.
     """
     learn = labels.where("toxic is not null").where(remainder("doc_id", 5) != 0).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}
     share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
-    sample = learn.where(" or ".join(f"toxic = {t}" for t in (0, 1))).where(F.when(F.col("toxic") == 1, share < SAMPLE_ROWS / max(counts.get(1, 1), 1)).otherwise(share < SAMPLE_ROWS / max(counts.get(0, 1), 1)))
+    sample = learn.where(" or ".join(f"toxic = {t}" for t in (0, 1))).where(F.when(F.col("toxic") == 1, share < SAMPLE_ROWS[1] / max(counts.get(1, 1), 1)).otherwise(share < SAMPLE_ROWS[0] / max(counts.get(0, 1), 1)))
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "id").select(F.col("id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text")
     rows = texts.mapInArrow(_features, "doc_id long, toxic int, buckets binary, lengths binary").orderBy("doc_id").collect()
     toxic = np.array([r["toxic"] for r in rows], np.int64)
