@@ -49,8 +49,8 @@ def fixed_sketch(hashes: str) -> Column:
     return F.expr(f"array_join(flatten(transform(sequence(0, 2), t -> transform(sequence(0, {PRINT_WIDTH - 1}), j -> {one}))), ',')")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """Rows (bucket, place, doc_id, text, next_text) in ascending doc_id (ties by text, nulls first); after the last comes the first.
+def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (bucket, place, doc_id, text, next_text) in ascending doc_id (ties by text, nulls first), after the last the first; and the number of buckets.
 
     The ids are dealt by approximate quantiles into buckets of bounded size, so there is one shuffle of the texts, and only the last row of
     each bucket needs the first of another.
@@ -75,11 +75,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     first_ids = stored(texts.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.col("doc_id").alias("doc_id"))).alias("first")).select("bucket", "first.doc_id"), "first-ids")
     present = sorted(r["bucket"] for r in first_ids.select("bucket").collect())
     if not present:
-        return rows
+        return rows, n
     follows = spark.createDataFrame([(b, present[(k + 1) % len(present)]) for k, b in enumerate(present)], "bucket int, after int")
     first_texts = texts.join(F.broadcast(first_ids.withColumnRenamed("doc_id", "first_id")), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("bucket").agg(F.min("text").alias("first_text"))
     after = follows.join(first_texts.withColumnRenamed("bucket", "after"), "after").select("bucket", "first_text")
-    return rows.join(after, "bucket", "left").withColumn("next_text", F.coalesce("next_text", "first_text")).drop("first_text")
+    return rows.join(after, "bucket", "left").withColumn("next_text", F.coalesce("next_text", "first_text")).drop("first_text"), n
 
 
 def _place(t: str, key: str) -> str:
@@ -150,10 +150,10 @@ def op4_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null text is empty; two empty sets are alike (1). Repeated rows each have the next row of the order as neighbour.
     """
-    near = neighbours(table(spark, sf_dir, "documents"))
+    near, n = neighbours(table(spark, sf_dir, "documents"))
     edited = near.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 4) as int)), left(next_text, cast(floor(n_chars / 4) as int)))"))
     rows = edited.select("bucket", "place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("new"), digests("next_text").alias("next"))
-    kept = _bucketed(rows)
+    kept = _bucketed(rows, n)
     solved = likeness(kept, [("own", "new", 0.35), ("own", "next", 1.0)])
     every = solved[0]
     for more in solved[1:]:
@@ -164,10 +164,9 @@ def op4_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *alike)
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
+def _bucketed(rows: DataFrame, n: int) -> DataFrame:
     """The rows as a table in the shared folder that is bucketed as they are distributed, so that later sums by bucket need no shuffle."""
     spark = rows.sparkSession
     name = f"sketch_{uuid.uuid4().hex}"
-    n = rows.rdd.getNumPartitions() if False else spark.conf.get("spark.sql.shuffle.partitions")
-    rows.write.bucketBy(int(n), "bucket").option("path", scratch(spark, "sketch")).saveAsTable(name)
+    rows.write.bucketBy(n, "bucket").option("path", scratch(spark, "sketch")).saveAsTable(name)
     return spark.table(name)
