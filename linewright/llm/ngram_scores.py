@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .textkit import mix, remainder, scratch, slices, span_hashes, stored, table, words
 
 #: Tokens of a part, and requests that one bucket of hashes answers.
-PART_TOKENS = 1_500_000
-BUCKET_KEYS = 3_000_000
+PART_TOKENS = 600_000
+BUCKET_KEYS = 1_000_000
 #: Bytes of text behind one table bucket.
 TABLE_BYTES = 24_000_000
 #: Mixture weights are learned for each power of two of the context's count.
