@@ -1 +1 @@
-
+"""Column expressions: character classes, cleaning, tokens, direction, widths."""
