@@ -12,11 +12,11 @@ LEAST_WIDTH = 40
 LEAST_SHARE = 0.9
 
 
-def soft_unwrap(lines: DataFrame) -> DataFrame:
+def soft_unwrap(lines: DataFrame, members: str | None = None) -> DataFrame:
     """Rows (doc_id, line_no, …) with wrapped lines joined to the line that starts them; lines of tables (table_id), boxes, code, diffs or with a tail stay.
 
     A block is a run of such lines with equal gutter. Inside it a line ends a run where a sentence ends or the direction changes.
-    In a run the first line that is wide enough and all after it are one line, as a joined line only grows; lines before stay alone.
+    In a run the first line that is wide enough and all after it are one line, as a joined line only grows; lines before stay alone. `members` names a column for the contents of the lines that were joined.
     """
     free = F.col("table_id").isNull() & ~F.col("boxed") & ~F.col("code") & ~F.col("diff") & (F.col("tail") == "") & ~T.is_blank("content")
     order = Window.partitionBy("doc_id").orderBy("line_no")
@@ -34,5 +34,5 @@ def soft_unwrap(lines: DataFrame) -> DataFrame:
     merged = F.sort_array(F.collect_list(F.struct("line_no", "content")))
     joined = rows.groupBy("doc_id", F.col("head").alias("line_no")).agg(F.min_by(F.struct(*kept), "line_no").alias("f"), merged.alias("m"))
     between = lambda x, i: F.when(F.size("m") == 1, x.content).otherwise(F.when(i == 0, T.trim_ws(x.content, "right")).when(i == F.size("m") - 1, T.trim_ws(x.content, "left")).otherwise(T.trim_ws(x.content)))
-    out = joined.select("doc_id", "line_no", *(F.col(f"f.{c}").alias(c) for c in kept), F.array_join(F.transform("m", between), " ").alias("content"))
+    out = joined.select("doc_id", "line_no", *(F.col(f"f.{c}").alias(c) for c in kept), F.array_join(F.transform("m", between), " ").alias("content"), *([F.transform("m", lambda x: x.content).alias(members)] if members else []))
     return out.withColumn("marked", T.marked("content"))
