@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; longer texts are passed alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _MULT = 0x9E3779B97F4A7C15
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
