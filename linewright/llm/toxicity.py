@@ -14,7 +14,7 @@ from .textkit import remainder, slices, span_hashes, table, words
 
 BUCKET_BITS = 18
 #: The model is fitted on about so many labelled rows that are not toxic (0) and that are (1) at most, drawn by a hash of their ids.
-SAMPLE_ROWS = {0: 12_000, 1: 4000}
+SAMPLE_ROWS = {0: 6000, 1: 2500}
 #: To get a weight, a word must occur in so many sampled documents, and the number of toxic ones among them must be so many standard deviations off.
 LEAST_DOCS = 5
 LEAST_DEVIATION = 3.5
@@ -79,6 +79,7 @@ def fit(buckets: np.ndarray, heads: np.ndarray, doc: np.ndarray, toxic: np.ndarr
     size = 1 << BUCKET_BITS
     owner = np.repeat(doc, np.diff(np.append(heads, len(buckets))))
     present = np.unique(owner * size + buckets)
+    owner = None
     spread = np.bincount(present % size, minlength=size)
     bad = np.bincount(present % size, toxic[present // size], minlength=size)
     usual = toxic.mean()
