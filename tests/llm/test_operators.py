@@ -110,7 +110,7 @@ def test_scores(docs, none, rows):
 
 def test_learned_weights_sum_to_one_and_prefer_what_predicts():
     cells = np.zeros((ngram_scores.CONTEXT_BINS, ngram_scores.LOG_BINS + 1, ngram_scores.LOG_BINS + 1), np.int64)
-    cells[3, 55, 20], cells[5, 0, 40] = 100, 100
+    cells[3, 55, 20], cells[5, 0, 50] = 100, 100
     weights = ngram_scores.learn_weights(cells.ravel(), 1000)
     assert np.allclose(weights.sum(axis=1), 1)
     assert weights[3, 2] > 0.9 and weights[5, 1] > 0.9
