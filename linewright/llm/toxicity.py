@@ -74,8 +74,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x for x, _ in spans], pa.binary()), pa.array([x for _, x in spans], pa.binary())], ["doc_id", "toxic", "buckets", "lengths"])
 
 
-def fit(buckets: np.ndarray, heads: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> Model:
-    """Weights that maximise the likelihood of the document labels under the noisy-or, less an absolute penalty, by proximal steps with a rate for each weight."""
+def fit(buckets: np.ndarray, heads: np.ndarray, doc: np.ndarray, toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Weights that maximise the likelihood of the document labels under the noisy-or, less an absolute penalty, by proximal steps with a rate for each weight. `weight`: of rows that are not toxic and that are, which undoes unequal sampling."""
     size = 1 << BUCKET_BITS
     owner = np.repeat(doc, np.diff(np.append(heads, len(buckets))))
     present = np.unique(owner * size + buckets)
@@ -96,7 +96,7 @@ def fit(buckets: np.ndarray, heads: np.ndarray, doc: np.ndarray, toxic: np.ndarr
     for step in range(1, EPOCHS + 1):
         z = np.bincount(sentence, w[x], minlength=len(heads)) + w[-1]
         total = np.bincount(doc, np.logaddexp(0, z), minlength=n)
-        pull = np.where(toxic == 1, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
+        pull = np.where(toxic == 1, -weight[1] / np.expm1(np.clip(total, 1e-6, 500)), weight[0])
         g = pull[doc] / (1 + np.exp(-np.clip(z, -500, 500)))
         grad = np.append(np.bincount(x, g[sentence], minlength=len(known)), g.sum()) / n
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
@@ -125,7 +125,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     buckets = np.frombuffer(b"".join(r["buckets"] for r in rows), "<u4").astype(np.int64)
     lengths = np.frombuffer(b"".join(r["lengths"] for r in rows), "<u4").astype(np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r["lengths"]) // 4 for r in rows])
-    return fit(buckets, np.concatenate([[0], np.cumsum(lengths)])[:-1], doc, toxic)
+    every = [max(counts.get(t, 1), SAMPLE_ROWS[t]) / SAMPLE_ROWS[t] for t in (0, 1)]
+    mean = (every[0] * (toxic == 0).sum() + every[1] * (toxic == 1).sum()) / len(toxic)
+    return fit(buckets, np.concatenate([[0], np.cumsum(lengths)])[:-1], doc, toxic, (every[0] / mean, every[1] / mean))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
