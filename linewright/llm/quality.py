@@ -83,17 +83,17 @@ def measure(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([counts, chars, per_doc(_SYMBOL[raw]), lines - unlike, by_word[0], per_doc(_MARK[raw]), per_doc(capitals), by_word[1], lines], axis=1).astype(np.int64)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, raw, offsets in slices(batches, "__text"):
-        columns = measure(raw, offsets)
-        kept = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *(pa.array(c) for c in columns.T)], [*(batch.schema.names[k] for k in kept), *(f"__{m}" for m in MEASURES)])
+def with_measures(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """The columns of `docs` (without the text, if asked) and those of MEASURES, each with two underscores before its name; null counts as empty."""
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, offsets in slices(batches, text_col):
+            columns = measure(raw, offsets)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c) for c in columns.T)], [*(f.name for f in kept), *(f"__{m}" for m in MEASURES)])
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of `docs` and those of MEASURES, each with two underscores before its name; null counts as empty."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(_measured, schema + "".join(f", __{m} long" for m in MEASURES))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"__{m} long" for m in MEASURES]
+    return docs.mapInArrow(run, ", ".join(schema))
 
 
 def binomial_bound(hits: int, trials: int, alpha: float) -> float:
@@ -168,7 +168,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Empty texts fail the base rule; equal rows share their fate; an empty table stays empty.
     """
-    narrow = stored(with_measures(docs.select("doc_id", "lang", "text")).drop("text"), "measures")
+    narrow = stored(with_measures(docs.select("doc_id", "lang", "text"), keep_text=False), "measures")
     cutoffs = choose_cutoffs(narrow, labels)
     return verdict(with_measures(docs), cutoffs).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
@@ -176,6 +176,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of all `documents`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    measured = stored(with_measures(docs).drop("text"), "measures")
+    measured = stored(with_measures(docs, keep_text=False), "measures")
     judged = verdict(measured, choose_cutoffs(measured, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", *(F.col(f"__{m}").alias(m) for m in MEASURES[:5]), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__reason").alias("reason"))

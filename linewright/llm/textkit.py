@@ -120,12 +120,25 @@ def remainder(column: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
 
 
+#: Bytes of an Arrow batch between the JVM and Python; the session's own setting holds where it is smaller.
+BATCH_BYTES = 4_000_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let batches hold BATCH_BYTES at most, so that long texts do not fill an executor's memory; a longer row is alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # nobody has set it
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in tests) one under the warehouse."""
+    bounded(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
