@@ -3,8 +3,9 @@
 Equal sets are one class from the start, so copies cost one row each. Each class emits the rarest fifth of its n-grams (frequencies come
 from a fixed-size table of counters, which any order keeps right and a good one keeps fast); classes that share one of these meet,
 pass length, positional and suffix filters, and are verified once per pair on their whole sets. In each group all members meet its first
-few, the pivots, which is all pairs of a small group. Of large groups then only members in different components are compared, in blocks
-of bounded size, so no link between components is lost, while a group that is one component already is left alone.
+few, the pivots, which is all pairs of a small group. Of large groups then members in different components are compared, in blocks
+of bounded size, so no link between components is lost. When the components are known, the members of large groups in each are compared,
+all pairs, in blocks of whole sets that give counts alone, so every class has all of its links counted and no row is made per link.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PARTS = 256
 PIVOTS = 8
 #: Members of a block of a large group.
 BLOCK = 256
+#: Bytes of n-grams of a block of whole sets.
+BLOCK_BYTES = 2 << 20
 SLICE = 1_000_000
 #: Bits of the fixed-size filter that says whose sets are asked for, and sets behind one table bucket.
 FILTER_BITS = 21
@@ -239,6 +242,60 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (root, one, two, cls), the two blocks of a component that meet, how many sets of the other block (of its own, if it meets itself) each class links to.
+
+    Holds the rows of one such run; a class that repeats in it counts once.
+    """
+    held: pa.Table | None = None
+    for batch in _with_end(batches):
+        table_ = held
+        if batch is not None:
+            table_ = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if table_ is None or not table_.num_rows:
+            continue
+        root, one, two, cls, block = (table_.column(k).to_numpy() for k in range(5))
+        change = np.flatnonzero((root[1:] != root[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+        starts = np.concatenate([[0], change])
+        stops = np.append(change, len(root))
+        if batch is not None:  # the last run may go on
+            held = table_.slice(int(starts[-1]))
+            starts, stops = starts[:-1], stops[:-1]
+        for s, e in zip(starts, stops, strict=True):
+            at = s + np.flatnonzero(np.append(True, cls[s + 1 : e] != cls[s : e - 1]))
+            sets = [np.frombuffer(x, np.uint64) for x in table_.column(5).slice(int(s), int(e - s)).take(pa.array(at - s)).to_pylist()]
+            counts = _links_among(sets, None if one[s] == two[s] else block[at] == one[s])
+            some = np.flatnonzero(counts)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at[some]]), pa.array(counts[some])], ["cls", "n"])
+
+
+def _links_among(sets: list[np.ndarray], left: np.ndarray | None) -> np.ndarray:
+    """How many of the other sets each links to; with `left`, only of those on the other side."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    counts = np.zeros(len(sets), np.int64)
+    firsts, seconds = (np.arange(len(sets)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    if not len(firsts) or not len(seconds):
+        return counts
+    distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    gram_of = [place[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    tiled = np.concatenate([gram_of[k] for k in seconds])
+    tile_at = np.concatenate([[0], np.cumsum(sizes[seconds])])[:-1]
+    marked = np.zeros(len(distinct), np.int32)
+    for k in firsts:
+        marked[gram_of[k]] = 1
+        common = np.add.reduceat(marked[tiled], tile_at)
+        marked[gram_of[k]] = 0
+        ok = 100 * common >= PER_CENT * (sizes[k] + sizes[seconds] - common)
+        if left is None:
+            ok[k] = False
+        else:
+            counts[seconds[ok]] += 1
+        counts[k] += ok.sum()
+    return counts
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -293,7 +350,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, n_links.
 
-    n_links counts the links to other classes that were verified, not those to copies. A null or empty text, or one without words, has
+    n_links counts all links to other classes, not those to copies. A null or empty text, or one without words, has
     an empty set and is a component alone, with its own id. Repeated rows and equal sets are one class. A component's id is its
     smallest non-null doc_id. An empty table gives no rows; other columns are ignored.
     """
@@ -305,11 +362,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     frequency = sum((np.frombuffer(r[0], np.int64) for r in blobs), np.zeros(1 << COUNTER_BITS, np.int64))
     rows = texts.select("text").mapInArrow(_prefixes(frequency), "token long, cls long, size int, place int")
     groups = stored(rows.repartition(F.col("token")).sortWithinPartitions("token", "cls").mapInArrow(_shared, "token long, cls long, size int, place int, a long, b long"), "groups")
-    links, roots = _link(spark, texts, described, groups)
+    degree, roots = _link(spark, texts, described, groups)
     keyed = described.select("doc_id", "n_shingles", "cls")
-    if links is not None:
-        degree = links.union(links.select("b", "a")).groupBy("a").count()
-        facts = roots.join(degree.withColumnRenamed("a", "v"), "v").select(F.col("v").alias("cls"), "root", F.col("count").alias("n_links"))
+    if degree is not None:
+        facts = roots.withColumnRenamed("v", "cls").join(degree, "cls")
         keyed = keyed.join(facts, "cls", "left")
     else:
         keyed = keyed.withColumns({"root": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long")})
@@ -319,7 +375,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _link(spark: SparkSession, texts: DataFrame, described: DataFrame, groups: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """The verified links and, for the nodes of these, the roots of their components; None if no two classes meet."""
+    """The number of links of each class that has any (cls, n_links) and the roots of their components (v, root); None if no two classes meet."""
     pairs, member = groups.where("token is null").select("a", "b").distinct(), groups.where("token is not null").select("token", "cls", "size", "place")
     if groups.isEmpty():
         return None, None
@@ -338,7 +394,27 @@ def _link(spark: SparkSession, texts: DataFrame, described: DataFrame, groups: D
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
-    return links, roots
+    return _degrees(links, roots, member, sets), roots
+
+
+def _degrees(links: DataFrame, roots: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (cls, n_links) of all links.
+
+    Pairs that were not tried are of two classes in `member` and, if they link, in one component. So all such pairs are compared
+    there, and the links found before count only where one end is not in `member`.
+    """
+    placed = stored(member.select(F.col("cls").alias("v")).distinct().join(roots, "v").join(sets.groupBy(F.col("cls").alias("v")).agg(F.max(F.length("grams")).alias("bytes")), "v"), "members")
+    sizes = placed.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
+    sizes = sizes.select("root", F.expr(f"cast(greatest(ceil(n / {BLOCK}), ceil(bytes / {BLOCK_BYTES})) as int)").alias("blocks"))
+    blocks = placed.select("root", F.col("v").alias("cls")).join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    whole = blocks.join(sets.select("cls", "grams"), "cls").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    whole = whole.select("root", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "block", "grams")
+    within = whole.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two", "cls").mapInArrow(_counted, "cls long, n long")
+    inner = placed.select("v", F.lit(True).alias("inner"))
+    for side in "ab":
+        links = links.join(inner.select(F.col("v").alias(side), F.col("inner").alias(f"inner_{side}")), side, "left")
+    outer = links.where("inner_a is null or inner_b is null").select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("n"))
+    return stored(within.union(outer).groupBy("cls").agg(F.sum("n").alias("n_links")), "degrees")
 
 
 def _candidates(pairs: DataFrame, parts: DataFrame) -> DataFrame:

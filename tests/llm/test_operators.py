@@ -282,6 +282,25 @@ def test_large_groups_of_near_copies(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
 
 
+def test_links_are_counted_whole(spark, monkeypatch):
+    rng = random.Random(9)
+    base, odd = ([f"{c}{rng.randrange(3000)}" for _ in range(120)] for c in "wz")
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(k % 4):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join([*odd, f"y{k}"])) for k in range(5)]
+    sets = {r[0]: frozenset(grams(r[1])) for r in rows}
+    classes = set(sets.values())
+    right = {i: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in classes) for i, x in sets.items()}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (near_duplicates.BLOCK, 7):
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        assert {r["doc_id"]: r["n_links"] for r in near_duplicates.near_duplicates(frame).collect()} == right
+
+
 PAGE = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>\n text.<p>Second one with some words in it.</article><footer>&copy; us</footer><script>x("</p>")</script></body></html>'
 
 
