@@ -56,9 +56,14 @@ def replicate(docs: DataFrame, targets: dict[str | None, float] | None = None, b
     return placed.withColumn("__order", order).drop("source_key", "__u", "__cdf", "__times")
 
 
+def shuffled(docs: DataFrame, targets: dict[str | None, float] | None = None, budget: float = 1.0, seed: str = SEED) -> DataFrame:
+    """`docs` replicated and shuffled globally, with its own columns, __copy and __order."""
+    return replicate(docs, targets, budget, seed).orderBy("__order").select(*(F.col(f"`{c}`") for c in [*docs.columns, "__copy", "__order"]))
+
+
 def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None, budget: float = 1.0, seed: str = SEED) -> DataFrame:
     """`docs` replicated and shuffled globally, with its own columns."""
-    return replicate(docs, targets, budget, seed).orderBy("__order").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return shuffled(docs, targets, budget, seed).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +73,12 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy("shuffle_key")
 
 
+def op9_mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents`, whole rows with their texts, repeated and globally shuffled when their sources are to weigh the same."""
+    out = shuffled(table(spark, sf_dir, "documents"))
+    return out.withColumn("__copy", F.col("__copy").cast("int")).withColumnsRenamed({"__copy": "copy", "__order": "shuffle_key"})
+
+
 OP9_SQL = f"""
 WITH own AS (SELECT coalesce(source, chr(1)) AS k, sum(octet_length(encode(text))) AS weight FROM documents GROUP BY 1),
 rates AS (SELECT k, 1.0 / (SELECT count(*) FROM own) * (SELECT sum(weight) FROM own) / weight AS rate FROM own WHERE weight > 0),
@@ -81,3 +92,5 @@ SELECT doc_id, source, n_bytes, CAST(c AS INTEGER) AS copy,
   CAST('0x' || substr(md5('{SEED}:order:' || doc_id || ':' || c), 1, 15) AS BIGINT) AS shuffle_key
 FROM times, range(0, 400) AS r(c) WHERE c < n
 """
+
+OP9_DOCUMENTS_SQL = f"SELECT documents.*, copy, shuffle_key FROM documents JOIN ({OP9_SQL}) AS drawn USING (doc_id)"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op4_bloom_sketch
 from .html_text import op7_html_text
 from .language import op5_language
-from .mixing import OP9_SQL, op9_poisson_mix
+from .mixing import OP9_DOCUMENTS_SQL, OP9_SQL, op9_mixed_documents, op9_poisson_mix
 from .near_duplicates import op10_ngram_jaccard
 from .ngram_scores import op2_deleted_interpolation
 from .packing import op3_packing
@@ -25,6 +25,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_deleted_interpolation, op3_packing, op4_bloom_sketch, op5_language, op6_quality_rules, op7_html_text, op8_toxicity, op9_poisson_mix, op10_ngram_jaccard, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_deleted_interpolation, op3_packing, op4_bloom_sketch, op5_language, op6_quality_rules, op7_html_text, op8_toxicity, op9_poisson_mix, op9_mixed_documents, op10_ngram_jaccard, pipeline)}
 
-ORACLES: dict[str, str] = {"op9_poisson_mix": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_poisson_mix": OP9_SQL, "op9_mixed_documents": OP9_DOCUMENTS_SQL}

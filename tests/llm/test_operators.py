@@ -228,6 +228,12 @@ def test_mixing(docs, none):
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(none).count() == 0
 
 
+def test_shuffled_rows_are_whole(docs, rows):
+    got = mixing.shuffled(docs).collect()
+    assert [r["__order"] for r in got] == sorted(r["__order"] for r in got) and len(got) > 5
+    assert {tuple(r)[:-2] for r in got} <= set(rows) and any(r["text"] for r in got)
+
+
 def test_poisson_means(spark):
     many = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") < 15000, "big").otherwise("small").alias("source"))
     counts = {r["source"]: r["count"] for r in mixing.replicate(many).groupBy("source").count().collect()}
