@@ -156,6 +156,21 @@ def fence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fences(with_gutters(lines)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "code")
 
 
+_TURN_LINES = "SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY turn, role, text, pos) - 1 AS line_no FROM (SELECT conv_id AS doc_id, turn, role, text, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM (SELECT *, string_split(CASE WHEN turn % 4 = 1 THEN '```' || chr(10) || text ELSE text END, chr(10)) AS parts FROM conversations))"
+_FENCE = rf"^[{WS}]*(?:```|~~~)"
+
+
+@query(f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line, fence OR coalesce(sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS code FROM (SELECT *, regexp_matches(substr(line, length(regexp_extract(line, {q(_LEAD)})) + 1), {q(_FENCE)}) AS fence FROM ({_TURN_LINES}))")
+def fence_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of whole turns of conversations, and whether they are inside code fences; a fence opens every fourth turn."""
+    turns = read(spark, sf_dir, "conversations")
+    text = F.expr("CASE WHEN turn % 4 = 1 THEN concat('```', char(10), text) ELSE text END")
+    parts = turns.select(F.col("conv_id").alias("doc_id"), "turn", "role", "text", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    order = Window.partitionBy("doc_id").orderBy("turn", "role", "text", "pos")
+    lines = parts.select("doc_id", (F.row_number().over(order) - 1).alias("line_no"), "line", F.col("line").alias("whole"), F.lit(False).alias("diff"))
+    return with_fences(with_gutters(lines)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("whole").alias("line"), "code")
+
+
 _DIFF = "CASE o_orderkey % 4 WHEN 0 THEN 'diff --git a/x b/x\n+' || o_orderstatus WHEN 1 THEN '@@ -1 +1 @@\n+++ b/' || o_orderkey WHEN 2 THEN '@@ ' || o_orderstatus ELSE '--- ' || o_orderstatus END"
 
 
