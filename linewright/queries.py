@@ -291,6 +291,37 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyse(_tables(spark, sf_dir)).copied("markdown")
 
 
+def _customer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A framed table and one of aligned columns of each eight customers; their number grows with the table."""
+    customers = read(spark, sf_dir, "customer").withColumn("g", F.expr("c_custkey div 8"))
+    rows = customers.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("n"))
+    framed = F.concat(F.lit(f"┌{'─' * 22}┬{'─' * 14}┬{'─' * 12}┐\n│ {'customer':20} │ {'segment':12} │ {'key':10} │\n├{'─' * 22}┼{'─' * 14}┼{'─' * 12}┤\n"), F.array_join(F.transform("n", lambda x: F.concat(F.lit("│ "), F.rpad(x.c_name, 20, " "), F.lit(" │ "), F.rpad(x.c_mktsegment, 12, " "), F.lit(" │ "), F.rpad(x.c_custkey.cast("string"), 10, " "), F.lit(" │"))), "\n"), F.lit(f"\n└{'─' * 22}┴{'─' * 14}┴{'─' * 12}┘"))
+    spaced = F.concat(F.lit(f"{'customer':24}{'segment':16}key\n"), F.array_join(F.transform("n", lambda x: F.concat(F.rpad(x.c_name, 24, " "), F.rpad(x.c_mktsegment, 16, " "), x.c_custkey.cast("string"))), "\n"))
+    return rows.select((2 * F.col("g")).cast("long").alias("doc_id"), framed.alias("text")).union(rows.select((2 * F.col("g") + 1).cast("long"), spaced))
+
+
+_CUSTOMERS = "SELECT c_custkey // 8 AS g, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY c_custkey // 8 ORDER BY c_custkey) AS r FROM customer"
+
+
+@query(f"""
+WITH n AS ({_CUSTOMERS}), k AS (SELECT unnest([0, 1]) AS k), cells AS (
+SELECT g, r, 0 AS c, c_name AS text FROM n UNION ALL SELECT g, r, 1, c_mktsegment FROM n UNION ALL SELECT g, r, 2, CAST(c_custkey AS VARCHAR) FROM n
+UNION ALL SELECT DISTINCT g, 0, 0, 'customer' FROM n UNION ALL SELECT DISTINCT g, 0, 1, 'segment' FROM n UNION ALL SELECT DISTINCT g, 0, 2, 'key' FROM n)
+SELECT CAST(2 * g + k AS BIGINT) AS doc_id, CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS col_no, r = 0 AS head, text FROM cells, k""")
+def table_cells_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of tables recovered from framed and from aligned text of all customers."""
+    out = analyse(_customer_tables(spark, sf_dir)).cells
+    return out.select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), "head", "text")
+
+
+@query("SELECT CAST(2 * (c_custkey // 8) + k AS BIGINT) AS doc_id, CAST(3 AS BIGINT) AS columns, CASE WHEN k = 0 THEN 'delimited' ELSE 'spaced' END AS sep, k = 0 AS framed, 'ltr' AS dir, count(*) + 1 AS n_rows FROM customer, (SELECT unnest([0, 1]) AS k) GROUP BY c_custkey // 8, k")
+def table_shapes_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of all customers themselves."""
+    out = analyse(_customer_tables(spark, sf_dir))
+    sizes = out.cells.groupBy("doc_id", "table_id", "table_dir").agg(F.countDistinct("row_no").alias("n_rows"))
+    return out.tables.join(sizes, ["doc_id", "table_id"]).select("doc_id", F.col("columns").cast("long").alias("columns"), "sep", "framed", F.col("table_dir").alias("dir"), "n_rows")
+
+
 _TAGS = "p|li|blockquote|h1|h2|h3|h4|h5|h6"
 
 

@@ -8,3 +8,9 @@ def test_fences_on_later_lines_and_past_30_characters(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = entry_points.queries()["fence_scan_lines"](spark, str(tmp_path)).orderBy("line_no").collect()
     assert [(r["line_no"], len(r["line"]), r["code"]) for r in got] == [(0, 3, False), (1, 40, False), (2, 3, True), (3, 4, True), (4, 3, True), (5, 3, False)]
+
+
+def test_number_of_tables_grows_with_the_input(spark):
+    shapes = entry_points.queries()["table_shapes_customers"](spark, "/root/testdata/sf0.001")
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    assert shapes.count() == 2 * customers.selectExpr("c_custkey div 8").distinct().count() > 10
