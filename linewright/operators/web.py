@@ -29,7 +29,19 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "block_no", tag.alias("tag"), F.regexp_replace("raw", r"<[^>]*>", "").alias("text"))
 
 
-def list_direction(items: DataFrame, by: str = "page_id") -> DataFrame:
+def list_items(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, list_no, text) of the li of pages, by their own list: the running number of its ul or ol start, from 0, whatever is nested in it; null outside lists."""
+    gone = r"(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>"
+    tags = "|".join((*BLOCK_TAGS, "ul", "ol"))
+    parts = F.regexp_extract_all(F.regexp_replace("html", gone, ""), F.lit(rf"(?is)</?(?:{tags})\b[^>]*>[^<]*(?:<(?!/?(?:{tags})\b)[^>]*>[^<]*)*"), F.lit(0))
+    walked = F.expr(r"""aggregate(parts, named_struct('open', cast(array() as array<int>), 'next', 0, 'out', cast(array() as array<struct<list_no: int, text: string>>)), (s, x) -> named_struct(
+      'open', CASE WHEN rlike(x, '(?i)^<[uo]l\\b') THEN array_append(s.open, s.next) WHEN rlike(x, '(?i)^</[uo]l\\b') AND size(s.open) > 0 THEN slice(s.open, 1, size(s.open) - 1) ELSE s.open END,
+      'next', s.next + CASE WHEN rlike(x, '(?i)^<[uo]l\\b') THEN 1 ELSE 0 END,
+      'out', CASE WHEN rlike(x, '(?i)^<li\\b') THEN array_append(s.out, named_struct('list_no', try_element_at(s.open, -1), 'text', regexp_replace(x, '<[^>]*>', ''))) ELSE s.out END), s -> s.out)""")
+    return pages.select("page_id", parts.alias("parts")).select("page_id", F.explode(walked).alias("i")).select("page_id", "i.list_no", "i.text", F.lit("li").alias("tag"))
+
+
+def list_direction(items: DataFrame, by: str | list[str] = "page_id") -> DataFrame:
     """Rows (by, items, rtl_items, dir): a list is rtl when at least half of its items are, else it has no direction."""
-    groups = items.where("tag = 'li'").groupBy(by).agg(F.count("*").alias("items"), F.count_if(classify("text") == "rtl").alias("rtl_items"))
+    groups = items.where("tag = 'li'").groupBy(*([by] if isinstance(by, str) else by)).agg(F.count("*").alias("items"), F.count_if(classify("text") == "rtl").alias("rtl_items"))
     return groups.withColumn("dir", F.when(2 * F.col("rtl_items") >= F.col("items"), F.lit("rtl")))

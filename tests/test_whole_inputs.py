@@ -1,5 +1,7 @@
 """Queries read whole inputs: fences on later lines, lists apart from each other, tables whose number grows."""
 
+import duckdb
+
 import __spark_entry__ as entry_points
 
 
@@ -14,3 +16,13 @@ def test_number_of_tables_grows_with_the_input(spark):
     shapes = entry_points.queries()["table_shapes_customers"](spark, "/root/testdata/sf0.001")
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     assert shapes.count() == 2 * customers.selectExpr("c_custkey div 8").distinct().count() > 10
+
+
+def test_each_list_has_its_own_direction(spark, tmp_path):
+    html = "<ul><li>one</li><li>two</li><li>three<ol><li>سلام</li></ol></li><li>four</li></ul><p>x</p><ul><li>سلام دنیا</li><li>خوب</li></ul>"
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(path)
+    got = sorted(tuple(r) for r in entry_points.queries()["page_lists"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 4, 0, None), (1, 1, 1, 1, "rtl"), (1, 2, 2, 2, "rtl")]
+    theirs = duckdb.sql(entry_points.oracle_sql()["page_lists"].replace("FROM pages", f"FROM '{path}/*.parquet'")).fetchall()
+    assert sorted(theirs) == got
