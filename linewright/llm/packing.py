@@ -20,6 +20,8 @@ END_ID = 2
 #: Tokens and pieces that one task packs; a shard leaves at most one sequence badly filled, so larger shards gain little.
 SHARD_TOKENS = 1 << 21
 SHARD_PIECES = 100_000
+#: Bytes of text that are encoded at once: the more, the fewer chunks are looked up twice.
+ENCODE_BYTES = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, seq long"
 
 
@@ -77,21 +79,25 @@ def match_and_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nda
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of each document: its ids and the closing id, cut so that only the first piece may be shorter than the capacity."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
-        for batch, _, _ in slices(batches, "text"):
-            rows = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer_path).ids(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                n, start, k = len(ids) // 4, 0, 0
-                while start < n:
-                    stop = start + ((n - start) % capacity or capacity)
-                    rows.append((doc_id, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), seq))
-                    start, k, seq = stop, k + 1, seq + 1
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "piece", "start", "length", "ids_crc32", "seq"])
+        for batch, _, _ in slices(batches, "text", ENCODE_BYTES):
+            ids, bounds = encoder(tokenizer_path).flat_ids(batch.column("text"))
+            ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+            sizes = np.diff(bounds) + 1
+            first = np.cumsum(sizes) - sizes
+            n = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            head = sizes - (n - 1) * capacity
+            start = np.where(piece > 0, head[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, head[doc])
+            raw, at = memoryview(ids.tobytes()), 4 * (first[doc] + start)
+            crc = np.fromiter((zlib.crc32(raw[s:e]) for s, e in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)), np.int64, len(doc))
+            columns = [batch.column("doc_id").take(pa.array(doc)), *map(pa.array, (piece.astype(np.int32), start, length, crc, np.arange(seq, seq + len(doc))))]
+            seq += len(doc)
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "seq"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 

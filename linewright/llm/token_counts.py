@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .encoder import encoder
 from .textkit import scratch, slices, table
 
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 4_000_000
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 
@@ -44,10 +46,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         distinct = distinct.join(known, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in slices(batches, "text"):
-            ids = encoder(tokenizer_path).ids(batch.column("text").to_pylist())
-            counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts)], ["digest", "n_tokens"])
+        for batch, _, _ in slices(batches, "text", ENCODE_BYTES):
+            _, bounds = encoder(tokenizer_path).flat_ids(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(np.diff(bounds))], ["digest", "n_tokens"])
 
     missing = distinct.mapInArrow(encode, "digest binary, n_tokens long")
     missing.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(path)

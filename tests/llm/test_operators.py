@@ -55,6 +55,23 @@ def test_memo_gives_the_ids_of_whole_texts(rows):
         assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_cut_chunks_give_the_ids_of_whole_texts():
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u3000", "\u2003", "\x85", "a", "bc", "'s", "'ll", "12", "é", "漢", "<|endoftext|>", "<|endoftext|", "–", "\u200b", "\x1c", "\x1f", "!", "...", "🙂", "\x00", "«", ",", "it's", "É", "×", "ß", "A.", "%%%"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    library, ours = Tokenizer.from_file(BPE), Encoder(BPE)
+    for at in range(0, len(texts), 500):
+        expected = [x.ids for x in library.encode_batch(texts[at : at + 500], add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts[at : at + 500])] == expected
+
+
+def test_other_files_are_encoded_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, ours = Tokenizer.from_file(path), Encoder(path)
+    texts = ["One two.  Three\nfour", "", "a b", None]
+    assert not ours.cut and [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_counts(spark, docs, none, rows, tmp_path):
     library = Tokenizer.from_file(BPE)
     cache = str(tmp_path / "cache")
@@ -93,6 +110,13 @@ def test_packing(docs, none, rows):
         starts = [0, *range(head, len(ids), 1024)]
         expected = [(k, s, e - s, zlib.crc32(ids[s:e].tobytes())) for k, (s, e) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True))]
         assert sorted(by_doc[doc_id]) == sorted(expected * sum(r[0] == doc_id for r in rows))
+    laid = defaultdict(list)
+    for r in got:
+        laid[r["sequence_id"]].append((r["offset"], r["length"]))
+    for members in laid.values():
+        members.sort()
+        assert [o for o, _ in members] == np.cumsum([0, *(n for _, n in members[:-1])]).tolist() and sum(n for _, n in members) <= 1024
+    assert len(laid) <= -(-sum(r["length"] for r in got) // 1024) + 1
     assert packing.pack(none, BPE).count() == 0
 
 
