@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -32,8 +33,26 @@ TOKEN_KINDS = (
 BEFORE = "(\\[{\"'«،,:=|"
 AFTER = ".,:;!?،؛؟»"
 TOKEN = "|".join(TOKEN_KINDS)
+_LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{620}-\x{64A}"
 #: Words of letters that end in white space or with the text hold no token, nor a match that reaches beyond them; taken whole they spare a tile for each letter.
-_PLAIN = rf"[A-Za-z\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{24F}}\x{{620}}-\x{{64A}}]+[.,;!?]?(?:[{WS}]+|\z)"
+_PLAIN = rf"[{_LETTERS}]++[.,;!?]?(?:[{WS}]++|\z)"
+#: Where no token starts, all that starts inside the run after it has no boundary before it, and none of it reaches beyond the run unless one of these follows.
+_RUN = rf"[{_LETTERS}0-9._%+@\-]++(?![:/(=>])"
+#: The kinds that look ahead over whole words do so only in the first characters of a run, else a run of n would take n * n steps.
+_DEEP = r"(?<![A-Za-z0-9._%+@-]{200})"
+
+
+def possessive(kind: str) -> str:
+    """A token kind with loops that give nothing back, which Java walks without recursion. What follows such a loop cannot start inside it, so matches are the same; the loops of which this is not true stay."""
+    stay = {TOKEN_KINDS[11]: 1, TOKEN_KINDS[14]: -1}.get(kind, 0)
+    return kind if stay < 0 else re.sub(r"(?<=[\])])[+*]", lambda m: m[0] + "+", kind, count=stay)
+
+
+def _java_token() -> str:
+    kinds = [possessive(k) for k in TOKEN_KINDS]
+    return "|".join([*kinds[:4], f"{_DEEP}(?:{'|'.join(kinds[4:13])})", *kinds[13:]])
+
+
 #: Stand around code tokens in marked text; cleaned text has no control characters.
 OPEN, CLOSE = "\x01", "\x02"
 
@@ -49,7 +68,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_ws(x: str | Column, where: str = "both") -> Column:
     """Without Unicode white space at both ends, or at one (left, right)."""
-    pattern = {"both": rf"^[{WS}]+|[{WS}]+\z", "left": rf"^[{WS}]+", "right": rf"[{WS}]+\z"}[where]
+    right = rf"(?<![{WS}])[{WS}]++\z"
+    pattern = {"both": rf"^[{WS}]++|{right}", "left": rf"^[{WS}]++", "right": right}[where]
     return F.regexp_replace(_c(x), pattern, "")
 
 
@@ -108,7 +128,7 @@ def fold_persian(x: str | Column) -> Column:
 
 def is_rule(x: str | Column) -> Column:
     """Only rule glyphs and white space, and at least three glyphs."""
-    return _c(x).rlike(rf"^[{WS}]*(?:[{RULES}][{WS}]*){{3,}}\z")
+    return _c(x).rlike(rf"^(?:[{WS}]*+[{RULES}]){{3}}[{WS}{RULES}]*+\z")
 
 
 def is_frame(x: str | Column) -> Column:
@@ -123,7 +143,7 @@ def is_fence(content: str | Column) -> Column:
 
 def gutter_lead(line: str | Column) -> Column:
     """The longest start of white space, structural glyphs and list or prompt markers."""
-    return F.regexp_extract(_c(line), rf"^(?:[{WS}{STRUCT}]|[-*+$](?=[{WS}])|>(?=[{WS}>])|[0-9]+[.)](?=[{WS}]))*", 0)
+    return F.regexp_extract(_c(line), rf"^(?:[{WS}{STRUCT}]++|[-*+$](?=[{WS}])|>(?=[{WS}>])|[0-9]++[.)](?=[{WS}]))*+", 0)
 
 
 def gutter(line: str | Column) -> Column:
@@ -134,7 +154,7 @@ def gutter(line: str | Column) -> Column:
         return let(F.substring(line, F.length(lead) + 1, F.length(line)), lambda rest: ends(lead, rest))
 
     def ends(lead: Column, rest: Column) -> Column:
-        return let(F.regexp_extract(rest, rf"[{WS}{STRUCT}]*\z", 0), lambda tail: made(lead, rest, tail))
+        return let(F.regexp_extract(rest, rf"(?<![{WS}{STRUCT}])[{WS}{STRUCT}]++\z", 0), lambda tail: made(lead, rest, tail))
 
     def made(lead: Column, rest: Column, tail: Column) -> Column:
         boxed = ~is_blank(lead) & ~is_blank(tail) & (F.length(rest) > F.length(tail))
@@ -144,22 +164,34 @@ def gutter(line: str | Column) -> Column:
     return let(gutter_lead(line), parts)
 
 
+#: Pieces that join to the whole: matches of the token pattern, plain words, runs of letters and digits without a token, single characters.
+_TILE = rf"(?s:(?<![{_LETTERS}]){_PLAIN}|{_java_token()}|{_RUN}|.)"
+#: What a line with a token has somewhere.
+_SIGN = r"[`/\\_@=\[0-9]|[.:-][A-Za-z:>-]"
+
+
 def tiles(content: str | Column) -> Column:
-    """The content in pieces that join to the whole: matches of the token pattern, plain words, single characters."""
-    return F.regexp_extract_all(_c(content), F.lit(f"(?s:{_PLAIN}|{TOKEN}|.)"), F.lit(0))
+    """The content in pieces that join to the whole."""
+    return F.regexp_extract_all(_c(content), F.lit(_TILE), F.lit(0))
 
 
 def _trimmed(tile: Column) -> Column:
     """Without sentence marks at the end, and without closing brackets that it does not open."""
+    pairs = ("()", "[]", "{}")
+
+    def count(text: Column, ch: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
 
-    def shorter(s: Column, _: Column) -> Column:
-        last = F.right(s, F.lit(1))
-        count = lambda ch: F.length(F.replace(s, ch, F.lit("")))
-        drop = last.rlike(f"[{AFTER}]") | (last.rlike(r"[)\]}]") & (count(last) < count(F.translate(last, ")]}", "([{"))))
-        return F.when(drop, F.left(s, F.length(s) - 1)).otherwise(s)
+    def step(state: Column, ch: Column) -> Column:
+        spare = [state[f"s{k}"] for k in range(3)]
+        drop = ~state.stop & (ch.rlike(f"[{AFTER}]") | F.coalesce(*(F.when(ch == p[1], spare[k] > 0) for k, p in enumerate(pairs)), F.lit(False)))
+        left = [F.when(drop & (ch == p[1]), spare[k] - 1).otherwise(spare[k]).alias(f"s{k}") for k, p in enumerate(pairs)]
+        return F.struct((state.n + drop.cast("int")).alias("n"), (~drop).alias("stop"), *left)
 
-    ends = F.length(F.regexp_extract(tile, rf"[{AFTER})\]}}]*\z", 0))
-    return F.when(tile.rlike(rf"[{AFTER})\]}}]\z"), F.aggregate(F.sequence(F.lit(1), ends), tile, shorter)).otherwise(tile)
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop"), *((count(tile, p[1]) - count(tile, p[0])).alias(f"s{k}") for k, p in enumerate(pairs)))
+    end = F.regexp_extract(tile, rf"(?<![{AFTER})\]}}])[{AFTER})\]}}]++\z", 0)
+    kept = F.aggregate(F.reverse(F.split(end, "")), start, step, lambda state: F.left(tile, F.length(tile) - state.n))
+    return F.when(tile.rlike(rf"[{AFTER})\]}}]\z"), kept).otherwise(tile)
 
 
 def marked(content: str | Column) -> Column:
@@ -171,9 +203,12 @@ def marked(content: str | Column) -> Column:
 
     def wrap(tile: Column, at: Column, every: Column) -> Column:
         bounded = (at == 0) | F.get(every, at - 1).rlike(rf"[{WS}{BEFORE}]\z")
-        return F.when((F.length(tile) == 1) | ~bounded | tile.rlike(f"^{_PLAIN}\\z"), tile).otherwise(let(_trimmed(tile), lambda cut: shown(tile, cut)))
+        word = tile.rlike(f"^{_PLAIN}\\z") | ~tile.rlike(f"^(?:{_java_token()})")
+        return F.when((F.length(tile) == 1) | ~bounded | word, tile).otherwise(let(_trimmed(tile), lambda cut: shown(tile, cut)))
 
-    return let(tiles(content), lambda every: F.array_join(F.transform(every, lambda t, i: wrap(t, i, every)), ""))
+    content = _c(content)
+    found = let(tiles(content), lambda every: F.array_join(F.transform(every, lambda t, i: wrap(t, i, every)), ""))
+    return F.when(content.rlike(_SIGN), found).otherwise(content)
 
 
 def code_tokens(marked_text: str | Column) -> Column:
@@ -189,7 +224,7 @@ def segments(marked_text: str | Column, strip_backticks: bool = True) -> Column:
     """Marked text as an array of (kind, text), kind text or code; backticks around a code token go if asked."""
     pieces = F.transform(F.split(_c(marked_text), f"[{OPEN}{CLOSE}]", -1), lambda x, i: F.struct(F.when(i % 2 == 1, F.lit("code")).otherwise(F.lit("text")).alias("kind"), x.alias("text")))
     if strip_backticks:
-        pieces = F.transform(pieces, lambda s: F.struct(s.kind.alias("kind"), F.when((s.kind == "code") & s.text.rlike("^`.*`\\z") & (F.length(s.text) >= 2), F.substring(s.text, F.lit(2), F.length(s.text) - 2)).otherwise(s.text).alias("text")))
+        pieces = F.transform(pieces, lambda s: F.struct(s.kind.alias("kind"), F.when((s.kind == "code") & s.text.rlike("(?s)^`.*`\\z") & (F.length(s.text) >= 2), F.substring(s.text, F.lit(2), F.length(s.text) - 2)).otherwise(s.text).alias("text")))
     return F.filter(pieces, lambda s: (s.kind == "code") | (s.text != ""))
 
 
@@ -227,7 +262,7 @@ def width(x: str | Column) -> Column:
 
 
 def ends_sentence(content: str | Column) -> Column:
-    return _c(content).rlike(rf"[.!?:؛؟۔。][{WS}]*\z")
+    return _c(content).rlike(rf"[.!?:؛؟۔。][{WS}]*+\z")
 
 
 def html_escape(x: str | Column) -> Column:

@@ -26,10 +26,11 @@ def is_diff(text: str | Column) -> Column:
 
 def unwelded(line: Column) -> Column:
     """One or two lines: a rule that stands right of a text, at least eight spaces away and of at least ten glyphs, is a line of its own."""
-    pattern = rf"^(.*?) {{8,}}((?:[{RULES}][{T.WS}]*)+)\z"
-    rule = F.regexp_extract(line, pattern, 2)
-    parts = F.array(T.trim_ws(F.regexp_extract(line, pattern, 1), "right"), rule)
-    return F.when(~T.is_rule(line) & (F.regexp_count(rule, F.lit(f"[{RULES}]")) >= 10), parts).otherwise(F.array(line))
+    end = F.regexp_extract(line, rf"(?<![{RULES}{T.WS}])[{RULES}{T.WS}]++\z", 0)
+    pattern = rf"^([{RULES}{T.WS}]*?)(?<! ) {{8,}}+([{RULES}][{RULES}{T.WS}]*+)\z"
+    rule = F.regexp_extract(end, pattern, 2)
+    text = F.concat(F.left(line, F.length(line) - F.length(end)), F.regexp_extract(end, pattern, 1))
+    return F.when(~T.is_rule(line) & (F.regexp_count(rule, F.lit(f"[{RULES}]")) >= 10), F.array(T.trim_ws(text, "right"), rule)).otherwise(F.array(line))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def candidate_lines(lines: DataFrame) -> DataFrame:
     rows = painted.withColumn("apart", apart).withColumn("block", F.sum(F.col("apart").cast("int")).over(order)).where(~F.col("apart")).withColumn("rule", T.is_rule("painted"))
     block = Window.partitionBy(*BLOCK)
     content = ~F.col("rule")
-    gap = F.col("painted").rlike(rf"[^{T.WS}](?:[{T.WS}]|[{zero()}]){{{LEAST_GAP},}}[^{T.WS}]|[^{T.WS}]\x{{3000}}[^{T.WS}]")
+    gap = F.col("painted").rlike(rf"[^{T.WS}][{T.WS}{zero()}]{{{LEAST_GAP},}}[^{T.WS}]|[^{T.WS}]\x{{3000}}[^{T.WS}]")
     shared = [F.sum((content & F.contains("painted", F.lit(d))).cast("int")).over(block) >= 2 for d in DELIMITERS]
     can = shared[0] | shared[1] | shared[2] | shared[3] | (F.sum((content & gap).cast("int")).over(block) >= 2) | F.max(F.col("rule") & gap).over(block)
     rows = rows.withColumn("can", can & (F.sum(content.cast("int")).over(block) >= 2))

@@ -19,12 +19,19 @@ def classify(text: str | Column) -> Column:
     return F.when(right == 0, F.lit(None).cast("string")).when(right >= SHARE * (right + left), F.lit("rtl")).otherwise(F.lit("ltr"))
 
 
+_GONE = r"(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>"
+
+
+def _parts(tags: tuple[str, ...]) -> Column:
+    """The page cut before each start and end of these tags, without what has no text."""
+    bare = F.translate(F.regexp_replace("html", _GONE, ""), "\x01", "")
+    return F.split(F.regexp_replace(bare, rf"(?i)(</?(?:{'|'.join(tags)})\b[^>]*>)", "\x01$1"), "\x01", -1)
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, block_no, tag, text) of well-formed blocks of pages: scripts, styles, comments, code and form controls have no text."""
-    gone = r"(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>"
-    bare = F.regexp_replace("html", gone, "")
-    found = F.regexp_extract_all(bare, F.lit(rf"(?is)<(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>[^<]*(?:<(?!/?(?:{'|'.join(BLOCK_TAGS)})\b)[^>]*>[^<]*)*"), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(found).alias("block_no", "raw"))
+    """Rows (page_id, block_no, tag, text) of blocks of pages, from the start of a block to the next start or end of one: scripts, styles, comments, code and form controls have no text."""
+    starts = F.filter(_parts(BLOCK_TAGS), lambda x: x.rlike(rf"(?i)^<(?:{'|'.join(BLOCK_TAGS)})\b"))
+    rows = pages.select("page_id", F.posexplode(starts).alias("block_no", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"^<([A-Za-z0-9]+)", 1))
     return rows.select("page_id", "block_no", tag.alias("tag"), F.regexp_replace("raw", r"<[^>]*>", "").alias("text"))
 
