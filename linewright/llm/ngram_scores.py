@@ -28,8 +28,9 @@ BUCKET_KEYS = 1_000_000
 TABLE_BYTES = 24_000_000
 #: Mixture weights are learned for each power of two of the context's count.
 CONTEXT_BINS = 40
-#: Bins of a probability's logarithm in the table that the weights are learned from, from 1e-14 up to 1, and one for 0.
-LOG_BINS = 57
+#: Bins of a probability's logarithm in the table that the weights are learned from, DECADE_BINS for each factor of ten from 1e-14 up to 1, and one for 0. A cell of it stands for its tokens by the means of their probabilities.
+DECADE_BINS = 8
+LOG_BINS = 14 * DECADE_BINS + 1
 EM_ROUNDS = 60
 END = np.uint64(0x1E5D0C0FFEE15EAD)
 START = np.uint64(0x57A27D0C0FFEE001)
@@ -172,41 +173,49 @@ def _bin(context: np.ndarray) -> np.ndarray:
 
 
 def _log_bin(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, np.clip(np.round(4 * (14 + np.log10(np.maximum(p, 1e-14)))), 0, LOG_BINS - 1).astype(np.int64) + 1, 0)
+    return np.where(p > 0, np.clip(np.round(DECADE_BINS * (14 + np.log10(np.maximum(p, 1e-14)))), 0, LOG_BINS - 1).astype(np.int64) + 1, 0)
+
+
+CELLS = "cell int, n long, one double, two double"
+
+
+def cells_of(word: np.ndarray, context: np.ndarray, pair: np.ndarray, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of training tokens, by their counts, the cell of each and its estimates (unigram, bigram), made without the token itself."""
+    word, context, pair = word - 1, context - 1, pair - 1
+    p = np.stack([word / max(n_tokens - 1, 1), pair / np.maximum(context, 1)])
+    return (_bin(context) * (LOG_BINS + 1) + _log_bin(p[1])) * (LOG_BINS + 1) + _log_bin(p[0]), p
 
 
 def _deleted(n_tokens: int):
-    """How training tokens fall by context count and by the logarithms of both estimates, each made without the token itself."""
+    """How training tokens fall by context count and by the logarithms of both estimates: rows of CELLS, with sums of the estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = CONTEXT_BINS * (LOG_BINS + 1) ** 2
-        total = np.zeros(cells, np.int64)
+        size = CONTEXT_BINS * (LOG_BINS + 1) ** 2
+        total = np.zeros((3, size))
         for batch in batches:
             for row in batch.to_pylist():
                 part = Part(row)
-                word, context, pair = (c[part.train] - 1 for c in _counts(row, part))
-                two, one = pair / np.maximum(context, 1), word / max(n_tokens - 1, 1)
-                total += np.bincount((_bin(context) * (LOG_BINS + 1) + _log_bin(two)) * (LOG_BINS + 1) + _log_bin(one), minlength=cells)
-        yield pa.RecordBatch.from_arrays([pa.array([pack_numbers(total)], pa.binary())], ["cells"])
+                cell, p = cells_of(*(c[part.train] for c in _counts(row, part)), n_tokens)
+                total += [np.bincount(cell, w, minlength=size) for w in (None, *p)]
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[0][some].astype(np.int64)), pa.array(total[1][some]), pa.array(total[2][some])], ["cell", "n", "one", "two"])
 
     return run
 
 
-def learn_weights(cells: np.ndarray, n_words: int) -> np.ndarray:
-    """weights[context bin, (uniform, unigram, bigram)], by expectation-maximisation of the likelihood of the deleted tokens."""
-    cells = cells.reshape(CONTEXT_BINS, LOG_BINS + 1, LOG_BINS + 1).astype(float)
-    value = np.concatenate([[0.0], 10.0 ** (np.arange(LOG_BINS) / 4 - 14)])
-    p = np.stack([np.full((LOG_BINS + 1, LOG_BINS + 1), 1 / (n_words + 1)), np.broadcast_to(value[None, :], (LOG_BINS + 1,) * 2), np.broadcast_to(value[:, None], (LOG_BINS + 1,) * 2)])
+def learn_weights(cell: np.ndarray, n: np.ndarray, one: np.ndarray, two: np.ndarray, n_words: int) -> np.ndarray:
+    """weights[context bin, (uniform, unigram, bigram)], by expectation-maximisation of the likelihood of the deleted tokens: n of each cell, with mean estimates one and two."""
+    bins = cell // (LOG_BINS + 1) ** 2
+    p = np.stack([np.full(len(cell), 1 / (n_words + 1)), one, two])
     weights = np.full((CONTEXT_BINS, 3), 1 / 3)
+    every = np.bincount(bins, n, minlength=CONTEXT_BINS)
+    known = np.flatnonzero(every)
     for _ in range(EM_ROUNDS):
-        for b in range(CONTEXT_BINS):
-            if cells[b].any():
-                share = weights[b][:, None, None] * p
-                share = share / share.sum(axis=0) * cells[b]
-                weights[b] = share.sum(axis=(1, 2)) / cells[b].sum()
-    empty = ~cells.any(axis=(1, 2))
-    known = np.flatnonzero(~empty)
-    for b in np.flatnonzero(empty):  # the nearest bin that has tokens
+        share = weights[bins].T * p
+        share *= n / share.sum(axis=0)
+        gained = np.stack([np.bincount(bins, x, minlength=CONTEXT_BINS) for x in share], axis=1)
+        weights[known] = gained[known] / every[known, None]
+    for b in np.flatnonzero(every == 0):  # the nearest bin that has tokens
         weights[b] = weights[known[np.abs(known - b).argmin()]] if len(known) else (0.5, 0.5, 0.0)
     return np.maximum(weights, 1e-6) / np.maximum(weights, 1e-6).sum(axis=1, keepdims=True)
 
@@ -235,20 +244,11 @@ def _as_table(frame: DataFrame, n: int) -> DataFrame:
     return frame.sparkSession.table(name)
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = 0
-    for batch in batches:
-        for blob in batch.column(0):
-            total = total + unpack_numbers(blob.as_py())
-    if not isinstance(total, int):
-        yield pa.RecordBatch.from_arrays([pa.array([pack_numbers(total)], pa.binary())], ["cells"])
-
-
 def interpolated_scores(docs: DataFrame, held: str = "held") -> DataFrame:
     """One row per row of `docs` (doc_id, text and a column that is true where a document must not be learned from).
 
-    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text has one token, its end. Repeated
-    rows are scored each, and learned from each. With nothing to learn from, words get the uniform probability. An empty table gives
+    Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A null or empty text has one token, its end; a null id
+    is learned from. Repeated rows are scored each, and learned from each. With nothing to learn from, words get the uniform probability. An empty table gives
     no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -262,9 +262,9 @@ def interpolated_scores(docs: DataFrame, held: str = "held") -> DataFrame:
     n_tokens, n_words = (int(x) for x in sum((unpack_numbers(r["counts"]) for r in answers.where(f"kind = {TOTAL}").select("counts").toLocalIterator()), np.zeros(2, np.uint64)))
     grouped = _as_table(answers.where(f"kind != {TOTAL}").repartition(n, "part").groupBy("part").agg(F.collect_list(F.struct("kind", "bucket", "counts")).alias("answers")), n)
     met = parts.join(grouped, "part")
-    blobs = met.mapInArrow(_deleted(n_tokens), "cells binary").coalesce(32).mapInArrow(_added, "cells binary").collect()
-    cells = sum((unpack_numbers(r[0]) for r in blobs), np.zeros(CONTEXT_BINS * (LOG_BINS + 1) ** 2, np.uint64))
-    weights = learn_weights(cells, n_words)
+    cells = met.mapInArrow(_deleted(n_tokens), CELLS).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two")).orderBy("cell").toArrow()
+    cell, n, one, two = (cells.column(k).to_numpy() for k in range(4))
+    weights = learn_weights(cell, n, one / np.maximum(n, 1), two / np.maximum(n, 1), n_words)
     return met.mapInArrow(_scored(weights, n_tokens, n_words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
