@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from .textkit import mix, slices, span_hashes, stored, table, words
 
 WINDOW = 8
-#: Of the good documents of a stratum, each rule may reject this share at most; all bounds hold at once with the confidence below.
+#: All rules of a stratum together may reject this share of its good documents at most; the bounds of all strata hold at once with the confidence below.
 RISK = 0.01
 CONFIDENCE = 0.95
-#: Good rows that a stratum needs for cutoffs of its own; smaller ones share cutoffs.
-LEAST_GOOD = 1000
+#: Good rows that must be held out in a stratum to try rules there; with fewer, no bound could be proved and only the base rule holds.
+LEAST_GOOD = 500
 #: A cutoff must reject so many times larger a share of bad than of good rows.
 GAIN = 5.0
 #: Strata beyond this number are joined, not broadcast.
@@ -96,19 +96,42 @@ def with_measures(docs: DataFrame, text_col: str = "text", keep_text: bool = Tru
     return docs.mapInArrow(run, ", ".join(schema))
 
 
+def binomial_tail(hits: int, trials: int, p: float) -> float:
+    """The probability of at most `hits` successes: the regularised incomplete beta function I(1-p; trials-hits, hits+1), by its continued fraction."""
+    if hits >= trials or p <= 0:
+        return 1.0
+    if p >= 1:
+        return 0.0
+    a, b, x = trials - hits, hits + 1, 1 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _fraction(b, a, 1 - x) / b
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, from the front by ratios of its numerators and denominators."""
+    tiny = 1e-300
+    upper, lower = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    value, m = lower, 1
+    while True:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            lower = 1 / ((1 + term * lower) or tiny)
+            upper = (1 + term / upper) or tiny
+            value *= upper * lower
+        if abs(upper * lower - 1) < 1e-14 or m > 100_000:
+            return value
+        m += 1
+
+
 def binomial_bound(hits: int, trials: int, alpha: float) -> float:
     """The exact (Clopper-Pearson) upper confidence bound of a rate, at level 1 - alpha."""
     if hits >= trials:
         return 1.0
-    choose = [math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) for k in range(hits + 1)]
-
-    def tail(p: float) -> float:
-        return sum(math.exp(c + k * math.log(p) + (trials - k) * math.log1p(-p)) for k, c in enumerate(choose))
-
     low, high = hits / trials, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if tail(max(mid, 1e-300)) > alpha else (low, mid)
+        low, high = (mid, high) if binomial_tail(hits, trials, mid) > alpha else (low, mid)
     return high
 
 
@@ -121,46 +144,73 @@ def _value(rule: str) -> Column:
     return F.when(F.col(f"__{bottom}") > 0, F.col(f"__{top}") / F.col(f"__{bottom}")).otherwise(0.0)
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id") -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum and rule; under None those of all strata that are too small for their own.
+def _proposals(row: dict) -> list[tuple[str, float]]:
+    """From the counts of the proposing half of a stratum, for each rule the cutoff that gains most (a tie stays loose), the safest rules first."""
+    found = []
+    for rule, (_, cuts) in RULES.items():
+        shares = [(row[f"{rule}:{k}:1"] / max(row["good"], 1), row[f"{rule}:{k}:0"] / max(row["bad"], 1), c) for k, c in enumerate(cuts)]
+        good, bad, cut = max(reversed(shares), key=lambda s: s[1] - GAIN * s[0])
+        if bad > GAIN * good:
+            found.append((good, -bad, rule, cut))
+    return [(rule, cut) for _, _, rule, cut in sorted(found)]
+
+
+def _limits(spark: SparkSession, strata: dict[str, list[tuple[str, float]]]) -> DataFrame:
+    """A row for each stratum: of each rule its cutoff and its place in the order, null where it is off."""
+    rows = []
+    for stratum, rules in strata.items():
+        place = {rule: k for k, (rule, _) in enumerate(rules)}
+        rows.append((stratum, *(x for r in RULES for x in ((rules[place[r]][1], place[r]) if r in place else (None, None)))))
+    out = spark.createDataFrame(rows, "__stratum string, " + ", ".join(f"__c_{r} double, __k_{r} int" for r in RULES))
+    return F.broadcast(out) if len(rows) <= BROADCAST_STRATA else out
+
+
+def _over(rule: str) -> Column:
+    return F.coalesce(_value(rule) > F.col(f"__c_{rule}"), F.lit(False))
+
+
+def choose_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id") -> dict[str, list[tuple[str, float]]]:
+    """For each stratum with enough labels the rules that hold there, as (rule, cutoff).
 
-    For each stratum, rule and cutoff the good labelled rows that it would reject are counted over all labels. A cutoff is allowed
-    if the exact binomial bound of its false rejections is at most RISK, at a level divided by the number of all tests (Bonferroni),
-    so that choosing among them keeps the guarantee. Of the allowed ones, that with the largest gain in rejected bad rows is taken;
-    without a gain the rule stays off. A document with several labels counts as bad if one says so; null labels are left out.
+    Half of the labelled rows, by a hash of their ids, propose: in each stratum the cutoff of each rule that gains most there, and an
+    order of these rules. The other half proves: the rules are tried in that order, each together with those before it, and the first
+    whose exact binomial bound of good rows that any of them rejects is over RISK ends the sequence. A sequence needs no correction in
+    itself; between the strata the level is divided by their number (Bonferroni). So with probability CONFIDENCE, in all strata at once,
+    the rules together reject at most RISK of the good documents that pass the base rule. Strata with fewer than LEAST_GOOD good rows in
+    the second half, or none, have no rules. A document with several labels counts as bad if one says so; null labels are left out.
     """
     quality = labels.where("quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__good"))
-    rows = measured.where(~base_failed("__")).select(F.col(id_col).alias("__id"), F.coalesce(F.col(stratum), F.lit("")).alias("__stratum"), *(_value(r).alias(f"__v_{r}") for r in RULES)).join(quality, "__id")
-    cells = [F.count_if((F.col("__good") == g) & (F.col(f"__v_{r}") > c)).alias(f"{r}:{k}:{g}") for r, (_, cuts) in RULES.items() for k, c in enumerate(cuts) for g in (0, 1)]
-    grid = stored(rows.groupBy("__stratum").agg(F.count_if(F.col("__good") == 1).alias("good"), F.count_if(F.col("__good") == 0).alias("bad"), *cells), "grid")
-    own = [r.asDict() for r in grid.where(F.col("good") >= LEAST_GOOD).collect()]
-    rest = grid.where(F.col("good") < LEAST_GOOD).agg(*(F.coalesce(F.sum(F.col(f"`{c}`")), F.lit(0)).alias(c) for c in grid.columns if c != "__stratum")).first().asDict()
-    tests = (len(own) + 1) * sum(len(cuts) for _, cuts in RULES.values())
-    found: dict[str | None, dict[str, float]] = {}
-    for stratum_row in [*own, {**rest, "__stratum": None}]:
-        chosen = found[stratum_row["__stratum"]] = {}
-        for rule, (_, cuts) in RULES.items():
-            best = 0.0
-            for k in reversed(range(len(cuts))):  # from the loosest, so that a tie stays loose
-                good, bad = stratum_row[f"{rule}:{k}:1"], stratum_row[f"{rule}:{k}:0"]
-                gain = bad / max(stratum_row["bad"], 1) - GAIN * good / max(stratum_row["good"], 1)
-                if gain > best and binomial_bound(good, stratum_row["good"], (1 - CONFIDENCE) / tests) <= RISK:
-                    best, chosen[rule] = gain, cuts[k]
+    tops = sorted({c for rule, _ in RULES.values() for c in rule.split(" / ")})
+    rows = measured.where(~base_failed("__")).select(F.col(id_col).alias("__id"), F.coalesce(F.col(stratum), F.lit("")).alias("__stratum"), *(f"__{c}" for c in tops)).join(quality, "__id")
+    rows = stored(rows.withColumn("__proves", F.pmod(F.xxhash64("__id"), F.lit(2)) == 1), "labelled")
+    cells = [F.count_if((F.col("__good") == g) & (_value(r) > c)).alias(f"{r}:{k}:{g}") for r, (_, cuts) in RULES.items() for k, c in enumerate(cuts) for g in (0, 1)]
+    proving = rows.where("__proves and __good = 1").groupBy("__stratum").agg(F.count("*").alias("proving")).where(F.col("proving") >= LEAST_GOOD)
+    grid = rows.where("not __proves").groupBy("__stratum").agg(F.count_if(F.col("__good") == 1).alias("good"), F.count_if(F.col("__good") == 0).alias("bad"), *cells)
+    own = [r.asDict() for r in grid.join(proving, "__stratum").orderBy("__stratum").collect()]
+    proposed = {r["__stratum"]: _proposals(r) for r in own}
+    if not own:
+        return {}
+    step = F.least(*(F.when(_over(r), F.col(f"__k_{r}")).otherwise(len(RULES)) for r in RULES))
+    tried = rows.where("__proves and __good = 1").join(_limits(measured.sparkSession, proposed), "__stratum").groupBy("__stratum", step.alias("step")).count()
+    hits = {(r["__stratum"], r["step"]): r["count"] for r in tried.collect()}
+    level = (1 - CONFIDENCE) / len(own)
+    found = {}
+    for row in own:
+        name, wrong, kept = row["__stratum"], 0, []
+        for k, pair in enumerate(proposed[name]):
+            wrong += hits.get((name, k), 0)
+            if binomial_bound(wrong, row["proving"], level) > RISK:
+                break
+            kept.append(pair)
+        found[name] = kept
     return found
 
 
-def verdict(measured: DataFrame, cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> DataFrame:
-    """`measured` with __base_failed, __reason (the first rule that rejects, or null) and __kept."""
-    spark = measured.sparkSession
-    rows = [(s, *(c.get(r) for r in RULES)) for s, c in cutoffs.items() if s is not None]
-    schema = "__stratum string, " + ", ".join(f"__c_{r} double" for r in RULES)
-    limits = spark.createDataFrame(rows, schema).withColumn("__own", F.lit(True))
-    if len(rows) <= BROADCAST_STRATA:
-        limits = F.broadcast(limits)
-    shared = cutoffs.get(None, {})
-    out = measured.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit(""))).join(limits, "__stratum", "left").withColumn("__base_failed", base_failed("__"))
-    over = F.coalesce(F.when(F.col("__base_failed"), F.lit("base")), *(F.when(_value(r) > F.when(F.col("__own"), F.col(f"__c_{r}")).otherwise(F.lit(shared.get(r)).cast("double")), F.lit(r)) for r in RULES))
-    return out.withColumn("__reason", over).withColumn("__kept", F.col("__reason").isNull())
+def verdict(measured: DataFrame, cutoffs: dict[str, list[tuple[str, float]]], stratum: str = "lang") -> DataFrame:
+    """`measured` with __base_failed, __reason (the first rule that rejects, or null) and __kept; in a stratum without cutoffs only the base rule rejects."""
+    out = measured.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit(""))).join(_limits(measured.sparkSession, cutoffs), "__stratum", "left").withColumn("__base_failed", base_failed("__"))
+    reason = F.coalesce(F.when(F.col("__base_failed"), F.lit("base")), *(F.when(_over(r), F.lit(r)) for r in RULES))
+    return out.withColumn("__reason", reason).withColumn("__kept", F.col("__reason").isNull())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

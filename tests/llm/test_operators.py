@@ -132,10 +132,60 @@ def test_scores(docs, none, rows):
     assert ngram_scores.interpolated_scores(none.withColumn("held", F.lit(False))).count() == 0
 
 
+def brute_scores(rows):
+    """Scores by dictionaries: every training token deleted, weights by expectation-maximisation over the tokens one by one."""
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 5 == 1
+    texts = [(k, held(k), WORD.findall(lowered(t)) + [None]) for k, t in rows]
+    train = [w for _, h, w in texts if not h]
+    one, two, before = Counter(w for t in train for w in t), Counter(), Counter()
+    for t in train:
+        for a, b in zip(["start", *t], t, strict=False):
+            two[(a, b) if a != "start" else (0, b)] += 1
+            before[a if a != "start" else 0] += 1
+    n, v = sum(one.values()), len(one)
+    bin_of = lambda c: int(math.log2(c + 1))
+    deleted = defaultdict(list)
+    for t in train:
+        for a, b in zip([0, *t], t, strict=False):
+            c = before[a] - 1
+            deleted[bin_of(c)].append((1 / (v + 1), (one[b] - 1) / max(n - 1, 1), (two[a, b] - 1) / max(c, 1)))
+    weights = {}
+    for b, p in deleted.items():
+        p, w = np.array(p), np.full(3, 1 / 3)
+        for _ in range(ngram_scores.EM_ROUNDS):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        weights[b] = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
+    nearest = lambda b: weights[min(weights, key=lambda k: (abs(k - b), k))]
+    out = []
+    for k, _, t in texts:
+        total = 0.0
+        for a, b in zip([0, *t], t, strict=False):
+            w = nearest(bin_of(before[a]))
+            total += math.log10(w[0] / (v + 1) + w[1] * one[b] / n + w[2] * two[a, b] / max(before[a], 1))
+        out.append((k, len(t), total))
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    bag = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(4000)]
+    rows = []
+    for k in range(120):
+        words = [rng.choice(bag)]
+        for _ in range(rng.randrange(80)):
+            words.append(f"n{words[-1]}" if rng.random() < 0.4 and len(words[-1]) < 8 else rng.choice(bag))
+        rows.append((k, " ".join(words)))
+    rows += [(500, None), (501, ""), rows[3]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("held", remainder("doc_id", 5) == 1)
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in ngram_scores.interpolated_scores(frame).collect())
+    for (k, n, s), (k2, n2, s2) in zip(got, sorted(brute_scores(rows)), strict=True):
+        assert (k, n) == (k2, n2) and abs(s - s2) < 2e-3 * n, (k, n, s, s2)
+
+
 def test_learned_weights_sum_to_one_and_prefer_what_predicts():
-    cells = np.zeros((ngram_scores.CONTEXT_BINS, ngram_scores.LOG_BINS + 1, ngram_scores.LOG_BINS + 1), np.int64)
-    cells[3, 55, 20], cells[5, 0, 50] = 100, 100
-    weights = ngram_scores.learn_weights(cells.ravel(), 1000)
+    side = (ngram_scores.LOG_BINS + 1) ** 2
+    weights = ngram_scores.learn_weights(np.array([3 * side, 5 * side]), np.array([100, 100]), np.array([1e-6, 0.1]), np.array([0.5, 0.0]), 1000)
     assert np.allclose(weights.sum(axis=1), 1)
     assert weights[3, 2] > 0.9 and weights[5, 1] > 0.9
 
@@ -212,6 +262,7 @@ def test_binomial_bound():
         p = quality.binomial_bound(hits, trials, 0.01)
         assert np.isclose(sum(math.comb(trials, k) * p**k * (1 - p) ** (trials - k) for k in range(hits + 1)), 0.01, rtol=1e-6)
     assert quality.binomial_bound(5, 5, 0.1) == 1.0
+    assert 0.01 < quality.binomial_bound(1_000_000, 100_000_000, 0.001) < 0.0101
 
 
 def test_cutoffs_keep_good_rows(spark, none):
@@ -225,6 +276,67 @@ def test_cutoffs_keep_good_rows(spark, none):
     assert quality.keep_good(none, labels).count() == 0
 
 
+def brute_cutoffs(rows, labels, halves):
+    """The rules of each stratum by lists of labelled rows: proposed by one half, proved in order by the other."""
+
+    def values(text):
+        words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+        windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+        covered = {j for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
+        n, chars = len(words), sum(map(len, words))
+        tops = {"symbols": len(re.findall(r"[#*$%&|<>]", text)), "marks": len(re.findall("[!?]", text)), "capitals": len(re.findall("[A-ZÀ-Þ]", text)), "stutter": sum(a == b for a, b in zip(words, words[1:], strict=False)), "repeats": len(covered), "lines": len(lines) - len(set(lines))}
+        bottoms = {"capitals": chars, "lines": len(lines)}
+        return n < 20 or 100 * len(covered) > 30 * n, {r: t / bottoms.get(r, n) if bottoms.get(r, n) else 0.0 for r, t in tops.items()}
+
+    known = [(i, lang, labels[i], *values(t)) for i, t, lang in rows if i in labels]
+    known = [x for x in known if not x[3]]
+    strata = sorted({lang for i, lang, good, *_ in known if sum(1 for j, m, g, *_ in known if m == lang and g and halves[j]) >= quality.LEAST_GOOD})
+    found = {}
+    for lang in strata:
+        half = [[(good, v) for i, m, good, _, v in known if m == lang and halves[i] == side] for side in (0, 1)]
+        sums = [sum(g == side for g, _ in half[0]) for side in (0, 1)]
+        proposed = []
+        for rule, (_, cuts) in quality.RULES.items():
+            share = lambda cut, side: sum(g == side and v[rule] > cut for g, v in half[0]) / max(sums[side], 1)  # noqa: E731, B023
+            good, bad, cut = max(((share(c, 1), share(c, 0), c) for c in reversed(cuts)), key=lambda x: x[1] - quality.GAIN * x[0])
+            if bad > quality.GAIN * good:
+                proposed.append((good, -bad, rule, cut))
+        kept = []
+        for _, _, rule, cut in sorted(proposed):
+            trial, good = [*kept, (rule, cut)], [v for g, v in half[1] if g]
+            wrong = sum(any(v[r] > c for r, c in trial) for v in good)
+            if sum(math.comb(len(good), k) * quality.RISK**k * (1 - quality.RISK) ** (len(good) - k) for k in range(wrong + 1)) > (1 - quality.CONFIDENCE) / len(strata):
+                break
+            kept = trial
+        found[lang] = kept
+    return found
+
+
+def test_cutoffs_and_verdicts_against_brute_force(spark):
+    rng = random.Random(12)
+    rows, labels = [], {}
+    for k in range(4600):
+        lang = "xx" if k > 4400 else ("en", "fr")[k % 2]
+        good = rng.random() < 0.8
+        noise = rng.choice((0.0, 0.0, 0.0, 0.02)) if good else rng.choice((0.0, 0.3, 0.6))
+        words = [rng.choice(("###", "WOW!!", "%")) if rng.random() < noise else f"w{rng.randrange(5000)}" for _ in range(rng.randrange(22, 40))]
+        rows.append((k, " ".join(words), lang))
+        if k % 11:
+            labels[k] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(k, g, 0) for k, g in labels.items()], "doc_id long, quality int, toxic int")
+    halves = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
+    measured = quality.with_measures(docs)
+    cutoffs = quality.choose_cutoffs(measured, marks)
+    assert cutoffs == brute_cutoffs(rows, labels, halves) and set(cutoffs) == {"en", "fr"} and all(cutoffs.values())
+    judged = {r["doc_id"]: (r["__kept"], r["__reason"]) for r in quality.verdict(measured, cutoffs).collect()}
+    for lang in ("en", "fr"):
+        good = [k for k, _, m in rows if m == lang and labels.get(k)]
+        assert sum(not judged[k][0] and judged[k][1] != "base" for k in good) <= 1.5 * quality.RISK * len(good)
+    assert all(reason in (None, "base") for k, (_, reason) in judged.items() if rows[k][2] == "xx")
+    assert any(reason == "symbols" for _, reason in judged.values())
+
+
 def test_toxicity(spark, none):
     rng = random.Random(4)
     rows = []
