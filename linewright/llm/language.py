@@ -15,14 +15,15 @@ from .textkit import mix, remainder, slices, span_hashes, table, words
 #: Models are fitted on about so many documents of each language at most, drawn by a hash of their ids.
 SAMPLE_DOCS = 400
 ROUNDS = 4
-#: Longest piece of the vocabulary that is used; longer words are cut into parts of MAX_WORD letters, which are scored alone.
-MAX_PIECE = 8
-MAX_WORD = 30
+#: Words of more letters are not learned from; they are scored like others.
+FIT_LETTERS = 60
 #: Pseudo-count of each piece, and of all letters without a piece together.
 PRIOR = 0.01
 UNDETERMINED = "und"
 SLICE = 4_000_000
-BLOCK = 20_000
+#: Letters of words that are worked on at once, a longer word alone; after so many letters probabilities are scaled.
+BLOCK_LETTERS = 300_000
+RESCALE = 8
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -31,20 +32,26 @@ _SLOT_BITS = 20
 
 @dataclass
 class Pieces:
-    """The letter pieces of a public vocabulary by hash; a word starts with the mark that the vocabulary uses for word starts."""
+    """The letter pieces of a public vocabulary by hash; a word starts with the mark that the vocabulary uses for word starts. Each hash is in one of its two slots."""
 
     keys: np.ndarray
     slots: tuple[np.ndarray, np.ndarray]
+    salt: np.uint64
+    longest: int
 
     @property
     def unknown(self) -> int:
-        return len(self.keys)
+        return len(self.keys) - 1
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        first = self.slots[0][(hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
-        second = self.slots[1][(hashes & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)]
-        padded = np.append(self.keys, np.uint64(0))
-        return np.where(padded[first] == hashes, first, np.where(padded[second] == hashes, second, self.unknown))
+        one, two = _two_slots(hashes, self.salt)
+        first, second = self.slots[0][one], self.slots[1][two]
+        return np.where(self.keys[first] == hashes, first, np.where(self.keys[second] == hashes, second, np.int32(self.unknown)))
+
+
+def _two_slots(hashes: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    mixed = mix(hashes ^ salt)
+    return (mixed >> np.uint64(64 - _SLOT_BITS)).astype(np.int64), (mixed & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -52,24 +59,35 @@ MARK = "▁"
 
 
 def pieces(path: str) -> Pieces:
-    """The vocabulary at `path` (a sentencepiece model): its pieces of at most MAX_PIECE letters, in lower case."""
+    """The vocabulary at `path` (a sentencepiece model): all its pieces of letters, in lower case."""
     if path not in _PIECES:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = {model.id_to_piece(k) for k in range(model.get_piece_size())}
-        texts = sorted(x for x in found if len(x) <= MAX_PIECE and x == x.lower() and (x.removeprefix(MARK) or "a").isalpha())
+        texts = sorted(x for x in found if x == x.lower() and (x.removeprefix(MARK) or "a").isalpha())
         codes, lengths = _codes(texts)
         at = np.concatenate([[0], np.cumsum(lengths)])
         hashes = np.array([_hash(codes[at[k] : at[k + 1]]) for k in range(len(texts))], np.uint64)
-        # A key whose two slots are both taken by others is left out; with these sizes that is about one in a thousand.
-        one, two = np.full(1 << _SLOT_BITS, len(hashes)), np.full(1 << _SLOT_BITS, len(hashes))
-        one[(hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = np.arange(len(hashes))
-        two[(hashes & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)] = np.arange(len(hashes))
-        _PIECES[path] = Pieces(hashes, (one, two))
+        _PIECES[path] = _placed(hashes, int(lengths.max(initial=1)))
     return _PIECES[path]
 
 
+def _placed(hashes: np.ndarray, longest: int) -> Pieces:
+    """Both slot tables; a salt is sought under which what finds its first slot taken has its second slot alone."""
+    n, salt = len(hashes), 0
+    while True:
+        one, two = _two_slots(hashes, np.uint64(salt))
+        _, first = np.unique(one, return_index=True)
+        rest = np.setdiff1d(np.arange(n), first)
+        if len(np.unique(two[rest])) == len(rest):
+            break
+        salt += 1
+    slots = tuple(np.full(1 << _SLOT_BITS, n, np.int32) for _ in range(2))
+    slots[0][one[first]], slots[1][two[rest]] = first, rest
+    return Pieces(np.append(hashes, np.uint64(0)), slots, np.uint64(salt), longest)
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.array([len(x) for x in texts], np.int64)
 
@@ -81,105 +99,129 @@ def _hash(codes: np.ndarray) -> np.uint64:
     return mix(h + np.uint64(len(codes)))[0]
 
 
-def word_matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of marked, lower-case words as a padded matrix, sorted by length, with lengths and the number of the text of each row.
-
-    What is not a letter is left out; texts without letters have no row, and long ones several.
-    """
+@dataclass
+class Words:
+    """Code points of marked, lower-case words, one after the other; words by length: where each starts, its length and the number of its text."""
+
+    codes: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    owner: np.ndarray
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Words in bounded parts, each as a matrix with a row for each place and a column for each word."""
+        at, n = 0, len(self.size)
+        while at < n:
+            to = at + max(1, BLOCK_LETTERS // int(self.size[at]))
+            while to > at + 1 and (to > n or (to - at) * int(self.size[to - 1]) > BLOCK_LETTERS):
+                to = at + max(1, min(n - at, (to - at) * 3 // 4))
+            place = np.arange(int(self.size[to - 1]))[:, None]
+            inside = place < self.size[at:to]
+            yield slice(at, to), np.where(inside, self.codes[np.where(inside, self.first[at:to] + place, 0)], 0)
+            at = to
+
+
+def words_of(texts: list[str]) -> Words:
+    """What is not a letter is left out; texts without letters are no words."""
     codes, lengths = _codes([x.lower() for x in texts])
     owner = np.repeat(np.arange(len(texts)), lengths)
     kinds, inverse = np.unique(codes, return_inverse=True)
     letter = np.array([chr(c).isalpha() for c in kinds.tolist()], bool)
     keep = letter[inverse] if len(codes) else np.zeros(0, bool)
     codes, owner = codes[keep], owner[keep]
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    place = np.arange(len(codes)) - first[owner]
-    part = place // MAX_WORD
-    new = np.ones(len(codes), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-    row = np.cumsum(new) - 1
-    n = int(new.sum())
-    size = np.bincount(row, minlength=n) + 1
-    matrix = np.zeros((n, int(size.max(initial=1))), np.uint32)
-    matrix[:, 0] = ord(MARK)
-    matrix[row, place % MAX_WORD + 1] = codes
-    order = np.argsort(size, kind="stable")
-    return matrix[order], size[order], owner[new][order]
+    named, at, counts = np.unique(owner, return_index=True, return_counts=True)
+    marked = np.insert(codes, at, ord(MARK))
+    order = np.argsort(counts, kind="stable")
+    return Words(marked, (at + np.arange(len(at)))[order], counts[order] + 1, named[order])
 
 
 def _lattice(vocabulary: Pieces, matrix: np.ndarray) -> list[np.ndarray]:
-    """For each length l, the piece from each column on; letters without a piece of their own count as unknown, other runs as nothing (-1)."""
+    """For each length l, the piece from each place on; letters without a piece of their own count as unknown, other runs as nothing (-1)."""
     values = mix(matrix.astype(np.uint64) + np.uint64(1))
     out, rolling = [], np.zeros_like(values)
-    for l in range(1, min(MAX_PIECE, matrix.shape[1]) + 1):
-        rolling = rolling[:, : matrix.shape[1] - l + 1] * _BASE + values[:, l - 1 :]
-        found = vocabulary.find(mix(rolling + np.uint64(l)).ravel()).reshape(rolling.shape)
+    for l in range(1, min(vocabulary.longest, matrix.shape[0]) + 1):
+        rolling = rolling[: matrix.shape[0] - l + 1] * _BASE + values[l - 1 :]
+        found = vocabulary.find(mix(rolling + np.uint64(l)))
         if l > 1:
-            found = np.where(found == vocabulary.unknown, -1, found)
+            found = np.where(found == vocabulary.unknown, np.int32(-1), found)
         out.append(found)
     return out
 
 
-def _table(probabilities: np.ndarray) -> np.ndarray:
-    """Probabilities by piece, with that of no piece (0) last."""
-    return np.vstack([probabilities, np.zeros((1, probabilities.shape[1]))])
-
-
-def forward(lattice: list[np.ndarray], table_: np.ndarray, width: int) -> np.ndarray:
-    """alpha[row, j, language]: the probability of the first j letters, summed over all segmentations."""
-    rows = lattice[0].shape[0]
-    alpha = np.zeros((width + 1, rows, table_.shape[1]))
-    alpha[0] = 1
-    for j in range(1, width + 1):
-        for l in range(1, min(len(lattice), j) + 1):
-            alpha[j] += alpha[j - l] * table_[lattice[l - 1][:, j - l]]
-    return alpha
+def _steps(lattice: list[np.ndarray]) -> list[list[int]]:
+    """For each place the lengths of pieces of more than one letter that end there in some word."""
+    out: list[list[int]] = [[] for _ in range(lattice[0].shape[0] + 1)]
+    for l in range(2, len(lattice) + 1):
+        for j in np.flatnonzero((lattice[l - 1] >= 0).any(axis=1)).tolist():
+            out[j + l].append(l)
+    return out
 
 
-def blocks(matrix: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    for at in range(0, len(matrix), BLOCK):
-        part = slice(at, min(at + BLOCK, len(matrix)))
-        yield part, matrix[part, : size[part.stop - 1]]
+def forward(lattice: list[np.ndarray], probabilities: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The log probability of each word (of ascending sizes) in each language, summed over all segmentations; scaled on the way, so that long words do not underflow."""
+    width, n = lattice[0].shape
+    window = [np.ones((n, probabilities.shape[1]))]
+    out, scale = np.zeros_like(window[0]), np.zeros_like(window[0])
+    ends = np.searchsorted(size, np.arange(width + 2))
+    for j, lengths in enumerate(_steps(lattice)):
+        if j == 0:
+            continue
+        new = window[-1] * probabilities[lattice[0][j - 1]]
+        for l in lengths:
+            found = lattice[l - 1][j - l]
+            hit = np.flatnonzero(found >= 0)
+            new[hit] += window[-l][hit] * probabilities[found[hit]]
+        window.append(new)
+        if len(window) > len(lattice):
+            window.pop(0)
+        done = slice(ends[j], ends[j + 1])
+        out[done] = np.log(new[done]) + scale[done]
+        if j % RESCALE == 0:
+            by = np.where(new > 0, new, 1.0)
+            scale += np.log(by)
+            window = [w / by for w in window]
+    return out
 
 
 def word_logs(vocabulary: Pieces, probabilities: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each text (a word) in each language, and whether it has a letter."""
-    matrix, size, owner = word_matrix(texts)
-    padded = _table(probabilities)
-    out = np.zeros((len(texts), probabilities.shape[1]))
-    for part, block in blocks(matrix, size):
-        alpha = forward(_lattice(vocabulary, block), padded, block.shape[1])
-        np.add.at(out, owner[part], np.log(alpha[size[part], np.arange(len(block))]))
-    has = np.zeros(len(texts), bool)
-    has[owner] = True
+    found = words_of(texts)
+    out, has = np.zeros((len(texts), probabilities.shape[1])), np.zeros(len(texts), bool)
+    for part, matrix in found.blocks():
+        out[found.owner[part]] = forward(_lattice(vocabulary, matrix), probabilities, found.size[part])
+    has[found.owner] = True
     return out, has
 
 
 def fit(vocabulary: Pieces, texts: list[str], counts: np.ndarray) -> np.ndarray:
-    """Piece probabilities of one language, by expectation-maximisation over all segmentations of its counted words."""
-    matrix, size, owner = word_matrix(texts)
-    weight = counts[owner].astype(float)
+    """Piece probabilities of one language, by expectation-maximisation over all segmentations of its counted words of at most FIT_LETTERS letters."""
+    few = np.array([len(x) <= FIT_LETTERS for x in texts], bool)
+    found = words_of([x for x, ok in zip(texts, few, strict=True) if ok])
+    weight = counts[few][found.owner].astype(float)
     n = vocabulary.unknown + 1
-    p = np.full((n, 1), 1.0 / n)
-    for turn in range(ROUNDS):
-        expected, padded = np.full(n + 1, PRIOR), _table(p)
-        for part, block in blocks(matrix, size):
-            lattice, width, ends = _lattice(vocabulary, block), block.shape[1], size[part]
-            alpha = forward(lattice, padded, width)[:, :, 0]
-            rows = np.arange(len(block))
-            beta = np.zeros((width + 1, len(block)))
-            beta[ends, rows] = 1
-            for j in range(width - 1, -1, -1):
-                for l in range(1, min(len(lattice), width - j) + 1):
-                    beta[j] += beta[j + l] * padded[lattice[l - 1][:, j], 0]
-            scale = weight[part] / alpha[ends, rows]
-            for l, found in enumerate(lattice, 1):
-                for j in range(width - l + 1):
-                    share = alpha[j] * padded[found[:, j], 0] * beta[j + l] * scale
-                    expected += np.bincount(np.where(found[:, j] < 0, n, found[:, j]), share, minlength=n + 1)
+    p = np.full(n + 1, 1.0 / n)
+    p[n] = 0.0
+    for _ in range(ROUNDS):
+        expected = np.full(n + 1, PRIOR)
+        for part, matrix in found.blocks():
+            lattice, ends = _lattice(vocabulary, matrix), found.size[part]
+            steps, width, rows = _steps(lattice), len(matrix), np.arange(matrix.shape[1])
+            alpha, beta = np.zeros((width + 1, len(rows))), np.zeros((width + 1, len(rows)))
+            alpha[0], beta[ends, rows] = 1, 1
+            for j in range(1, width + 1):
+                for l in (1, *steps[j]):
+                    alpha[j] += alpha[j - l] * p[lattice[l - 1][j - l]]
+            whole = alpha[ends, rows]
+            scale = np.where(whole > 0, weight[part] / np.where(whole > 0, whole, 1.0), 0.0)
+            for j in range(width, 0, -1):
+                for l in (1, *steps[j]):
+                    piece = lattice[l - 1][j - l]
+                    share = p[piece] * beta[j]
+                    expected += np.bincount(np.where(piece < 0, n, piece), alpha[j - l] * share * scale, minlength=n + 1)
+                    beta[j - l] += share
         expected[n] = 0
-        p = (expected[:n] / expected[:n].sum())[:, None]
-    return np.maximum(p[:, 0], 1e-12)
+        p = expected / expected.sum()
+    return np.maximum(p[:n], 1e-12)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +291,4 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs, train(docs, public_tokenizers.path("piece_bpe_32k.model")))
-    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

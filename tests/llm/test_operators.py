@@ -228,20 +228,45 @@ def test_language(spark, none):
     assert {r["lang_pred"] for r in language.identify(docs, empty).collect()} == {"und"}
 
 
+def brute_logs(vocabulary, p, word):
+    """Log probabilities of a marked word by exact fractions over all segmentations, piece by piece from a dictionary of strings."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    names = {model.id_to_piece(k) for k in range(model.get_piece_size())}
+    number = {x: int(vocabulary.find(np.array([language._hash(language._codes([x])[0])], np.uint64))[0]) for x in names if x == x.lower() and (x.removeprefix("▁") or "a").isalpha()}
+    assert len(set(number.values())) == len(number) and vocabulary.unknown not in number.values()
+    text = "▁" + word
+    total = [0.0] + [-math.inf] * len(text)
+    for j in range(1, len(text) + 1):
+        terms = []
+        for l in range(1, j + 1):
+            piece = text[j - l : j]
+            k = number.get(piece, vocabulary.unknown if l == 1 else None)
+            if k is not None:
+                terms.append(total[j - l] + math.log(p[k]))
+        top = max(terms)
+        total[j] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return total[-1]
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    p = np.random.default_rng(0).dirichlet(np.ones(pieces.unknown + 1))[:, None]
-    matrix, size, _ = language.word_matrix(["then"])
-    lattice = language._lattice(pieces, matrix)
-    total = 0.0
-    for cuts in range(16):
-        at, product, edges = 0, 1.0, [k + 1 for k in range(4) if cuts >> k & 1] + [5]
-        for e in edges:
-            piece = lattice[e - at - 1][0, at]
-            product *= p[piece, 0] if piece >= 0 else 0.0
-            at = e
-        total += product
-    assert np.isclose(language.forward(lattice, language._table(p), 5)[5, 0, 0], total)
+    p = np.maximum(np.random.default_rng(0).dirichlet(np.ones(pieces.unknown + 1), 2).T, 1e-12)
+    texts = ["then", "internationalisation", "ß", "漢字", "x" * 700, "12", "Donaudampfschifffahrtsgesellschaft" * 4]
+    logs, has = language.word_logs(pieces, p, texts)
+    assert has.tolist() == [True, True, True, True, True, False, True]
+    for k in (0, 1, 2, 3, 4, 6):
+        assert np.isclose(logs[k, 1], brute_logs(pieces, p[:, 1], texts[k].lower()), rtol=1e-9)
+
+
+def test_fit_gains_likelihood_and_counts_whole_pieces():
+    vocabulary = language.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts, counts = ["the", "then", "other", "mother", "a" * 100], np.array([50, 20, 10, 5, 1])
+    p = language.fit(vocabulary, texts, counts)[:, None]
+    flat = np.full((vocabulary.unknown + 1, 1), 1 / (vocabulary.unknown + 1))
+    assert np.isclose(p.sum(), 1, atol=1e-6)
+    assert (counts[:4] @ language.word_logs(vocabulary, p, texts[:4])[0] > counts[:4] @ language.word_logs(vocabulary, flat, texts[:4])[0]).all()
 
 
 def test_measures(rows, docs, none):
