@@ -3,7 +3,8 @@
 A text is cut into paragraph cells: its lines, in pieces of few words. The digests of the cells are a set. A sketch of a set has three
 subtables; each digest goes to one cell of each, where a count, the XOR of digests and the XOR of their checks are kept. The sketches
 of two versions subtract, what both have cancels, and peeling gives the digests that differ: a cell whose count is one either way and
-whose check agrees holds one digest, which is then taken out of the other two subtables.
+whose check agrees holds one digest, which is then taken out of the other two subtables. The smallest sketch is the fingerprint. Two
+fingerprints that differ in more than it can hold are tried again as larger sketches of the same digests.
 """
 
 from __future__ import annotations
@@ -15,38 +16,55 @@ from pyspark.sql import functions as F
 
 from .textkit import scratch, stored, table
 
-#: Characters at the start of a text that are cut into short cells, and the words of short and long cells.
-HEAD_CHARS = 400
-HEAD_WORDS, TAIL_WORDS = 4, 12
-#: Cells of each subtable of the fixed sketch that is given out as the fingerprint.
-PRINT_WIDTH = 4
-#: Least cells of a subtable when versions are compared; rounds of peeling; room for each expected difference.
-LEAST_WIDTH = 8
+#: Words of a cell.
+CELL_WORDS = 8
+#: Cells of each subtable of the fingerprint; rounds of peeling; room for each digest when a pair is tried again.
+PRINT_WIDTH = 8
 ROUNDS = 9
 ROOM = 2.0
-#: Attempts, each with twice the cells of the one before.
-ATTEMPTS = 8
-#: Text bytes that a bucket of neighbouring ids holds, and the most buckets.
+#: Attempts, each after the second with twice the cells of the one before; what then is left is compared digest by digest.
+ATTEMPTS = 6
+#: Text bytes that a bucket of neighbouring ids holds, the most buckets that a table may be written in, and the most edges of buckets that are broadcast.
 BUCKET_BYTES = 8_000_000
-MOST_BUCKETS = 20_000
+TABLE_BUCKETS = 50_000
+BROADCAST_EDGES = 4_000_000
 
 
-def _cells(text: str, n_words: int) -> str:
+def digests(text: str) -> Column:
+    """The distinct digests of the paragraph cells of a text column; none for a text without words."""
     space, word = r"[\\x20\\x09\\x0B-\\x0D]+", r"[^\\x20\\x09-\\x0D]+"
-    return f"regexp_extract_all({text}, '{word}(?:{space}{word}){{0,{n_words - 1}}}', 0)"
+    return F.expr(f"array_distinct(transform(regexp_extract_all({text}, '{word}(?:{space}{word}){{0,{CELL_WORDS - 1}}}', 0), p -> xxhash64(p)))")
 
 
-def digests(text: str) -> Column:
-    """The distinct digests of the paragraph cells of a text column; none for an empty text."""
-    head, tail = _cells(f"left({text}, {HEAD_CHARS})", HEAD_WORDS), _cells(f"substring({text}, {HEAD_CHARS + 1})", TAIL_WORDS)
-    return F.expr(f"array_distinct(transform(concat({head}, {tail}), p -> xxhash64(p)))")
+def sketch(hashes: str, width: int = PRINT_WIDTH) -> Column:
+    """The cells (n, k, c) of a sketch of an array of digests, three subtables one after the other."""
+    placed = f"transform({hashes}, h -> named_struct('k', h, 'c', {_check('h')}, 'p', array({', '.join(_place(str(t), 'h', str(width)) for t in range(3))})))"
+    cell = "filter(placed, x -> x.p[t] = j)"
+    one = f"named_struct('n', cast(size({cell}) as long), 'k', aggregate({cell}, 0L, (a, x) -> a ^ x.k), 'c', aggregate({cell}, 0L, (a, x) -> a ^ x.c))"
+    return F.expr(f"element_at(transform(array({placed}), placed -> flatten(transform(sequence(0, 2), t -> transform(sequence(0, {width - 1}), j -> {one})))), 1)")
+
 
+def printed(cells: str) -> Column:
+    """A sketch as text; equal sets give equal texts."""
+    return F.expr(f"array_join(transform({cells}, x -> concat_ws(':', hex(x.n), hex(x.k), hex(x.c))), ',')")
 
-def fixed_sketch(hashes: str) -> Column:
-    """A sketch with cells of fixed number as text: equal sets give equal texts."""
-    cell = f"filter({hashes}, h -> pmod(shiftright(h, 16 * t), {PRINT_WIDTH}) = j)"
-    one = f"concat(hex(size({cell})), ':', hex(aggregate({cell}, 0L, (a, h) -> a ^ h)))"
-    return F.expr(f"array_join(flatten(transform(sequence(0, 2), t -> transform(sequence(0, {PRINT_WIDTH - 1}), j -> {one}))), ',')")
+
+def _bucketed_ids(texts: DataFrame) -> tuple[DataFrame, int]:
+    """`texts` with `bucket`, which grows with doc_id, and the number of buckets, by approximate quantiles in two levels."""
+    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(1, -(-total // BUCKET_BYTES))
+    if n == 1:
+        return texts.withColumn("bucket", F.lit(0).cast("long")), 1
+    coarse = int(n**0.5)
+    fine = -(-n // coarse)
+    cuts = texts.select(F.percentile_approx("doc_id", [k / coarse for k in range(1, coarse)] or [0.5], 20 * coarse)).first()[0] or []
+    edges = ", ".join(f"{x}L" for x in sorted(set(cuts)))
+    rough = texts.withColumn("coarse", F.coalesce(F.expr(f"size(filter(array({edges}), b -> b <= doc_id))") if edges else F.lit(0), F.lit(0)))
+    inner = rough.groupBy("coarse").agg(F.percentile_approx("doc_id", [k / fine for k in range(1, fine)] or [0.5], 20 * fine).alias("edges"))
+    inner = stored(inner.select("coarse", F.array_sort(F.array_distinct("edges")).alias("edges")), "edges")
+    placed = rough.join(F.broadcast(inner) if n <= BROADCAST_EDGES else inner, "coarse", "left")
+    bucket = F.col("coarse").cast("long") * (fine + 1) + F.coalesce(F.expr("size(filter(edges, b -> b <= doc_id))"), F.lit(0))
+    return placed.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket).cast("long")).drop("coarse", "edges"), n
 
 
 def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -55,35 +73,21 @@ def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
     The ids are dealt by approximate quantiles into buckets of bounded size, so there is one shuffle of the texts, and only the last row of
     each bucket needs the first of another.
     """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET_BYTES))))
-    edges = sorted(set(texts.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * max(n, 1000))).first()[0] or []))
-    step = max(1, int(len(edges) ** 0.5))
-    fine = [edges[k : k + step] for k in range(0, len(edges), step)]
-    if fine:
-        coarse = "array(" + ", ".join(f"{x[0]}L" for x in fine) + ")"
-        lists = "array(" + ", ".join("array(" + ", ".join(f"{y}L" for y in x) + ")" for x in fine) + ")"
-        place = f"size(filter({coarse}, b -> b <= doc_id))"
-        bucket = F.expr(f"case when doc_id is null or doc_id < {edges[0]} then 0 else {step} * ({place} - 1) + size(filter(element_at({lists}, {place}), b -> b <= doc_id)) end")
-    else:
-        bucket = F.lit(0)
-    bucketed = texts.withColumn("bucket", bucket.cast("int")).repartition(n, "bucket")
+    texts, n = _bucketed_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    rows = bucketed.select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
-    first_ids = stored(texts.withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.col("doc_id").alias("doc_id"))).alias("first")).select("bucket", "first.doc_id"), "first-ids")
-    present = sorted(r["bucket"] for r in first_ids.select("bucket").collect())
-    if not present:
-        return rows, n
-    follows = spark.createDataFrame([(b, present[(k + 1) % len(present)]) for k, b in enumerate(present)], "bucket int, after int")
-    first_texts = texts.join(F.broadcast(first_ids.withColumnRenamed("doc_id", "first_id")), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("bucket").agg(F.min("text").alias("first_text"))
-    after = follows.join(first_texts.withColumnRenamed("bucket", "after"), "after").select("bucket", "first_text")
-    return rows.join(after, "bucket", "left").withColumn("next_text", F.coalesce("next_text", "first_text")).drop("first_text"), n
+    rows = texts.repartition(n, "bucket").select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
+    key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("doc_id"))
+    firsts = stored(texts.groupBy("bucket").agg(F.min(key).alias("first")).select("bucket", F.col("first.doc_id").alias("first_id")), "firsts")
+    every = Window.orderBy("bucket")  # a row for each bucket only
+    after = firsts.select("bucket", F.coalesce(F.lead("bucket").over(every), F.first("bucket").over(every)).alias("after"))
+    heads = texts.join(F.broadcast(firsts.withColumnRenamed("bucket", "of")) if n <= BROADCAST_EDGES else firsts.withColumnRenamed("bucket", "of"), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    heads = heads.groupBy(F.col("bucket").alias("after")).agg(F.min("text").alias("first_text"))
+    first_texts = after.join(heads, "after").select("bucket", "first_text")
+    return rows.join(first_texts, "bucket", "left").withColumn("next_text", F.coalesce("next_text", "first_text")).drop("first_text"), n
 
 
-def _place(t: str, key: str) -> str:
-    return f"pmod(xxhash64({key}, {t}), width)"
+def _place(t: str, key: str, width: str = "width") -> str:
+    return f"pmod(xxhash64({key}, {t}), {width})"
 
 
 def _check(key: str) -> str:
@@ -97,17 +101,23 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*_KEY, "cell").agg(F.max("width").alias("width"), F.sum("n").alias("n"), F.expr("bit_xor(k)").alias("k"), F.expr("bit_xor(c)").alias("c")).where("n != 0 or k != 0 or c != 0")
 
 
-def subtract_and_peel(pairs: DataFrame, keep: bool = False) -> DataFrame:
-    """For rows (bucket, place, pair, width, ours, theirs), the last two arrays of digests, rows of the same key that tell what peeling found.
+def subtracted(pairs: DataFrame) -> DataFrame:
+    """For rows (bucket, place, pair, width, ours, theirs), the last two arrays of digests, the cells of their sketches' difference: rows (bucket, place, pair, width, cell, n, k, c).
 
-    cell -1 counts the digests that only `ours` has, -2 (negative) those that only `theirs` has; cells from 0 on are left over, so that pair
-    failed. With `keep` each digest found is a row of its own, with cell below -2, the digest as k and the side as n.
     Keys must be distributed by bucket already for the sums to need no shuffle.
     """
     entry = "transform({0}, h -> named_struct('h', h, 's', {1}L))"
     entries = pairs.select(*_KEY, "width", F.explode(F.expr(f"concat({entry.format('ours', 1)}, {entry.format('theirs', -1)})")).alias("e")).select(*_KEY, "width", F.col("e.h").alias("k"), F.col("e.s").alias("n"))
     spread = entries.withColumn("c", F.expr(_check("k"))).withColumn("cell", F.explode(F.expr("array(" + ", ".join(f"{t}L * width + {_place(str(t), 'k')}" for t in range(3)) + ")")))
-    cells = _summed(spread)
+    return _summed(spread)
+
+
+def peel(cells: DataFrame, keep: bool = False) -> DataFrame:
+    """For cells of differences as of `subtracted` rows of the same key that tell what peeling found.
+
+    cell -1 counts the digests that only ours has, -2 (negative) those that only theirs has; cells from 0 on are left over, so that pair
+    failed. With `keep` each digest found is a row of its own, with cell below -2, the digest as k and the side as n.
+    """
     for turn in range(ROUNDS):
         t = turn % 3
         others = [o for o in range(3) if o != t]
@@ -119,30 +129,35 @@ def subtract_and_peel(pairs: DataFrame, keep: bool = False) -> DataFrame:
     return cells
 
 
-def likeness(rows: DataFrame, pairs: list[tuple[str, str, float]]) -> list[DataFrame]:
-    """For each attempt rows (bucket, place, pair, ours_only, theirs_only) of the pairs that peeling solved in it.
+def likeness(rows: DataFrame, pairs: list[tuple[str, str]]) -> list[DataFrame]:
+    """Frames of rows (bucket, place, pair, ours_only, theirs_only), the last two null for 0, one for each attempt with the pairs that it solved.
 
-    `rows` is distributed by bucket and has the arrays named in `pairs`: ours, theirs, and the expected share of differing digests, by
-    which the first sketch is sized. A pair without a solution is tried again with twice the cells.
+    `rows` is distributed by bucket and has for each name in `pairs` an array of digests and, as sketch_<name>, its fingerprint's cells.
+    The fingerprints are subtracted first. A pair whose difference they cannot hold is tried again with sketches sized by both
+    sets, then with twice the cells each time, and at last, exactly, by the arrays.
     """
     solved: list[DataFrame] = []
     todo = None
     for attempt in range(ATTEMPTS):
         listed = []
-        for k, (ours, theirs, share) in enumerate(pairs):
-            width = F.expr(f"cast(greatest({LEAST_WIDTH}, ceil((size({ours}) + size({theirs})) * {share * ROOM * 2**attempt / 3})) as long)")
-            listed.append(F.struct(F.lit(k).alias("pair"), width.alias("width"), F.col(ours).alias("ours"), F.col(theirs).alias("theirs")))
+        for k, (ours, theirs) in enumerate(pairs):
+            width = F.lit(PRINT_WIDTH).cast("long") if not attempt else F.expr(f"cast(greatest({2 * PRINT_WIDTH}, ceil((size({ours}) + size({theirs})) * {ROOM / 3})) * {2 ** (attempt - 1)} as long)")
+            what = [F.expr(f"zip_with(sketch_{ours}, sketch_{theirs}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))").alias("cells")] if not attempt else [F.col(ours).alias("ours"), F.col(theirs).alias("theirs")]
+            listed.append(F.struct(F.lit(k).alias("pair"), width.alias("width"), *what))
         each = rows.select("bucket", "place", F.explode(F.array(*listed)).alias("p")).select("bucket", "place", "p.*")
-        if todo is not None:
-            each = each.join(todo, list(_KEY), "left_semi")
-        peeled = subtract_and_peel(each)
-        state = peeled.groupBy(*_KEY).agg(F.max("cell").alias("left"), F.sum(F.when(F.col("cell") == -1, F.col("n"))).alias("ours_only"), F.sum(F.when(F.col("cell") == -2, -F.col("n"))).alias("theirs_only"))
+        if todo is None:
+            cells = each.select(*_KEY, "width", F.posexplode("cells").alias("cell", "x")).select(*_KEY, "width", F.col("cell").cast("long").alias("cell"), "x.n", "x.k", "x.c").where("n != 0 or k != 0 or c != 0")
+        else:
+            cells = subtracted(each.join(todo, list(_KEY), "left_semi"))
+        state = peel(cells).groupBy(*_KEY).agg(F.max("cell").alias("left"), F.sum(F.when(F.col("cell") == -1, F.col("n"))).alias("ours_only"), F.sum(F.when(F.col("cell") == -2, -F.col("n"))).alias("theirs_only"))
         state = stored(state, "peeled")
         solved.append(state.where("left < 0").drop("left"))
         todo = state.where("left >= 0").select(*_KEY)
         if todo.isEmpty():
             return solved
-    raise RuntimeError(f"sketches of {todo.count()} pairs could not be peeled in {ATTEMPTS} attempts")
+    each = rows.select("bucket", "place", F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.col(a).alias("ours"), F.col(b).alias("theirs")) for k, (a, b) in enumerate(pairs)))).alias("p")).select("bucket", "place", "p.*")
+    count = lambda a, b: F.size(F.array_except(a, b)).cast("long")
+    return [*solved, each.join(todo, list(_KEY), "left_semi").select(*_KEY, count("ours", "theirs").alias("ours_only"), count("theirs", "ours").alias("theirs_only"))]
 
 
 def op4_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,13 +168,13 @@ def op4_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     near, n = neighbours(table(spark, sf_dir, "documents"))
     edited = near.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 4) as int)), left(next_text, cast(floor(n_chars / 4) as int)))"))
     rows = edited.select("bucket", "place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("new"), digests("next_text").alias("next"))
-    kept = _bucketed(rows, n)
-    solved = likeness(kept, [("own", "new", 0.35), ("own", "next", 1.0)])
-    every = solved[0]
-    for more in solved[1:]:
-        every = every.union(more)
+    kept = _bucketed(rows, min(n, TABLE_BUCKETS))
+    kept = kept.withColumns({f"sketch_{x}": sketch(x) for x in ("own", "new", "next")})
+    every, *more = likeness(kept, [("own", "new"), ("own", "next")])
+    for part in more:
+        every = every.union(part)
     gone = every.groupBy("bucket", "place").agg(*(F.sum(F.when(F.col("pair") == k, F.coalesce("ours_only", F.lit(0)) + F.coalesce("theirs_only", F.lit(0)))).alias(f"gone_{k}") for k in (0, 1)))
-    both = kept.select("bucket", "place", "doc_id", "n_chars", "edited_sha256", fixed_sketch("own").alias("fingerprint"), fixed_sketch("new").alias("edited_fingerprint"), F.expr("size(own) + size(new)").alias("all_0"), F.expr("size(own) + size(next)").alias("all_1")).join(gone, ["bucket", "place"], "left")
+    both = kept.select("bucket", "place", "doc_id", "n_chars", "edited_sha256", printed("sketch_own").alias("fingerprint"), printed("sketch_new").alias("edited_fingerprint"), F.expr("size(own) + size(new)").alias("all_0"), F.expr("size(own) + size(next)").alias("all_1")).join(gone, ["bucket", "place"], "left")
     alike = [F.when(F.col(f"all_{k}") > 0, 1 - F.coalesce(f"gone_{k}", F.lit(0)) / F.col(f"all_{k}")).otherwise(1.0).alias(name) for k, name in enumerate(("near_edited", "near_next"))]
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *alike)
 

@@ -204,15 +204,29 @@ def test_sketches(docs, none, rows):
     assert fingerprints.neighbours(none)[0].count() == 0
 
 
-def test_peeling_recovers_the_differences(spark):
+def test_peeling_recovers_the_differences(spark, monkeypatch):
     ours, theirs = list(range(1, 60)), list(range(40, 90))
     rows = spark.createDataFrame([(0, 0, 0, 60, ours, theirs)], "bucket int, place int, pair int, width long, ours array<long>, theirs array<long>")
-    found = fingerprints.subtract_and_peel(rows, keep=True).collect()
+    found = fingerprints.peel(fingerprints.subtracted(rows), keep=True).collect()
     assert {r["k"] for r in found if r["n"] == 1 and r["cell"] < 0} == set(range(1, 40))
     assert {r["k"] for r in found if r["n"] == -1 and r["cell"] < 0} == set(range(60, 90))
-    small = spark.createDataFrame([(0, 0, ours, theirs), (1, 1, ours, ours)], "bucket int, place int, a array<long>, b array<long>")
-    solved = [r for part in fingerprints.likeness(small, [("a", "b", 0.05)]) for r in part.collect()]
-    assert [(r["bucket"], r["ours_only"], r["theirs_only"]) for r in solved if r["ours_only"]] == [(0, 39, 30)]
+    small = spark.createDataFrame([(0, 0, ours, theirs), (1, 1, ours, ours), (2, 2, ours, ours[3:]), (3, 3, [], [])], "bucket int, place int, a array<long>, b array<long>").withColumns({f"sketch_{x}": fingerprints.sketch(x) for x in "ab"})
+    for attempts in (6, 1):  # the second: what the fingerprints cannot hold is compared exactly
+        monkeypatch.setattr(fingerprints, "ATTEMPTS", attempts)
+        parts = fingerprints.likeness(small, [("a", "b")])
+        assert sorted((r["bucket"], r["ours_only"] or 0, r["theirs_only"] or 0) for part in parts for r in part.collect()) == [(0, 39, 30), (2, 3, 0)]
+        assert len(parts) == 2 and [r["bucket"] for r in parts[0].collect()] == [2]
+
+
+def test_ids_are_dealt_in_order(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 500)
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**6) ** 2, f"text {k} " * 4) for k in range(400)] + [(None, "x" * 40), (7, "a"), (7, "b")]
+    near, n = fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = near.collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert n > 20 and len({r["bucket"] for r in got}) > 10
+    assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in got), key=repr) == sorted(((r[0], r[1], order[(k + 1) % len(order)][1]) for k, r in enumerate(order)), key=repr)
 
 
 def test_language(spark, none):
@@ -506,9 +520,20 @@ def test_edited_texts(spark, tmp_path, rows):
     got = fingerprints.op4_bloom_sketch(spark, str(tmp_path)).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     expected = []
+
+    def cells(text):
+        return {tuple(WORD.findall(line)[k : k + fingerprints.CELL_WORDS]) for line in text.split("\n") for k in range(0, len(WORD.findall(line)), fingerprints.CELL_WORDS)}
+
+    def alike(a, b):
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
     for k, r in enumerate(order):
         text, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
         cut = len(text) // 4
-        expected.append((r[0], len(text), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == sorted(expected, key=repr)
-    assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
+        edited = text[: len(text) - cut] + after[:cut]
+        expected.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), round(alike(cells(text), cells(edited)), 9), round(alike(cells(text), cells(after)), 9)))
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got), key=repr) == sorted(expected, key=repr)
+    prints = defaultdict(set)
+    for r in got:
+        prints[next(x[1] for x in rows if x[0] == r["doc_id"]) or ""].add(r["fingerprint"])
+    assert all(len(x) == 1 for x in prints.values())
