@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word 5-grams overlap by at least 80 per cent, and the classes that such links form.
 
 Equal sets are one class from the start, so copies cost one row each. Each class emits the rarest fifth of its n-grams (frequencies come
-from a fixed-size table of counters, which any order keeps right and a good one keeps fast); classes that share one of these meet,
+from a table of counters that grows with the input up to a bounded size, which any order keeps right and a good one keeps fast); classes that share one of these meet,
 pass length, positional and suffix filters, and are verified once per pair on their whole sets. In each group all members meet its first
 few, the pivots, which is all pairs of a small group. Of large groups then members in different components are compared, in blocks
 of bounded size, so no link between components is lost. When the components are known, the members of large groups in each are compared,
@@ -11,6 +11,7 @@ all pairs, in blocks of whole sets that give counts alone, so every class has al
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,10 @@ from .textkit import mix, scratch, shingles, slices, span_hashes, stored, table,
 NGRAM = 5
 #: Similarity in hundredths.
 PER_CENT = 80
-#: Counters of n-gram frequencies, indexed by the high bits of the hash; fixed, whatever the input.
-COUNTER_BITS = 16
+#: Bytes of text for each counter of n-gram frequencies, and the least and most counters, as powers of two; counters travel in chunks.
+COUNTER_TEXT = 512
+COUNTER_BITS = (16, 22)
+CHUNK = 1 << 16
 #: Parts into which the suffix filter divides a set; it passes sets with a part of 255 or more.
 PARTS = 256
 #: Members of each group that all others meet at once.
@@ -34,9 +37,12 @@ BLOCK = 256
 #: Bytes of n-grams of a block of whole sets.
 BLOCK_BYTES = 2 << 20
 SLICE = 1_000_000
-#: Bits of the fixed-size filter that says whose sets are asked for, and sets behind one table bucket.
-FILTER_BITS = 21
+#: A filter with so many bits for each id says whose sets are asked for, up to a number of ids that may be broadcast; beyond it texts are joined with the ids. Sets behind one table bucket.
+FILTER_BITS = 16
+FILTER_IDS = 2_000_000
 BUCKET_SETS = 2000
+#: Spark allows a table no more buckets than about this.
+TABLE_BUCKETS = 50_000
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,7 +51,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def distinct_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct n-gram hashes of each document, one after the other, the sizes, and a digest of each set."""
+    """The sorted distinct n-gram hashes of each document, one after the other, the sizes, and two digests of each set, [2, document]."""
     starts, ends, bounds = words(raw, offsets)
     grams, owner = shingles(span_hashes(raw, starts, ends, lower=True), bounds, NGRAM)
     order = np.lexsort((grams, owner))
@@ -54,33 +60,65 @@ def distinct_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
     grams, owner = grams[new], owner[new]
     sizes = np.bincount(owner, minlength=len(offsets) - 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(0xA24BAED4963EE407)), dtype=np.uint64)])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    return grams, sizes, mix((sums[at[1:]] - sums[at[:-1]]) + sizes.astype(np.uint64)).view(np.int64)
+    digests = []
+    for salt in (0xA24BAED4963EE407, 0x9FB21C651E98DF25):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(salt)), dtype=np.uint64)])
+        digests.append(mix((sums[at[1:]] - sums[at[:-1]]) + sizes.astype(np.uint64)).view(np.int64))
+    return grams, sizes, np.stack(digests)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counters = np.zeros(1 << COUNTER_BITS, np.uint32)
-    names = ["doc_id", "n_shingles", "cls", "parts", "counters"]
-    for batch, raw, offsets in slices(batches, "text", SLICE):
-        grams, sizes, digests = distinct_sets(raw, offsets)
-        counters += np.bincount((grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS).astype(np.uint32)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        part = (grams % np.uint64(PARTS)).astype(np.int64)
-        parts = np.bincount(owner * PARTS + part, minlength=len(sizes) * PARTS)
-        parts = np.minimum(parts, 255).astype(np.uint8).reshape(-1, PARTS)
-        none = np.full(batch.num_rows, None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64(), mask=sizes == 0), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(none, pa.binary())], names)
-    if counters.any():
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counters.tobytes()], pa.binary())], names)
+def classes(digests: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The class of each set: its first digest, or the second where the first is one of those that different sets share."""
+    return np.where(np.isin(digests[0], shared), mix(digests[1].view(np.uint64)).view(np.int64), digests[0]) if len(shared) else digests[0]
+
+
+DESCRIBED = "doc_id long, n_shingles long, cls long, twin long, parts binary, chunk int, counters binary"
+
+
+def _packed(counters: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for k in range(0, len(counters), CHUNK):
+        if counters[k : k + CHUNK].any():
+            yield k // CHUNK, zlib.compress(counters[k : k + CHUNK].astype("<i8").tobytes(), 1)
+
+
+def _describe(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << bits, np.int32)
+        names = [x.split()[0] for x in DESCRIBED.split(", ")]
+        for batch, raw, offsets in slices(batches, "text", SLICE):
+            grams, sizes, digests = distinct_sets(raw, offsets)
+            np.add.at(counters, (grams >> np.uint64(64 - bits)).astype(np.int64), np.int32(1))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            part = (grams % np.uint64(PARTS)).astype(np.int64)
+            parts = np.bincount(owner * PARTS + part, minlength=len(sizes) * PARTS)
+            parts = np.minimum(parts, 255).astype(np.uint8).reshape(-1, PARTS)
+            two = [pa.array(d, pa.int64(), mask=sizes == 0) for d in digests]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), *two, pa.array([x.tobytes() for x in parts], pa.binary()), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names)
+        for chunk, blob in _packed(counters):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], names)
+
+    return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNTER_BITS, np.int64)
+    """Rows (chunk, counters), added up by chunk; holds a chunk's counters for each chunk that comes along."""
+    totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        for blob in batch.column(0):
-            total += np.frombuffer(blob.as_py(), np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counters"])
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(blob), "<i8")
+            totals[chunk] = totals[chunk] + own if chunk in totals else own
+    for chunk, total in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["chunk", "counters"])
+
+
+def _frequencies(described: DataFrame, bits: int) -> np.ndarray:
+    """Eight times the binary logarithm of each counter over all documents, in a byte. Counters are added up inside tasks first, then by chunk."""
+    rows = described.where("counters is not null").select("chunk", "counters").mapInArrow(_added, "chunk int, counters binary").repartition("chunk").mapInArrow(_added, "chunk int, counters binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(255, np.round(8 * np.log2(1.0 + np.frombuffer(zlib.decompress(r["counters"]), "<i8"))))
+    return out
 
 
 def _unseen(digests: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -93,15 +131,18 @@ def _unseen(digests: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarra
     return fresh
 
 
-def _prefixes(frequency: np.ndarray):
+def _prefixes(frequency: np.ndarray, shared: np.ndarray):
+    shift = np.uint64(64 - int(len(frequency)).bit_length() + 1)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, raw, offsets in slices(batches, "text", SLICE):
-            grams, sizes, digests = distinct_sets(raw, offsets)
+            grams, sizes, both = distinct_sets(raw, offsets)
+            digests = classes(both, shared)
             fresh = _unseen(digests, sizes, seen)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             grams, owner = grams[fresh[owner]], owner[fresh[owner]]
-            order = np.lexsort((grams, frequency[(grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], owner))
+            order = np.lexsort((grams, frequency[(grams >> shift).astype(np.int64)], owner))
             grams = grams[order]
             firsts = np.concatenate([[0], np.cumsum(np.where(fresh, sizes, 0))])[:-1]
             place = np.arange(len(grams)) - firsts[owner]
@@ -169,15 +210,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[keep] for c in columns]
 
 
-def _sets(wanted: np.ndarray):
+def _sets(wanted: np.ndarray | None, shared: np.ndarray):
+    """The whole sets of the documents that the filter `wanted` lets through, or of all; and as 16-bit hashes."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch, raw, offsets in slices(batches, "text", SLICE):
-            grams, sizes, digests = distinct_sets(raw, offsets)
+            grams, sizes, both = distinct_sets(raw, offsets)
+            digests = classes(both, shared)
             at = np.concatenate([[0], np.cumsum(sizes)])
-            ids = batch.column("doc_id")
-            slot = _slot(np.where(np.asarray(ids.is_null()), digests, ids.fill_null(0).to_numpy(zero_copy_only=False)))
-            fresh = np.flatnonzero(_unseen(digests, np.where((wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1, sizes, 0), seen))
+            asked = sizes
+            if wanted is not None:
+                ids = batch.column("doc_id")
+                slot = _slot(np.where(np.asarray(ids.is_null()), digests, ids.fill_null(0).to_numpy(zero_copy_only=False)), len(wanted))
+                asked = np.where((wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1, sizes, 0)
+            fresh = np.flatnonzero(_unseen(digests, asked, seen))
             if len(fresh):
                 own = [grams[at[k] : at[k + 1]] for k in fresh]
                 short = [np.sort(x.astype(np.uint16)).tobytes() for x in own]
@@ -186,16 +233,28 @@ def _sets(wanted: np.ndarray):
     return emit
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _slot(keys: np.ndarray, n_bytes: int) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - int(8 * n_bytes).bit_length() + 1)).astype(np.int64)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for batch in batches:
-        slot = _slot(batch.column(0).to_numpy())
-        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit for each slot of the keys (key), FILTER_BITS slots for each of `n` keys; made by chunk, so that no task holds all."""
+    n_bytes = max(CHUNK // 8, 1 << int(n * FILTER_BITS // 8).bit_length())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slot(batch.column(0).to_numpy(), n_bytes)
+            yield pa.RecordBatch.from_arrays([pa.array((slot // CHUNK).astype(np.int32)), pa.array((slot % CHUNK).astype(np.int32))], ["chunk", "place"])
+
+    def bits(group: pa.Table) -> pa.Table:
+        mask = np.zeros(CHUNK, bool)
+        mask[group.column("place").to_numpy()] = True
+        return pa.table([group.column("chunk").slice(0, 1), pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    out = np.zeros(n_bytes, np.uint8)
+    for r in keys.mapInArrow(numbered, "chunk int, place int").groupBy("chunk").applyInArrow(bits, "chunk int, bits binary").toLocalIterator():
+        out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def _enough(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -356,13 +415,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    seen = stored(texts.mapInArrow(_describe, "doc_id long, n_shingles long, cls long, parts binary, counters binary"), "classes")
-    described = seen.where("counters is null")
-    blobs = seen.where("counters is not null").select("counters").coalesce(16).mapInArrow(_added, "counters binary").collect()
-    frequency = sum((np.frombuffer(r[0], np.int64) for r in blobs), np.zeros(1 << COUNTER_BITS, np.int64))
-    rows = texts.select("text").mapInArrow(_prefixes(frequency), "token long, cls long, size int, place int")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(max(int(size // COUNTER_TEXT).bit_length(), COUNTER_BITS[0]), COUNTER_BITS[1])
+    seen = stored(texts.mapInArrow(_describe(bits), DESCRIBED), "classes")
+    described = seen.where("counters is null").drop("chunk", "counters")
+    # Of N sets some N * N / 2**65 share their first digest with another: none, or a few that the driver can hold.
+    shared = np.array([r["cls"] for r in described.where("cls is not null").groupBy("cls").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a != b").select("cls").collect()], np.int64)
+    if len(shared):
+        described = described.mapInArrow(_renamed(shared), described.schema)
+    rows = texts.select("text").mapInArrow(_prefixes(_frequencies(seen, bits), shared), "token long, cls long, size int, place int")
     groups = stored(rows.repartition(F.col("token")).sortWithinPartitions("token", "cls").mapInArrow(_shared, "token long, cls long, size int, place int, a long, b long"), "groups")
-    degree, roots = _link(spark, texts, described, groups)
+    degree, roots = _link(texts, described, groups, shared)
     keyed = described.select("doc_id", "n_shingles", "cls")
     if degree is not None:
         facts = roots.withColumnRenamed("v", "cls").join(degree, "cls")
@@ -374,7 +437,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return keyed.join(smallest, "place", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _link(spark: SparkSession, texts: DataFrame, described: DataFrame, groups: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def _renamed(shared: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = np.asarray(batch.column("cls").is_null())
+            both = np.stack([batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("cls", "twin")])
+            at = batch.schema.get_field_index("cls")
+            yield batch.set_column(at, "cls", pa.array(classes(both, shared), pa.int64(), mask=none))
+
+    return run
+
+
+def _link(texts: DataFrame, described: DataFrame, groups: DataFrame, shared: np.ndarray) -> tuple[DataFrame | None, DataFrame | None]:
     """The number of links of each class that has any (cls, n_links) and the roots of their components (v, root); None if no two classes meet."""
     pairs, member = groups.where("token is null").select("a", "b").distinct(), groups.where("token is not null").select("token", "cls", "size", "place")
     if groups.isEmpty():
@@ -382,13 +456,15 @@ def _link(spark: SparkSession, texts: DataFrame, described: DataFrame, groups: D
     classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(member.select("cls")).distinct()
     parts = stored(described.where("cls is not null").join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("parts").alias("parts")), "parts")
     tried = _candidates(pairs, parts)
-    sets = _sets_of(texts, described, tried.select(F.explode(F.array("a", "b")).alias("cls")).union(member.select("cls")))
+    sets = _sets_of(texts, described, shared, tried.select(F.explode(F.array("a", "b")).alias("cls")).union(member.select("cls")))
     links = _verified(tried, sets)
     roots = components(links)
     rooted = member.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = rooted.join(sizes, "token").join(parts, "cls").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
-    placed = mixed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "size", "place", "root", "block", "parts")
+    count = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
+    sizes = count.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = sizes.select("token", "main", F.expr(f"cast(ceil((n - inside) / {BLOCK}) as int)").alias("outer"), F.expr(f"cast(ceil(inside / {BLOCK}) as int)").alias("inner"))
+    mixed = rooted.join(sizes, "token").join(parts, "cls").withColumn("block", F.expr("cast(if(root = main, outer + pmod(xxhash64(cls), inner), pmod(xxhash64(cls), outer)) as int)"))
+    placed = mixed.withColumn("other", F.explode(F.expr("sequence(0, if(root = main, outer, outer + inner) - 1)"))).select("token", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "cls", "size", "place", "root", "block", "parts")
     rest = placed.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "cls").mapInArrow(_crossed, "a long, b long")
     more = _verified(stored(rest.distinct().join(tried, ["a", "b"], "left_anti"), "pairs"), sets)
     if not more.isEmpty():
@@ -424,17 +500,21 @@ def _candidates(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return stored(pairs.mapInArrow(_may_link, "a long, b long"), "pairs")
 
 
-def _sets_of(texts: DataFrame, described: DataFrame, classes: DataFrame) -> DataFrame:
-    """The whole sets of the classes, made anew from the text of the first document of each, as a table bucketed by class.
+def _sets_of(texts: DataFrame, described: DataFrame, shared: np.ndarray, asked: DataFrame) -> DataFrame:
+    """The whole sets of the classes in `asked`, made anew from the text of the first document of each, as a table bucketed by class.
 
-    A fixed-size filter of ids tells the tasks which to give out; it lets through a few more, and some classes more than once.
+    A filter of ids tells the tasks which to give out; it lets through a few more, and some classes more than once. Where there are too many
+    ids for a filter, texts are joined with them.
     """
-    first = described.where("cls is not null").join(classes.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    blobs = first.select(F.coalesce("doc_id", "cls").alias("key")).mapInArrow(_slots, "bits binary").coalesce(16).mapInArrow(_merged, "bits binary").collect()
-    wanted = np.bitwise_or.reduce([np.frombuffer(r[0], np.uint8) for r in blobs])
-    name, n = f"sets_{uuid.uuid4().hex}", max(1, -(-int(np.unpackbits(wanted).sum()) // BUCKET_SETS))
-    sets = texts.mapInArrow(_sets(wanted), "cls long, short binary, grams binary")
-    sets.write.bucketBy(n, "cls").option("path", scratch(texts.sparkSession, "sets")).saveAsTable(name)
+    first = stored(described.where("cls is not null").join(asked.distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    n = first.count()
+    if n <= FILTER_IDS:
+        sets = texts.mapInArrow(_sets(_filter(first.select(F.coalesce("doc_id", "cls").alias("key")), n), shared), "cls long, short binary, grams binary")
+    else:
+        ids = first.select("doc_id").distinct()
+        sets = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(_sets(None, shared), "cls long, short binary, grams binary")
+    name = f"sets_{uuid.uuid4().hex}"
+    sets.write.bucketBy(min(TABLE_BUCKETS, max(1, -(-n // BUCKET_SETS))), "cls").option("path", scratch(texts.sparkSession, "sets")).saveAsTable(name)
     return texts.sparkSession.table(name)
 
 
@@ -447,14 +527,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for batch in batches:
-        for blob in batch.column(0):
-            bits |= np.frombuffer(blob.as_py(), np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
-
-
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near duplicates among all `documents`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linewright.llm import fingerprints, html_text, language, mixing, near_duplicates, ngram_scores, packing, quality, token_counts, toxicity
+from linewright.llm import fingerprints, html_text, language, mixing, near_duplicates, ngram_scores, packing, quality, textkit, token_counts, toxicity
 from linewright.llm.encoder import Encoder
 from linewright.llm.textkit import remainder
 
@@ -482,6 +483,23 @@ def test_links_are_counted_whole(spark, monkeypatch):
         assert {r["doc_id"]: r["n_links"] for r in near_duplicates.near_duplicates(frame).collect()} == right
 
 
+def test_sets_that_share_a_digest_and_many_ids(spark, rows, docs, monkeypatch):
+    whole = near_duplicates.distinct_sets
+    for many, bits in ((2, 64), (10**6, 5)):  # by a join of ids; by first digests of few bits, which different sets share
+        def coarse(raw, offsets, bits=bits):
+            grams, sizes, digests = whole(raw, offsets)
+            return grams, sizes, np.stack([digests[0] >> np.int64(64 - bits) if bits < 64 else digests[0], digests[1]])
+
+        monkeypatch.setattr(near_duplicates, "FILTER_IDS", many)
+        found = coarse(*textkit.utf8(pa.array([r[1] for r in rows], pa.large_string())))[2]
+        shared = np.array([d for d in set(found[0].tolist()) if len(set(found[1][found[0] == d].tolist())) > 1], np.int64)
+        classes = near_duplicates.classes(found, shared)
+        assert len(set(classes.tolist())) == len(set(found[1].tolist())) and (bits == 64) == (len(shared) == 0)
+        if bits == 64:
+            got = near_duplicates.near_duplicates(docs).collect()
+            assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_components(rows)
+
+
 PAGE = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>\n text.<p>Second one with some words in it.</article><footer>&copy; us</footer><script>x("</p>")</script></body></html>'
 
 
