@@ -18,13 +18,18 @@ from .textkit import span_hashes, table, utf8, words
 #: The network is fitted on about so many pages at most, drawn by a hash of their ids.
 SAMPLE_PAGES = 160
 EPOCHS = 24
-PATH_BUCKETS, WORD_BUCKETS = 1024, 2048
+#: Made pages for each page of the sample.
+VARIANTS = 3
+PATH_BUCKETS, WORD_BUCKETS = 8192, 2048
+#: Training pages that must have a tag or name for it to have a vector of its own; all others have the zero vector.
+LEAST_PAGES = 8
 PATH_DIM, WORD_DIM, HIDDEN = 16, 8, 16
 #: Bytes of HTML and pages that one pass holds.
 SLICE_BYTES = 4_000_000
 BATCH_PAGES = 256
 
-_DROPPED = r"<(script|style|noscript|template|svg|iframe|object|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+#: Elements without text, up to their end tag; svg and object may end in themselves.
+_DROPPED = r"<(?:svg|object)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|svg|iframe|object|textarea|select)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{_DROPPED}|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -33,8 +38,10 @@ _BLOCKS = frozenset("html head title body main article section header footer nav
 _VOID = frozenset(("hr",))
 #: A tag that opens closes open ones of these kinds above it.
 _CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), **{t: ("p",) for t in ("div", "ul", "ol", "section", "article", "header", "footer", "nav", "aside", "form", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "main", "figure")}}
-_GOOD = frozenset("article main content post entry story body".split())
-_BAD = frozenset("nav menu header footer aside sidebar ad ads advert advertisement banner cookie consent notice alert promo sponsor sponsored share social related comment comments reply discussion form login subscribe newsletter search breadcrumb breadcrumbs widget toolbar popup modal head title".split())
+#: Stands before each run of main text in training pages; parsed pages have none.
+MARK = "\ue000"
+#: Elements that frame a page and are not its text, wherever they stand.
+_FRAME = frozenset("head nav aside footer form".split())
 
 
 @dataclass
@@ -103,37 +110,106 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
-def weak_label(block: Block) -> int:
-    """1 if the open tags speak for the article: an article-like one and, below or above it, none that speaks against."""
-    parts = [x.rpartition(".")[2] for x in block.path if x not in ("body", "head") or x == "head"]
-    return int(any(p in _GOOD for p in parts) and not any(p in _BAD for p in parts))
+def marked(part: str) -> str:
+    """A part of a page with MARK before each run of its text."""
+    return re.sub(r">(?=[^<]*[^<\s])", f">{MARK}", re.sub(r"^(?=[^<]*[^<\s])", MARK, part))
 
 
-def varied(page: str, seed: int) -> str:
-    """A training variant of a page: other tags for the article, and more kinds of blocks around and inside it, from the page's own words."""
-    rng = np.random.default_rng(seed)
-    bag = [w for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"<[^>]*>", " ", page))[:400]] or ["text"]
+def labelled(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page with marks, without these, and which of them are main text: those with a mark, but for those in elements that frame a page."""
+    blocks = leaf_blocks(page)
+    label = np.array([MARK in b.text and not _FRAME.intersection(b.path) for b in blocks], float)
+    for b in blocks:
+        b.text = _SPACE.sub(" ", b.text.replace(MARK, "")).strip()
+    return [b for b in blocks if b.text], label[[bool(b.text) for b in blocks]]
+
+
+def article_of(page: str) -> tuple[int, int] | None:
+    """Where the one article element of a page (or, without, its one main element) has its content; None if there is no such element or several."""
+    for tag in ("article", "main"):
+        opened, closed = re.findall(rf"<{tag}(?=[\s>])", page, re.I), list(re.finditer(rf"</{tag}\s*>", page, re.I))
+        if len(opened) == len(closed) == 1:
+            start = re.search(rf"<{tag}(?=[\s>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I)
+            if start and start.end() <= closed[0].start():
+                return start.end(), closed[0].start()
+    return None
+
+
+def made_page(article: str, bag: list[str], rng: np.random.Generator) -> str:
+    """A page around the content of an article, with marks in the article only: templates with telling and with meaningless names, and other blocks around and inside."""
 
     def some(low: int, high: int) -> str:
         return " ".join(rng.choice(bag, int(rng.integers(low, high))))
 
-    shell = [("article", "article"), ("main", "main"), ('div class="post-content"', "div"), ('div id="content"', "div"), ('section class="story"', "section"), ('div class="entry"', "div")]
-    opened, closed = shell[int(rng.integers(len(shell)))]
-    page = re.sub(r"<article\b[^>]*>", f"<{opened}>", page).replace("</article>", f"</{closed}>")
-    extra = {
-        "before": ['<header class="site-header"><p>{0}</p></header>', '<div class="cookie-notice"><p>{1}</p></div>', '<aside class="sidebar"><h3>{0}</h3><p>{1}</p></aside>', '<div class="breadcrumb">{0}</div>', '<div class="banner">{1}</div>', '<div class="menu"><ul><li>{0}</li><li>{0}</li></ul></div>'],
-        "after": ['<section class="comments"><h2>{0}</h2><div class="comment"><p>{2}</p></div><div class="comment"><p>{1}</p></div></section>', '<form><p>{0}</p></form>', '<div class="related"><ul><li><a href="/x">{0}</a></li></ul></div>', '<div id="comments"><p>{2}</p></div>', '<div class="newsletter"><p>{1}</p></div>', '<aside><p>{1}</p></aside>', '<div class="share">{0}</div>'],
+    def pick(choices: list):
+        return choices[int(rng.integers(len(choices)))]
+
+    def name(*words: str) -> str:
+        word = pick(list(words)) if rng.random() < 0.55 else "".join(rng.choice(list("abcdefghijklmnoprstuvwxyz"), int(rng.integers(1, 8))))
+        return f' {pick(["class", "class", "id"])}="{word}"'
+
+    def links(low: int, high: int) -> str:
+        kind = pick(["ul", "ul", "p", "div"])
+        all_ = [f'<a href="/{k}">{some(1, 4)}</a>' for k in range(int(rng.integers(low, high)))]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in all_) + "</ul>" if kind == "ul" else f"<{kind}>" + pick([" | ", " ", " · "]).join(all_) + f"</{kind}>"
+
+    def box(tag: str, names: tuple[str, ...], inner: str) -> str:
+        return f"<{tag}{name(*names) if names else ''}>{inner}</{tag}>"
+
+    kinds = {
+        "menu": lambda: pick([box("nav", (), links(3, 9)), box("div", ("menu", "navbar", "nav-links", "topnav"), links(3, 9)), links(4, 9)]),
+        "header": lambda: box(pick(["header", "div"]), ("site-header", "masthead", "top"), pick([f"<p>{some(1, 6)}</p>", f"<h2>{some(1, 4)}</h2><p>{some(2, 8)}</p>", some(1, 5)])),
+        "notice": lambda: box("div", ("cookie-notice", "consent", "alert", "banner", "gdpr"), f"<p>{some(5, 30)}</p>" + pick(["", f"<button>{some(1, 3)}</button>"])),
+        "advert": lambda: box(pick(["div", "aside"]), ("ad", "advert", "sponsored", "promo", "banner-ad"), pick([some(3, 20), f"<p>{some(3, 20)}</p>", f'<a href="/x">{some(2, 9)}</a>'])),
+        "side": lambda: box(pick(["aside", "div"]), ("sidebar", "widget", "secondary", "related"), f"<h3>{some(1, 4)}</h3>" + pick([links(2, 8), f"<p>{some(4, 30)}</p>"])),
+        "form": lambda: box("form", (), f"<p>{some(2, 12)}</p><label>{some(1, 3)}</label><input name=q>"),
+        "crumbs": lambda: box("div", ("breadcrumb", "path"), " &gt; ".join(f'<a href="/{k}">{some(1, 3)}</a>' for k in range(3))),
+        "share": lambda: box("div", ("share", "social", "tags", "byline"), links(2, 5)),
+        "comments": lambda: box(pick(["section", "div", "ol"]), ("comments", "comment-list", "discussion", "replies", "responses"), f"<h3>{some(1, 4)}</h3>" + "".join(box(pick(["div", "li"]), ("comment", "reply", "message"), f"<p><b>{some(1, 3)}</b> {some(1, 3)}</p><p>{some(4, 80)}</p>") for _ in range(int(rng.integers(1, 6))))),
+        "footer": lambda: box(pick(["footer", "div"]), ("footer", "site-footer", "colophon", "legal"), pick([f"&copy; {some(2, 12)}", f"<p>&copy; {some(1, 5)} &middot; {some(2, 20)}</p>", links(2, 6) + f"<p>{some(3, 15)}</p>"])),
     }
-
-    def draw(kind: str) -> str:
-        chosen = [x for x in extra[kind] if rng.random() < 0.35]
-        return "".join(re.sub(r"\{(\d)\}", lambda m: some(*((1, 5), (4, 25), (15, 80))[int(m[1])]), x) for x in chosen)
-
-    start, end = page.find(f"<{opened}>"), page.rfind(f"</{closed}>")
-    if start < 0 or end < start:
-        return page
-    end += len(closed) + 3
-    return page[:start] + draw("before") + page[start:end] + draw("after") + page[end:]
+    draw = lambda kind, share: kinds[kind]() if rng.random() < share else ""
+    if rng.random() < 0.15:  # paragraphs that are no p elements
+        own = name("text", "para", "block")
+        article = re.sub(r"<p(?=[\s>])[^>]*>", f"<div{own}>", article).replace("</p>", "</div>")
+    parts = re.split(r"(?=<(?:p|div)[\s>])", article)
+    for k in range(1, len(parts)):
+        turn = rng.random()
+        if parts[k].startswith("<div"):
+            turn = 0.5
+        if turn > 0.9:  # a short one
+            parts[k] = re.sub(r"^(<p[^>]*>)\s*((?:[^\s<]+\s+){1,3})[^<]*(?=</p>)", lambda m: m[1] + m[2].strip(), parts[k])
+        elif turn < 0.06:
+            parts[k] = re.sub(r"^<p[^>]*>", "<h2>", parts[k]).replace("</p>", "</h2>")
+        elif turn < 0.12:
+            parts[k] = "<ul><li>" + re.sub(r"^<p[^>]*>", "", parts[k]).replace("</p>", "</li></ul>")
+        elif turn < 0.16:
+            parts[k] = "<blockquote>" + parts[k] + "</blockquote>"
+        parts[k] = marked(parts[k])
+        if rng.random() < 0.04:
+            parts[k] += kinds[pick(["advert", "share", "side"])]()
+    body = marked(parts[0]) + "".join(parts[1:])
+    shell = pick(["article", "main", "div", "div", "div", "section", "td", ""])
+    inner = body if not shell else f"<{shell}{name('post-content', 'content', 'story', 'entry', 'article-body', 'main-text', 'post') if shell != 'td' else ''}>{body}</{shell}>"
+    above = draw("header", 0.4) + draw("menu", 0.8) + draw("notice", 0.25) + draw("crumbs", 0.2) + draw("advert", 0.4) + draw("side", 0.15)
+    below = draw("share", 0.3) + draw("form", 0.2) + draw("comments", 0.45) + draw("side", 0.35) + draw("advert", 0.2) + draw("notice", 0.1) + draw("footer", 0.8)
+    if shell == "td":
+        inner, below = f"<table><tr><td>{links(2, 8)}</td>{inner}</tr></table>", below
+    elif rng.random() < 0.4:
+        inner = f"<div{name('wrapper', 'container', 'page', 'layout')}>{draw('side', 0.1)}{inner}{draw('side', 0.5)}</div>"
+    return f"<html><head><title>{some(2, 9)}</title></head><body{name('home', 'page', 'single') if rng.random() < 0.3 else ''}>{above}{inner}{below}</body></html>"
+
+
+def training_pages(page: str, seed: int) -> list[str]:
+    """A page with marks in its article, and made pages around that article; none if the page does not say where its article is."""
+    place = article_of(page)
+    if place is None:
+        return []
+    start, end = place
+    rng = np.random.default_rng(seed)
+    bag = [w for b in leaf_blocks(page) for w in b.text.split()][:600] or ["text"]
+    bag = [entities.escape(w) for w in bag]
+    return [page[:start] + marked(page[start:end]) + page[end:], *(made_page(page[start:end], bag, rng) for _ in range(VARIANTS))]
 
 
 @dataclass
@@ -251,20 +327,24 @@ def probabilities(network: Network, f: Features, counts: np.ndarray) -> np.ndarr
 
 
 def fit(pages: list[str], seed: int = 7) -> Network:
-    """Train on weakly labelled blocks of the pages and of their variants, by Adam on the whole binary cross-entropy."""
+    """Train on the blocks of pages that say where their article is, and of pages made around these articles, by Adam on the whole binary cross-entropy."""
     rng = np.random.default_rng(seed)
     v = _new(rng)
-    sequences = [b for k, p in enumerate(pages) for q in (p, varied(p, k), varied(p, k + 100_003)) if (b := leaf_blocks(q))]
+    sequences = [x for k, p in enumerate(pages) for q in training_pages(p, k) if (x := labelled(q))[0]]
     if not sequences:
         return Network(v)
-    first, second, turn = ({k: np.zeros_like(x) for k, x in v.items()} for _ in range(2)), None, 0
-    first, second = first
+    first, second = ({k: np.zeros_like(x) for k, x in v.items()} for _ in range(2))
+    turn = 0
+    pages_with = np.zeros(PATH_BUCKETS, np.int64)
+    for blocks, _ in sequences:
+        pages_with[np.unique(np.concatenate([_path_ids(b.path) for b in blocks]))] += 1
+    known = (pages_with >= LEAST_PAGES)[:, None]
+    v["path"] *= known
     prepared = []
-    order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
+    order = sorted(range(len(sequences)), key=lambda k: len(sequences[k][0]))
     for at in range(0, len(order), 48):
         part = [sequences[k] for k in order[at : at + 48]]
-        flat = [b for s in part for b in s]
-        prepared.append((features(flat), np.array([len(s) for s in part]), np.array([weak_label(b) for b in flat], float)))
+        prepared.append((features([b for s, _ in part for b in s]), np.array([len(s) for s, _ in part]), np.concatenate([y for _, y in part])))
     width = PATH_DIM + WORD_DIM + 3
     for _ in range(EPOCHS):
         for k in rng.permutation(len(prepared)):
@@ -287,6 +367,7 @@ def fit(pages: list[str], seed: int = 7) -> Network:
             for name, ids, place, cut, gain in (("path", f.path, f.path_at, slice(0, PATH_DIM), 2.0), ("word", f.word, f.word_at, slice(PATH_DIM, PATH_DIM + WORD_DIM), 1.0)):
                 n = np.diff(place)
                 np.add.at(grads[name], ids, np.repeat(drows[:, cut] * gain / np.maximum(n, 1)[:, None], n, axis=0))
+            grads["path"] *= known
             turn += 1
             for name, g in grads.items():
                 first[name] = 0.9 * first[name] + 0.1 * g

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import stored, table
+from .textkit import shielded, stored, table
 
 SEED = "mix-1"
 #: Sources beyond this number are joined, not broadcast.
@@ -63,7 +63,8 @@ def shuffled(docs: DataFrame, targets: dict[str | None, float] | None = None, bu
 
 def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None, budget: float = 1.0, seed: str = SEED) -> DataFrame:
     """`docs` replicated and shuffled globally, with its own columns."""
-    return shuffled(docs, targets, budget, seed).select(*(F.col(f"`{c}`") for c in docs.columns))
+    packed, unpacked = shielded(docs, "doc_id", "text", "source")
+    return unpacked(replicate(packed, targets, budget, seed).orderBy("__order"))
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

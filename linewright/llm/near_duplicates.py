@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import mix, scratch, shingles, slices, span_hashes, stored, table, words
+from .textkit import mix, scratch, shielded, shingles, slices, span_hashes, stored, table, words
 
 NGRAM = 5
 #: Similarity in hundredths.
@@ -537,9 +537,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without an id cannot be told apart from each other and all stay.
     """
-    found = stored(near_duplicates(docs), "components")
+    packed, unpacked = shielded(docs, "doc_id", "text")
+    found = stored(near_duplicates(packed), "components")
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    named = docs.join(first, F.col("doc_id").cast("long") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
-    if found.where("doc_id is null").isEmpty():
-        return named
-    return named.union(docs.where("doc_id is null"))
+    named = packed.join(first, F.col("doc_id").cast("long") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
+    if not found.where("doc_id is null").isEmpty():
+        named = named.union(packed.where("doc_id is null"))
+    return unpacked(named)

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .textkit import mix, slices, span_hashes, stored, table, words
+from .textkit import mix, shielded, slices, span_hashes, stored, table, words
 
 WINDOW = 8
 #: All rules of a stratum together may reject this share of its good documents at most; the bounds of all strata hold at once with the confidence below.
@@ -92,8 +93,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", keep_text: bool = Tru
             columns = measure(raw, offsets)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c) for c in columns.T)], [*(f.name for f in kept), *(f"__{m}" for m in MEASURES)])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"__{m} long" for m in MEASURES]
-    return docs.mapInArrow(run, ", ".join(schema))
+    return docs.mapInArrow(run, StructType([*kept, *(StructField(f"__{m}", LongType()) for m in MEASURES)]))
 
 
 def binomial_tail(hits: int, trials: int, p: float) -> float:
@@ -220,7 +220,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     narrow = stored(with_measures(docs.select("doc_id", "lang", "text"), keep_text=False), "measures")
     cutoffs = choose_cutoffs(narrow, labels)
-    return verdict(with_measures(docs), cutoffs).where("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    packed, unpacked = shielded(docs, "doc_id", "lang", "text")
+    return unpacked(verdict(with_measures(packed), cutoffs).where("__kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +136,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but those needed inside one, so that an operator's own columns clash with none; and what gives back the columns as they were."""
+    rest = [c for c in docs.columns if c not in needed]
+    packed = docs.select(*needed, F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)), F.lit(0).alias("end")).alias("__rest"))
+    place = {c: f"__rest.c{k}" for k, c in enumerate(rest)}
+    return packed, lambda out: out.select(*(F.col(place.get(c, c)).alias(c) for c in docs.columns))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or where that is unset (as in tests) one under the warehouse."""
     bounded(spark)

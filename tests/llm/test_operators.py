@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,6 +21,9 @@ from linewright.llm import fingerprints, html_text, language, mixing, near_dupli
 from linewright.llm.encoder import Encoder
 from linewright.llm.textkit import remainder
 
+sys.path.insert(0, os.path.dirname(__file__))
+import held_pages  # noqa: E402
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, cls string"
@@ -504,9 +510,27 @@ PAGE = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</
 
 
 def test_leaf_blocks():
-    found = [(b.text, html_text.weak_label(b)) for b in html_text.leaf_blocks(PAGE)]
-    assert found == [("T", 0), ("Home", 0), ("Buy now", 0), ("Head & more", 1), ("First bold text.", 1), ("Second one with some words in it.", 1), ("© us", 0)]
+    assert [b.text for b in html_text.leaf_blocks(PAGE)] == ["T", "Home", "Buy now", "Head & more", "First bold text.", "Second one with some words in it.", "© us"]
     assert html_text.leaf_blocks("<p>a<!-- b") == [html_text.Block(("p",), "a")]
+    assert [b.text for b in html_text.leaf_blocks('<p>a <svg width="1" /> b</p><template-x>c</template-x><select-box>d</select-box><svg><text>no</text></svg><object data="x/"/>e')] == ["a b", "cde"]
+
+
+def test_training_pages_know_their_main_text():
+    first, *made = html_text.training_pages(PAGE, 3)
+    blocks, label = html_text.labelled(first)
+    assert [b.text for b, y in zip(blocks, label, strict=True) if y] == ["Head & more", "First bold text.", "Second one with some words in it."]
+    assert len(made) == html_text.VARIANTS
+    for page in made:
+        blocks, label = html_text.labelled(page)
+        assert {"Head & more"} <= {b.text for b, y in zip(blocks, label, strict=True) if y} and not all(label)
+        assert not any(html_text.MARK in b.text for b in blocks)
+    assert html_text.training_pages("<p>no article</p>", 1) == html_text.training_pages("<article>a</article><article>b</article>", 1) == []
+
+
+def test_styles_that_training_never_makes():
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+    found = held_pages.evaluate(html_text.fit(table[:160]), table[160:])
+    assert min(found.values()) > 0.7 and sum(found.values()) / len(found) > 0.9, found
 
 
 def test_html(spark):
