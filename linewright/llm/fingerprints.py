@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .textkit import scratch, stored, table
 
 #: Words of a cell.
-CELL_WORDS = 8
+CELL_WORDS = 12
 #: Cells of each subtable of the fingerprint; rounds of peeling; room for each digest when a pair is tried again.
 PRINT_WIDTH = 8
 ROUNDS = 9
@@ -39,8 +39,7 @@ def digests(text: str) -> Column:
 def sketch(hashes: str, width: int = PRINT_WIDTH) -> Column:
     """The cells (n, k, c) of a sketch of an array of digests, three subtables one after the other."""
     placed = f"transform({hashes}, h -> named_struct('k', h, 'c', {_check('h')}, 'p', array({', '.join(_place(str(t), 'h', str(width)) for t in range(3))})))"
-    cell = "filter(placed, x -> x.p[t] = j)"
-    one = f"named_struct('n', cast(size({cell}) as long), 'k', aggregate({cell}, 0L, (a, x) -> a ^ x.k), 'c', aggregate({cell}, 0L, (a, x) -> a ^ x.c))"
+    one = "element_at(transform(array(filter(placed, x -> x.p[t] = j)), f -> named_struct('n', cast(size(f) as long), 'k', aggregate(f, 0L, (a, x) -> a ^ x.k), 'c', aggregate(f, 0L, (a, x) -> a ^ x.c))), 1)"
     return F.expr(f"element_at(transform(array({placed}), placed -> flatten(transform(sequence(0, 2), t -> transform(sequence(0, {width - 1}), j -> {one})))), 1)")
 
 
@@ -137,17 +136,16 @@ def likeness(rows: DataFrame, pairs: list[tuple[str, str]]) -> list[DataFrame]:
     sets, then with twice the cells each time, and at last, exactly, by the arrays.
     """
     solved: list[DataFrame] = []
-    todo = None
+    names = sorted({x for p in pairs for x in p})
+    minus = "zip_with(s.{0}, s.{1}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))"
+    differences = f"element_at(transform(array(named_struct({', '.join(f"'{x}', sketch_{x}" for x in names)})), s -> array({', '.join(minus.format(*p) for p in pairs)})), 1)"
+    first = rows.select("bucket", "place", F.posexplode(F.expr(differences)).alias("pair", "cells")).withColumn("width", F.lit(PRINT_WIDTH).cast("long"))
+    cells = first.select(*_KEY, "width", F.posexplode("cells").alias("cell", "x")).select(*_KEY, "width", F.col("cell").cast("long").alias("cell"), "x.n", "x.k", "x.c").where("n != 0 or k != 0 or c != 0")
     for attempt in range(ATTEMPTS):
-        listed = []
-        for k, (ours, theirs) in enumerate(pairs):
-            width = F.lit(PRINT_WIDTH).cast("long") if not attempt else F.expr(f"cast(greatest({2 * PRINT_WIDTH}, ceil((size({ours}) + size({theirs})) * {ROOM / 3})) * {2 ** (attempt - 1)} as long)")
-            what = [F.expr(f"zip_with(sketch_{ours}, sketch_{theirs}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))").alias("cells")] if not attempt else [F.col(ours).alias("ours"), F.col(theirs).alias("theirs")]
-            listed.append(F.struct(F.lit(k).alias("pair"), width.alias("width"), *what))
-        each = rows.select("bucket", "place", F.explode(F.array(*listed)).alias("p")).select("bucket", "place", "p.*")
-        if todo is None:
-            cells = each.select(*_KEY, "width", F.posexplode("cells").alias("cell", "x")).select(*_KEY, "width", F.col("cell").cast("long").alias("cell"), "x.n", "x.k", "x.c").where("n != 0 or k != 0 or c != 0")
-        else:
+        if attempt:
+            width = lambda a, b: F.expr(f"cast(greatest({2 * PRINT_WIDTH}, ceil((size({a}) + size({b})) * {ROOM / 3})) * {2 ** (attempt - 1)} as long)")  # noqa: E731, B023
+            listed = F.array(*(F.struct(F.lit(k).alias("pair"), width(a, b).alias("width"), F.col(a).alias("ours"), F.col(b).alias("theirs")) for k, (a, b) in enumerate(pairs)))
+            each = rows.select("bucket", "place", F.explode(listed).alias("p")).select("bucket", "place", "p.*")
             cells = subtracted(each.join(todo, list(_KEY), "left_semi"))
         state = peel(cells).groupBy(*_KEY).agg(F.max("cell").alias("left"), F.sum(F.when(F.col("cell") == -1, F.col("n"))).alias("ours_only"), F.sum(F.when(F.col("cell") == -2, -F.col("n"))).alias("theirs_only"))
         state = stored(state, "peeled")
