@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import stages
 from .fingerprints import op4_bloom_sketch
 from .html_text import op7_html_text
 from .language import op5_language
@@ -19,12 +20,10 @@ from .toxicity import op8_toxicity
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages of corpus_pipeline.py over `documents`."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    """The stages of the corpus pipeline over `documents`."""
+    return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_deleted_interpolation, op3_packing, op4_bloom_sketch, op5_language, op6_quality_rules, op7_html_text, op8_toxicity, op9_poisson_mix, op9_mixed_documents, op10_ngram_jaccard, pipeline)}
 
-ORACLES: dict[str, str] = {"op9_poisson_mix": OP9_SQL, "op9_mixed_documents": OP9_DOCUMENTS_SQL}
+ORACLES: dict[str, str] = {"op9_poisson_mix": OP9_SQL, "op9_mixed_documents": OP9_DOCUMENTS_SQL, **({"pipeline": stages.ORACLE_SQL} if stages.ORACLE_SQL else {})}
