@@ -1,55 +1,5 @@
-"""The corpus pipeline: quality rules, toxicity, near duplicates, mixing, packing; each stage takes (spark, docs, sf_dir)."""
+"""The corpus pipeline: STAGES, run and ORACLE_SQL of linewright.llm.stages, where its stages are."""
 
-from __future__ import annotations
+from linewright.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from linewright.llm import mixing, near_duplicates, packing, quality, textkit, toxicity
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rule or a risk-controlled cutoff."""
-    return quality.keep_good(docs, textkit.table(spark, sf_dir, "labels"))
-
-
-def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a toxicity of one half or more."""
-    return toxicity.drop_toxic(docs, textkit.table(spark, sf_dir, "labels"))
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; of repeated rows with that id, one."""
-    return near_duplicates.keep_one(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that all sources weigh the same in the mean, and shuffles."""
-    return mixing.mixed(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 1024 tokens."""
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("toxicity", toxic_documents),
-    ("near_duplicates", one_of_each_group),
-    ("source_mix", mix_sources),
-    ("best_fit_packing", pack_sequences),
-]
-
-#: SQL cannot tokenize or train; tests hold each stage against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written in the shared folder and read again."""
-    docs = textkit.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = textkit.stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
