@@ -240,6 +240,12 @@ def runs(x: str | Column, direction: str) -> Column:
     return let(F.regexp_replace(_c(x), r"[_\x{200C}\x{200D}]", ""), counted)
 
 
+def first_strong(x: str | Column) -> Column:
+    """The direction of the first strong character, ltr or rtl; null without one."""
+    first = F.regexp_extract(_c(x), f"[{strong('ltr')}{strong('rtl')}]", 0)
+    return F.when(first == "", F.lit(None).cast("string")).when(first.rlike(f"[{strong('rtl')}]"), F.lit("rtl")).otherwise(F.lit("ltr"))
+
+
 def is_prompt(content: str | Column) -> Column:
     return _c(content).rlike(rf"^[{WS}]*(?:\$ |PS |➜ |❯)")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Letters counted as right to left and as left to right, and the share from which a block is right to left.
@@ -19,33 +19,58 @@ def classify(text: str | Column) -> Column:
     return F.when(right == 0, F.lit(None).cast("string")).when(right >= SHARE * (right + left), F.lit("rtl")).otherwise(F.lit("ltr"))
 
 
-_GONE = r"(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>"
+_GONE = r"(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button|svg)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button|svg)\s*>"
+#: Editors, controls and folded work logs, by their attributes; and what marks a card.
+_EDITED = r"""(?is)<([a-z][a-z0-9]*)\b(?=[^>]*\b(?:contenteditable\s*=\s*["']?true|role\s*=\s*["']?button\b|class\s*=\s*["'][^"']*\bmonaco-editor\b|data-testid\s*=\s*["']worked-for-collapsible["']))[^>]*>.*?</\1\s*>"""
+CARD = r"""(?i)^<[a-z0-9]+\b[^>]*\bclass\s*=\s*["'][^"']*\bartifact-card\b"""
+
+
+def _bare(html: str | Column = "html") -> Column:
+    """A page without what has no text: scripts, styles, comments, code, form controls, editors and buttons."""
+    return F.translate(F.regexp_replace(F.regexp_replace(html, _GONE, ""), _EDITED, ""), "\x01", "")
 
 
 def _parts(tags: tuple[str, ...]) -> Column:
-    """The page cut before each start and end of these tags, without what has no text."""
-    bare = F.translate(F.regexp_replace("html", _GONE, ""), "\x01", "")
-    return F.split(F.regexp_replace(bare, rf"(?i)(</?(?:{'|'.join(tags)})\b[^>]*>)", "\x01$1"), "\x01", -1)
+    """The bare page cut before each start and end of these tags."""
+    return F.split(F.regexp_replace(_bare(), rf"(?i)(</?(?:{'|'.join(tags)})\b[^>]*>)", "\x01$1"), "\x01", -1)
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, block_no, tag, text) of blocks of pages, from the start of a block to the next start or end of one: scripts, styles, comments, code and form controls have no text."""
+    """Rows (page_id, block_no, tag, text) of blocks of pages, from the start of a block to the next start or end of one: scripts, styles, comments, code, form controls, editors and buttons have no text."""
     starts = F.filter(_parts(BLOCK_TAGS), lambda x: x.rlike(rf"(?i)^<(?:{'|'.join(BLOCK_TAGS)})\b"))
     rows = pages.select("page_id", F.posexplode(starts).alias("block_no", "raw"))
     tag = F.lower(F.regexp_extract("raw", r"^<([A-Za-z0-9]+)", 1))
     return rows.select("page_id", "block_no", tag.alias("tag"), F.regexp_replace("raw", r"<[^>]*>", "").alias("text"))
 
 
+def _nested(pages: DataFrame, tags: tuple[str, ...], opens: str) -> DataFrame:
+    """Rows (page_id, pos, part, depth, start) of pages cut at tags: how many elements whose start matches `opens` (of a tag, as ^<(?:..)) are open at a part, and the running number of such starts."""
+    parts = pages.select("page_id", F.posexplode(_parts(tags)).alias("pos", "part"))
+    up, down = F.col("part").rlike(rf"(?i)^<(?:{opens})\b").cast("int"), F.col("part").rlike(rf"(?i)^</(?:{opens})\b").cast("int")
+    run = Window.partitionBy("page_id").orderBy("pos")
+    return parts.withColumns({"up": up, "down": down}).withColumns({"depth": F.sum(F.col("up") - F.col("down")).over(run), "start": F.sum("up").over(run)})
+
+
 def list_items(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, list_no, text) of the li of pages, by their own list: the running number of its ul or ol start, from 0, whatever is nested in it; null outside lists."""
-    gone = r"(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>"
-    tags = "|".join((*BLOCK_TAGS, "ul", "ol"))
-    parts = F.regexp_extract_all(F.regexp_replace("html", gone, ""), F.lit(rf"(?is)</?(?:{tags})\b[^>]*>[^<]*(?:<(?!/?(?:{tags})\b)[^>]*>[^<]*)*"), F.lit(0))
-    walked = F.expr(r"""aggregate(parts, named_struct('open', cast(array() as array<int>), 'next', 0, 'out', cast(array() as array<struct<list_no: int, text: string>>)), (s, x) -> named_struct(
-      'open', CASE WHEN rlike(x, '(?i)^<[uo]l\\b') THEN array_append(s.open, s.next) WHEN rlike(x, '(?i)^</[uo]l\\b') AND size(s.open) > 0 THEN slice(s.open, 1, size(s.open) - 1) ELSE s.open END,
-      'next', s.next + CASE WHEN rlike(x, '(?i)^<[uo]l\\b') THEN 1 ELSE 0 END,
-      'out', CASE WHEN rlike(x, '(?i)^<li\\b') THEN array_append(s.out, named_struct('list_no', try_element_at(s.open, -1), 'text', regexp_replace(x, '<[^>]*>', ''))) ELSE s.out END), s -> s.out)""")
-    return pages.select("page_id", parts.alias("parts")).select("page_id", F.explode(walked).alias("i")).select("page_id", "i.list_no", "i.text", F.lit("li").alias("tag"))
+    """Rows (page_id, list_no, text, tag) of the li of pages, by their own list: the running number of its ul or ol start, from 0, whatever is nested in it; null outside lists."""
+    deep = _nested(pages, (*BLOCK_TAGS, "ul", "ol"), "ul|ol")
+    own = F.max(F.when(F.col("up") == 1, F.col("start") - 1)).over(Window.partitionBy("page_id", "depth").orderBy("pos"))
+    rows = deep.withColumn("list_no", F.when(F.col("depth") > 0, own).cast("int")).where(F.col("part").rlike(r"(?i)^<li\b"))
+    return rows.select("page_id", "list_no", F.regexp_replace("part", r"<[^>]*>", "").alias("text"), F.lit("li").alias("tag"))
+
+
+def page_cards(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, card_no, blocks, rtl_blocks, marked) of the cards of pages: a card is marked if any block or span in it is right to left. Cards are div, section or article elements and do not nest."""
+    deep = _nested(pages, (*BLOCK_TAGS, "span", "div", "section", "article"), "div|section|article")
+    run = Window.partitionBy("page_id").orderBy("pos")
+    card = F.col("part").rlike(CARD) & (F.col("up") == 1)
+    rows = deep.withColumn("card_no", F.sum(card.cast("int")).over(run) - 1).where("card_no >= 0")
+    inside = Window.partitionBy("page_id", "card_no").orderBy("pos")
+    rows = rows.withColumn("open", F.min("depth").over(inside) >= F.first("depth").over(inside))
+    block = F.col("open") & F.col("part").rlike(rf"(?i)^<(?:{'|'.join((*BLOCK_TAGS, 'span'))})\b")
+    rtl = block & F.coalesce(classify(F.regexp_replace("part", r"<[^>]*>", "")) == "rtl", F.lit(False))
+    counts = rows.groupBy("page_id", "card_no").agg(F.count_if(block).alias("blocks"), F.count_if(rtl).alias("rtl_blocks"))
+    return counts.withColumn("marked", F.col("rtl_blocks") > 0)
 
 
 def list_direction(items: DataFrame, by: str | list[str] = "page_id") -> DataFrame:

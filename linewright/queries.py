@@ -338,21 +338,37 @@ def page_list_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.list_direction(web.page_blocks(read(spark, sf_dir, "pages")))
 
 
-_PARTS = rf"""SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>', '', 'g'), '(?is)(</?(?:{_TAGS}|ul|ol)\b[^>]*>)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM pages)"""
+def _tag_parts(pages: str) -> str:
+    """Pages (page_id, html) without what has no text, cut before each start and end of a block or list."""
+    return rf"""SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>', '', 'g'), '(?is)(</?(?:{_TAGS}|ul|ol)\b[^>]*>)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM {pages})"""
 
 
-@query(rf"""
-WITH marks AS (SELECT *, CAST(regexp_matches(part, '(?i)^<[uo]l\b') AS INT) AS up, CAST(regexp_matches(part, '(?i)^</[uo]l\b') AS INT) AS down FROM ({_PARTS})),
+def _list_sql(pages: str) -> str:
+    return rf"""
+WITH marks AS (SELECT *, CAST(regexp_matches(part, '(?i)^<[uo]l\b') AS INT) AS up, CAST(regexp_matches(part, '(?i)^</[uo]l\b') AS INT) AS down FROM ({_tag_parts(pages)})),
 deep AS (SELECT *, sum(up - down) OVER w AS depth, sum(up) OVER w AS n FROM marks WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
 own AS (SELECT *, CASE WHEN depth > 0 THEN max(CASE WHEN up = 1 THEN n - 1 END) OVER (PARTITION BY page_id, depth ORDER BY pos) END AS list_no FROM deep),
 items AS (SELECT page_id, list_no, regexp_replace(part, '<[^>]*>', '', 'g') AS text FROM own WHERE regexp_matches(part, '(?i)^<li\b')),
 counts AS (SELECT page_id, list_no, len(regexp_extract_all(text, '[{web.RTL_LETTERS}]')) AS r, len(regexp_extract_all(text, '[{web.LTR_LETTERS}]')) AS l FROM items)
-SELECT page_id, CAST(list_no AS INTEGER) AS list_no, count(*) AS items, CAST(count_if(r > 0 AND r >= 0.4 * (r + l)) AS BIGINT) AS rtl_items, CASE WHEN 2 * count_if(r > 0 AND r >= 0.4 * (r + l)) >= count(*) THEN 'rtl' END AS dir FROM counts GROUP BY page_id, list_no""")
+SELECT page_id, CAST(list_no AS INTEGER) AS list_no, count(*) AS items, CAST(count_if(r > 0 AND r >= 0.4 * (r + l)) AS BIGINT) AS rtl_items, CASE WHEN 2 * count_if(r > 0 AND r >= 0.4 * (r + l)) >= count(*) THEN 'rtl' END AS dir FROM counts GROUP BY page_id, list_no"""
+
+
+@query(_list_sql("pages"))
 def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions of each list of each page, by its own items."""
     return web.list_direction(web.list_items(read(spark, sf_dir, "pages")), ["page_id", "list_no"])
 
 
+_RTL_LISTS = "replace(html, '</article>', CASE WHEN page_id % 2 = 0 THEN '<ol><li>سلام</li><li>دنیا خوب<ul><li>abc</li><li>defg</li></ul></li><li>latin</li></ol></article>' ELSE '</article>' END)"
+
+
+@query(_list_sql(f"(SELECT page_id, {_RTL_LISTS} AS html FROM pages)"))
+def page_lists_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions of lists, some with items from right to left and lists inside."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.expr(_RTL_LISTS).alias("html"))
+    return web.list_direction(web.list_items(pages), ["page_id", "list_no"])
+
+
 _MIXED_BLOCK = "CASE p_partkey % 3 WHEN 0 THEN 'سلام دنیا ' || p_name WHEN 1 THEN 'سلام دنیا خوب است ' || left(p_name, 4) ELSE p_name END"
 
 

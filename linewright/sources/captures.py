@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_captures(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """One row (doc_id, path, text) for each text file; `pattern` is a substring that the file's name must have. Ids are hashes of paths."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+def read_captures(spark: SparkSession, path: str, pattern: str | None = None, glob: str = "*.txt") -> DataFrame:
+    """One row (doc_id, path, text, at) for each text file whose name fits `glob`, ordered by path; `pattern` is a substring that the name must have. Ids are hashes of paths, `at` is when the file was written."""
+    rows = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path).select("value", "_metadata.file_path", "_metadata.file_modification_time")
     if pattern:
-        rows = rows.where(F.contains(F.element_at(F.split("path", "/"), -1), F.lit(pattern)))
-    return rows.select(F.xxhash64("path").alias("doc_id"), "path", "text")
+        rows = rows.where(F.contains(F.element_at(F.split("file_path", "/"), -1), F.lit(pattern)))
+    return _captures(rows).orderBy("path")
 
 
-def stream_captures(spark: SparkSession, path: str) -> DataFrame:
-    """As read_captures, for files as they appear in a folder."""
-    rows = spark.readStream.format("text").option("wholetext", True).load(path)
-    return rows.select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.input_file_name().alias("path"), F.col("value").alias("text"))
+def _captures(rows: DataFrame) -> DataFrame:
+    return rows.select(F.xxhash64("file_path").alias("doc_id"), F.col("file_path").alias("path"), F.col("value").alias("text"), F.col("file_modification_time").alias("at"))
+
+
+def stream_captures(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """As read_captures, for files as they appear in a folder; in no order."""
+    rows = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path)
+    return _captures(rows.select("value", "_metadata.file_path", "_metadata.file_modification_time"))
 
 
 def capture_source(text: str | Column, changed: str | Column, fallback: str | Column) -> Column:

@@ -1,14 +1,17 @@
-"""Captures as a stream: what a trigger does, and analysis batch by batch."""
+"""Captures as a stream: what a trigger does, analysis batch by batch, lists whose items change."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import trim_ws
+from ..operators.web import classify
 from ..options import Options
 from ..plans.pipeline import Analysis, analyse
 
@@ -24,12 +27,17 @@ def with_last_text(rows: DataFrame, key: str, order: str, text: str = "text") ->
     return rows.withColumn("last_text", F.lag(text).over(Window.partitionBy(key).orderBy(order)))
 
 
-def analyse_stream(captures: DataFrame, sink: Callable[[Analysis, int], None], checkpoint: str, options: Options = Options(), every: str = "2 seconds") -> StreamingQuery:
-    """Analyse a stream of captures in micro-batches; in a batch each doc_id counts once, the latest text of a hash order winning ties."""
+def latest(captures: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows (doc_id, text): of each document the text that is last in `order`; of equals, or without an order, the greatest."""
+    by = F.struct(*([order] if order else []), F.col("text").isNotNull(), "text")
+    return captures.groupBy("doc_id").agg(F.max_by("text", by).alias("text"))
+
+
+def analyse_stream(captures: DataFrame, sink: Callable[[Analysis, int], None], checkpoint: str, options: Options = Options(), every: str = "2 seconds", order: str | None = "at") -> StreamingQuery:
+    """Analyse a stream of captures in micro-batches; in a batch each doc_id counts once, with its latest text by the column `order`. A later batch gives a document anew."""
 
     def batch(frame: DataFrame, number: int) -> None:
-        once = frame.groupBy("doc_id").agg(F.max("text").alias("text"))
-        sink(analyse(once, options), number)
+        sink(analyse(latest(frame, order), options), number)
 
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
@@ -37,3 +45,41 @@ def analyse_stream(captures: DataFrame, sink: Callable[[Analysis, int], None], c
 def new_targets(targets: DataFrame, event_time: str, late: str = "10 minutes") -> DataFrame:
     """Each target id of a stream once, within the watermark."""
     return targets.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["target_id"])
+
+
+def trigger_stream(events: DataFrame, key: str) -> DataFrame:
+    """Rows (key, event_id, action) for a stream of events (key, event_id, visible, pinned, selected, text): the last text of each key is state, events of a batch follow each other by event_id.
+
+    As the tool does, a key remembers what it shows: a text that is dismissed does not become the last one.
+    """
+
+    def act(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values("event_id")
+        actions = []
+        for row in rows.itertuples(index=False):
+            text = (row.text or "").strip()
+            update = not row.visible or (row.pinned and row.selected and text != (last or "").strip())
+            actions.append("update" if update else "dismiss")
+            last = row.text if update else last
+        state.update((last,))
+        yield pd.DataFrame({key: own[0], "event_id": rows["event_id"], "action": actions})
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(act, f"{key} {kind}, event_id long, action string", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def list_direction_stream(items: DataFrame) -> DataFrame:
+    """Rows (list_id, items, rtl_items, dir) for a stream of items (list_id, item_id, text), in update mode: when an item comes again with another text, its list is given anew."""
+
+    def recount(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for frame in frames:
+            known.update(zip(frame["item_id"].tolist(), frame["rtl"].tolist(), strict=True))
+        state.update((list(known), list(known.values())))
+        right = sum(known.values())
+        yield pd.DataFrame({"list_id": [own[0]], "items": [len(known)], "rtl_items": [right], "dir": ["rtl" if 2 * right >= len(known) else None]})
+
+    judged = items.select("list_id", "item_id", F.coalesce(classify("text") == "rtl", F.lit(False)).alias("rtl"))
+    kinds = {c: items.schema[c].dataType.simpleString() for c in ("list_id", "item_id")}
+    return judged.groupBy("list_id").applyInPandasWithState(recount, f"list_id {kinds['list_id']}, items long, rtl_items long, dir string", f"ids array<{kinds['item_id']}>, rtl array<boolean>", "update", GroupStateTimeout.NoTimeout)
