@@ -28,6 +28,8 @@ ATTEMPTS = 6
 BUCKET_BYTES = 8_000_000
 TABLE_BUCKETS = 50_000
 BROADCAST_EDGES = 4_000_000
+#: Pairs that a later attempt may broadcast.
+BROADCAST_PAIRS = 500_000
 
 
 def digests(text: str) -> Column:
@@ -93,7 +95,7 @@ def _check(key: str) -> str:
     return f"xxhash64({key}, 77L)"
 
 
-_KEY = ("bucket", "place", "pair")
+_KEY = ("key", "pair")
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -101,9 +103,9 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 def subtracted(pairs: DataFrame) -> DataFrame:
-    """For rows (bucket, place, pair, width, ours, theirs), the last two arrays of digests, the cells of their sketches' difference: rows (bucket, place, pair, width, cell, n, k, c).
+    """For rows (key, pair, width, ours, theirs), the last two arrays of digests, the cells of their sketches' difference: rows (key, pair, width, cell, n, k, c).
 
-    Keys must be distributed by bucket already for the sums to need no shuffle.
+    Rows must be distributed by key already for the sums to need no shuffle.
     """
     entry = "transform({0}, h -> named_struct('h', h, 's', {1}L))"
     entries = pairs.select(*_KEY, "width", F.explode(F.expr(f"concat({entry.format('ours', 1)}, {entry.format('theirs', -1)})")).alias("e")).select(*_KEY, "width", F.col("e.h").alias("k"), F.col("e.s").alias("n"))
@@ -128,34 +130,40 @@ def peel(cells: DataFrame, keep: bool = False) -> DataFrame:
     return cells
 
 
+def peeled(ours: str, theirs: str, width: int = PRINT_WIDTH) -> str:
+    """SQL for what peeling finds in the difference of two fingerprints' cells: a struct (done, ours_only, theirs_only)."""
+    pure = f"abs(x.n) = 1 and x.c = {_check('x.k')}"
+    hit = f"filter(pure, p -> {_place('cast(i div ' + str(width) + ' as int)', 'p.k', str(width))} = i % {width})"
+    taken = f"element_at(transform(array({hit}), h -> named_struct('n', x.n - aggregate(h, 0L, (a, p) -> a + p.n), 'k', aggregate(h, x.k, (a, p) -> a ^ p.k), 'c', aggregate(h, x.c, (a, p) -> a ^ p.c))), 1)"
+    cells = f"transform(s.cells, (x, i) -> if(i div {width} = turn % 3, if({pure}, named_struct('n', 0L, 'k', 0L, 'c', 0L), x), {taken}))"
+    step = f"element_at(transform(array(filter(slice(s.cells, (turn % 3) * {width} + 1, {width}), x -> {pure})), pure -> if(size(pure) = 0, s, named_struct('cells', {cells}, 'a', s.a + size(filter(pure, p -> p.n = 1)), 'b', s.b + size(filter(pure, p -> p.n = -1))))), 1)"
+    start = f"named_struct('cells', zip_with({ours}, {theirs}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c)), 'a', 0L, 'b', 0L)"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {start}, (s, turn) -> {step}, s -> named_struct('done', not exists(s.cells, x -> x.n != 0 or x.k != 0 or x.c != 0), 'ours_only', s.a, 'theirs_only', s.b))"
+
+
 def likeness(rows: DataFrame, pairs: list[tuple[str, str]]) -> list[DataFrame]:
-    """Frames of rows (bucket, place, pair, ours_only, theirs_only), the last two null for 0, one for each attempt with the pairs that it solved.
+    """Frames of rows (key, pair, ours_only, theirs_only), the last two null for 0, one for each attempt with the pairs that it solved.
 
-    `rows` is distributed by bucket and has for each name in `pairs` an array of digests and, as sketch_<name>, its fingerprint's cells.
-    The fingerprints are subtracted first. A pair whose difference they cannot hold is tried again with sketches sized by both
-    sets, then with twice the cells each time, and at last, exactly, by the arrays.
+    `rows` is distributed by key and has for each name in `pairs` an array of digests, and `first`, an array of what peeling the fingerprints
+    found for each pair. A pair whose difference they cannot hold is tried again with sketches sized by both sets, then with
+    twice the cells each time, and at last, exactly, by the arrays.
     """
-    solved: list[DataFrame] = []
-    names = sorted({x for p in pairs for x in p})
-    minus = "zip_with(s.{0}, s.{1}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))"
-    differences = f"element_at(transform(array(named_struct({', '.join(f"'{x}', sketch_{x}" for x in names)})), s -> array({', '.join(minus.format(*p) for p in pairs)})), 1)"
-    first = rows.select("bucket", "place", F.posexplode(F.expr(differences)).alias("pair", "cells")).withColumn("width", F.lit(PRINT_WIDTH).cast("long"))
-    cells = first.select(*_KEY, "width", F.posexplode("cells").alias("cell", "x")).select(*_KEY, "width", F.col("cell").cast("long").alias("cell"), "x.n", "x.k", "x.c").where("n != 0 or k != 0 or c != 0")
-    for attempt in range(ATTEMPTS):
-        if attempt:
-            width = lambda a, b: F.expr(f"cast(greatest({2 * PRINT_WIDTH}, ceil((size({a}) + size({b})) * {ROOM / 3})) * {2 ** (attempt - 1)} as long)")  # noqa: E731, B023
-            listed = F.array(*(F.struct(F.lit(k).alias("pair"), width(a, b).alias("width"), F.col(a).alias("ours"), F.col(b).alias("theirs")) for k, (a, b) in enumerate(pairs)))
-            each = rows.select("bucket", "place", F.explode(listed).alias("p")).select("bucket", "place", "p.*")
-            cells = subtracted(each.join(todo, list(_KEY), "left_semi"))
-        state = peel(cells).groupBy(*_KEY).agg(F.max("cell").alias("left"), F.sum(F.when(F.col("cell") == -1, F.col("n"))).alias("ours_only"), F.sum(F.when(F.col("cell") == -2, -F.col("n"))).alias("theirs_only"))
+    listed = [F.struct(F.lit(k).alias("pair"), F.col(a).alias("ours"), F.col(b).alias("theirs"), F.element_at("first", k + 1).alias("first")) for k, (a, b) in enumerate(pairs)]
+    every = rows.select("key", F.explode(F.array(*listed)).alias("p")).select("key", "p.*")
+    solved = [every.where("first.done").select(*_KEY, "first.ours_only", "first.theirs_only")]
+    each = every.where("not first.done").drop("first")
+    for attempt in range(1, ATTEMPTS):
+        width = F.expr(f"cast(greatest({2 * PRINT_WIDTH}, ceil((size(ours) + size(theirs)) * {ROOM / 3})) * {2 ** (attempt - 1)} as long)")
+        state = peel(subtracted(each.withColumn("width", width))).groupBy(*_KEY).agg(F.max("cell").alias("left"), F.sum(F.when(F.col("cell") == -1, F.col("n"))).alias("ours_only"), F.sum(F.when(F.col("cell") == -2, -F.col("n"))).alias("theirs_only"))
         state = stored(state, "peeled")
         solved.append(state.where("left < 0").drop("left"))
         todo = state.where("left >= 0").select(*_KEY)
-        if todo.isEmpty():
+        n = todo.count()
+        if not n:
             return solved
-    each = rows.select("bucket", "place", F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.col(a).alias("ours"), F.col(b).alias("theirs")) for k, (a, b) in enumerate(pairs)))).alias("p")).select("bucket", "place", "p.*")
+        each = each.join(F.broadcast(todo) if n <= BROADCAST_PAIRS else todo, list(_KEY), "left_semi")
     count = lambda a, b: F.size(F.array_except(a, b)).cast("long")
-    return [*solved, each.join(todo, list(_KEY), "left_semi").select(*_KEY, count("ours", "theirs").alias("ours_only"), count("theirs", "ours").alias("theirs_only"))]
+    return [*solved, each.select(*_KEY, count("ours", "theirs").alias("ours_only"), count("theirs", "ours").alias("theirs_only"))]
 
 
 def op4_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,21 +173,21 @@ def op4_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     near, n = neighbours(table(spark, sf_dir, "documents"))
     edited = near.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 4) as int)), left(next_text, cast(floor(n_chars / 4) as int)))"))
-    rows = edited.select("bucket", "place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("new"), digests("next_text").alias("next"))
+    rows = edited.select(F.expr("shiftleft(bucket, 32) + place").alias("key"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("new"), digests("next_text").alias("next"))
     kept = _bucketed(rows, min(n, TABLE_BUCKETS))
-    kept = kept.withColumns({f"sketch_{x}": sketch(x) for x in ("own", "new", "next")})
-    every, *more = likeness(kept, [("own", "new"), ("own", "next")])
+    first = F.expr(f"element_at(transform(array(named_struct('own', sketch_own, 'new', sketch_new, 'next', sketch_next)), f -> array({peeled('f.own', 'f.new')}, {peeled('f.own', 'f.next')})), 1)")
+    every, *more = likeness(kept.withColumns({f"sketch_{x}": sketch(x) for x in ("own", "new", "next")}).withColumn("first", first), [("own", "new"), ("own", "next")])
     for part in more:
         every = every.union(part)
-    gone = every.groupBy("bucket", "place").agg(*(F.sum(F.when(F.col("pair") == k, F.coalesce("ours_only", F.lit(0)) + F.coalesce("theirs_only", F.lit(0)))).alias(f"gone_{k}") for k in (0, 1)))
-    both = kept.select("bucket", "place", "doc_id", "n_chars", "edited_sha256", printed("sketch_own").alias("fingerprint"), printed("sketch_new").alias("edited_fingerprint"), F.expr("size(own) + size(new)").alias("all_0"), F.expr("size(own) + size(next)").alias("all_1")).join(gone, ["bucket", "place"], "left")
+    gone = every.groupBy("key").agg(*(F.sum(F.when(F.col("pair") == k, F.coalesce("ours_only", F.lit(0)) + F.coalesce("theirs_only", F.lit(0)))).alias(f"gone_{k}") for k in (0, 1)))
+    both = kept.join(gone, "key", "left").select("doc_id", "n_chars", "edited_sha256", sketch("own").alias("sketch_own"), sketch("new").alias("sketch_new"), F.expr("size(own) + size(new)").alias("all_0"), F.expr("size(own) + size(next)").alias("all_1"), "gone_0", "gone_1")
     alike = [F.when(F.col(f"all_{k}") > 0, 1 - F.coalesce(f"gone_{k}", F.lit(0)) / F.col(f"all_{k}")).otherwise(1.0).alias(name) for k, name in enumerate(("near_edited", "near_next"))]
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *alike)
+    return both.select("doc_id", "n_chars", "edited_sha256", printed("sketch_own").alias("fingerprint"), printed("sketch_new").alias("edited_fingerprint"), *alike)
 
 
 def _bucketed(rows: DataFrame, n: int) -> DataFrame:
-    """The rows as a table in the shared folder that is bucketed as they are distributed, so that later sums by bucket need no shuffle."""
+    """The rows as a table in the shared folder that is bucketed by key, so that later sums and joins by key need no shuffle of them."""
     spark = rows.sparkSession
     name = f"sketch_{uuid.uuid4().hex}"
-    rows.write.bucketBy(n, "bucket").option("path", scratch(spark, "sketch")).saveAsTable(name)
+    rows.repartition(n, "key").write.bucketBy(n, "key").option("path", scratch(spark, "sketch")).saveAsTable(name)
     return spark.table(name)

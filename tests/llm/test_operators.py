@@ -213,16 +213,17 @@ def test_sketches(docs, none, rows):
 
 def test_peeling_recovers_the_differences(spark, monkeypatch):
     ours, theirs = list(range(1, 60)), list(range(40, 90))
-    rows = spark.createDataFrame([(0, 0, 0, 60, ours, theirs)], "bucket int, place int, pair int, width long, ours array<long>, theirs array<long>")
+    rows = spark.createDataFrame([(0, 0, 60, ours, theirs)], "key long, pair int, width long, ours array<long>, theirs array<long>")
     found = fingerprints.peel(fingerprints.subtracted(rows), keep=True).collect()
     assert {r["k"] for r in found if r["n"] == 1 and r["cell"] < 0} == set(range(1, 40))
     assert {r["k"] for r in found if r["n"] == -1 and r["cell"] < 0} == set(range(60, 90))
-    small = spark.createDataFrame([(0, 0, ours, theirs), (1, 1, ours, ours), (2, 2, ours, ours[3:]), (3, 3, [], [])], "bucket int, place int, a array<long>, b array<long>").withColumns({f"sketch_{x}": fingerprints.sketch(x) for x in "ab"})
+    small = spark.createDataFrame([(0, ours, theirs), (1, ours, ours), (2, ours, ours[3:]), (3, [], []), (4, ours[:9], theirs[:1])], "key long, a array<long>, b array<long>")
+    small = small.withColumns({f"sketch_{x}": fingerprints.sketch(x) for x in "ab"}).withColumn("first", F.expr(f"array({fingerprints.peeled('sketch_a', 'sketch_b')})"))
     for attempts in (6, 1):  # the second: what the fingerprints cannot hold is compared exactly
         monkeypatch.setattr(fingerprints, "ATTEMPTS", attempts)
         parts = fingerprints.likeness(small, [("a", "b")])
-        assert sorted((r["bucket"], r["ours_only"] or 0, r["theirs_only"] or 0) for part in parts for r in part.collect()) == [(0, 39, 30), (2, 3, 0)]
-        assert len(parts) == 2 and [r["bucket"] for r in parts[0].collect()] == [2]
+        assert sorted((r["key"], r["ours_only"] or 0, r["theirs_only"] or 0) for part in parts for r in part.collect()) == [(0, 39, 30), (1, 0, 0), (2, 3, 0), (3, 0, 0), (4, 9, 1)]
+        assert len(parts) == 2 and sorted(r["key"] for r in parts[0].collect()) == [1, 2, 3, 4]
 
 
 def test_ids_are_dealt_in_order(spark, monkeypatch):
