@@ -260,11 +260,15 @@ def _sided(left: Column, right: Column, content: Column, ltr_only: Column, doc_d
     return F.when(ltr_only | is_prompt(content) | ((left == 0) & (right == 0)), F.lit("ltr")).when(right > left, F.lit("rtl")).when(left > right, F.lit("ltr")).otherwise(doc_dir)
 
 
+def is_plain(x: str | Column) -> Column:
+    """Only characters one column wide of which the space alone is white space: printable ASCII, Latin, Arabic letters, box drawing."""
+    return _c(x).rlike(r"^[\x20-\x7E\x{A1}-\x{AC}\x{AE}-\x{2FF}\x{620}-\x{64A}\x{671}-\x{6D3}\x{2500}-\x{257F}]*+\z")
+
+
 def width(x: str | Column) -> Column:
     """Columns that a text takes: two for wide characters, none for marks, joiners and controls."""
     x = _c(x)
-    plain = x.rlike(r"^[\x20-\x7E\x{A0}-\x{AC}\x{AE}-\x{2FF}\x{620}-\x{64A}\x{2500}-\x{257F}]*\z")
-    return F.when(plain, F.length(x)).otherwise(F.length(x) - F.regexp_count(x, F.lit(f"[{zero()}]")) + F.regexp_count(x, F.lit(f"[{wide()}]")))
+    return F.when(is_plain(x), F.length(x)).otherwise(F.length(x) - F.regexp_count(x, F.lit(f"[{zero()}]")) + F.regexp_count(x, F.lit(f"[{wide()}]")))
 
 
 def ends_sentence(content: str | Column) -> Column:

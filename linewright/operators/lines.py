@@ -14,7 +14,7 @@ def cleaned(captures: DataFrame, options: Options = Options()) -> DataFrame:
     """`captures` (doc_id, text, …) with the text cleaned, its letters folded if asked, and line feeds at its end removed; null stays null."""
     text = T.clean("text", options.tab_width)
     if options.normalize_persian:
-        text = T.fold_persian(text)
+        text = T.let(text, T.fold_persian)
     return captures.withColumn("text", F.regexp_replace(text, r"\n+\z", ""))
 
 
@@ -30,7 +30,8 @@ def unwelded(line: Column) -> Column:
     pattern = rf"^([{RULES}{T.WS}]*?)(?<! ) {{8,}}+([{RULES}][{RULES}{T.WS}]*+)\z"
     rule = F.regexp_extract(end, pattern, 2)
     text = F.concat(F.left(line, F.length(line) - F.length(end)), F.regexp_extract(end, pattern, 1))
-    return F.when(~T.is_rule(line) & (F.regexp_count(rule, F.lit(f"[{RULES}]")) >= 10), F.array(T.trim_ws(text, "right"), rule)).otherwise(F.array(line))
+    apart = F.contains(line, F.lit(" " * 8))
+    return F.when(apart & ~T.is_rule(line) & (F.regexp_count(rule, F.lit(f"[{RULES}]")) >= 10), F.array(T.trim_ws(text, "right"), rule)).otherwise(F.array(line))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:

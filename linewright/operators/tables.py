@@ -27,7 +27,8 @@ def candidate_lines(lines: DataFrame) -> DataFrame:
     rows = painted.withColumn("apart", apart).withColumn("block", F.sum(F.col("apart").cast("int")).over(order)).where(~F.col("apart")).withColumn("rule", T.is_rule("painted"))
     block = Window.partitionBy(*BLOCK)
     content = ~F.col("rule")
-    gap = F.col("painted").rlike(rf"[^{T.WS}][{T.WS}{zero()}]{{{LEAST_GAP},}}[^{T.WS}]|[^{T.WS}]\x{{3000}}[^{T.WS}]")
+    odd = rf"[^{T.WS}][{T.WS}{zero()}]{{{LEAST_GAP},}}[^{T.WS}]|[^{T.WS}]\x{{3000}}[^{T.WS}]"
+    gap = F.when(T.is_plain("painted"), F.col("painted").rlike(rf"[^ ] {{{LEAST_GAP},}}[^ ]")).otherwise(F.col("painted").rlike(odd))
     shared = [F.sum((content & F.contains("painted", F.lit(d))).cast("int")).over(block) >= 2 for d in DELIMITERS]
     can = shared[0] | shared[1] | shared[2] | shared[3] | (F.sum((content & gap).cast("int")).over(block) >= 2) | F.max(F.col("rule") & gap).over(block)
     rows = rows.withColumn("can", can & (F.sum(content.cast("int")).over(block) >= 2))
@@ -37,7 +38,7 @@ def candidate_lines(lines: DataFrame) -> DataFrame:
 def glyphs(candidates: DataFrame) -> DataFrame:
     """Rows (doc_id, block, line_no, rule, at, ch, col, w): each character, its display column and width."""
     each = candidates.select(*BLOCK, "line_no", "rule", F.posexplode(F.split("painted", "")).alias("at", "ch"))
-    each = each.withColumn("w", F.when(F.col("ch").rlike(f"[{zero()}]"), 0).when(F.col("ch").rlike(f"[{wide()}]"), 2).otherwise(1))
+    each = each.withColumn("w", F.when(T.is_plain("ch"), 1).when(F.col("ch").rlike(f"[{zero()}]"), 0).when(F.col("ch").rlike(f"[{wide()}]"), 2).otherwise(1))
     before = Window.partitionBy(*BLOCK, "line_no").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return each.withColumn("col", F.coalesce(F.sum("w").over(before), F.lit(0)).cast("int"))
 
