@@ -174,9 +174,10 @@ def op4_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     near, n = neighbours(table(spark, sf_dir, "documents"))
     edited = near.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 4) as int)), left(next_text, cast(floor(n_chars / 4) as int)))"))
     rows = edited.select(F.expr("shiftleft(bucket, 32) + place").alias("key"), "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests("text").alias("own"), digests("edited").alias("new"), digests("next_text").alias("next"))
-    kept = _bucketed(rows, min(n, TABLE_BUCKETS))
     first = F.expr(f"element_at(transform(array(named_struct('own', sketch_own, 'new', sketch_new, 'next', sketch_next)), f -> array({peeled('f.own', 'f.new')}, {peeled('f.own', 'f.next')})), 1)")
-    every, *more = likeness(kept.withColumns({f"sketch_{x}": sketch(x) for x in ("own", "new", "next")}).withColumn("first", first), [("own", "new"), ("own", "next")])
+    rows = rows.withColumns({f"sketch_{x}": sketch(x) for x in ("own", "new", "next")}).withColumn("first", first).drop("sketch_own", "sketch_new", "sketch_next")
+    kept = _bucketed(rows, min(n, TABLE_BUCKETS))
+    every, *more = likeness(kept, [("own", "new"), ("own", "next")])
     for part in more:
         every = every.union(part)
     gone = every.groupBy("key").agg(*(F.sum(F.when(F.col("pair") == k, F.coalesce("ours_only", F.lit(0)) + F.coalesce("theirs_only", F.lit(0)))).alias(f"gone_{k}") for k in (0, 1)))
