@@ -2,4 +2,5 @@
 
 from linewright.plans.batch import main
 
-main()
+if __name__ == "__main__":
+    main()
