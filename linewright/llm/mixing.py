@@ -67,13 +67,6 @@ def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None, budge
     return unpacked(replicate(packed, targets, budget, seed).orderBy("__order"))
 
 
-def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The copies of all `documents` when their sources are to weigh the same, in shuffled order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = replicate(docs).select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.col("__copy").cast("int").alias("copy"), F.col("__order").alias("shuffle_key"))
-    return out.orderBy("shuffle_key")
-
-
 def op9_mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents`, whole rows with their texts, repeated and globally shuffled when their sources are to weigh the same."""
     out = shuffled(table(spark, sf_dir, "documents"))
