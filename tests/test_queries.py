@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
@@ -12,6 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 def plain(value):
     """Nullable integers come as floats from one side or the other, nulls as NaN."""
+    if value is pd.NA:
+        return None
     if isinstance(value, float):
         return None if value != value else int(value) if value.is_integer() else value
     return value
