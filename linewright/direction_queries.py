@@ -11,7 +11,7 @@ from .operators import render, web
 from .operators.lines import analysed_lines
 from .plans.batch import dump
 from .plans.pipeline import Analysis, analyse
-from .queries import _MIXED, _MIXED_MARKED, _mixed, _tag_parts, q, query, read, sql_prose, sql_runs
+from .queries import _MIXED, _MIXED_MARKED, _mixed, q, query, read, sql_prose, sql_runs, sql_walk
 from .streaming.captures import latest
 
 _SIDE = "CASE WHEN {r} > {l} THEN 'rtl' ELSE 'ltr' END"
@@ -216,24 +216,27 @@ def pages_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Web pages with blocks, lists and cards from right to left.
 
-_RTL_P = "CASE WHEN page_id % 2 = 0 THEN replace(html, '<p>', '<p>سلام دنیا خوب است و این یک متن است ') ELSE html END"
+_RTL_P = """replace(CASE WHEN page_id % 2 = 0 THEN replace(html, '<p>', '<p>سلام دنیا خوب است و این یک متن است ') ELSE html END, '</article>', concat('<blockquote>abc<p>in</p> سلام دنیا ', url, ' سلام</blockquote><p>a ', url, ' <code>', url, '</code> سلام دنیا خوب است و این یک متن است<pre><code>x</code> سلام</pre>',
+  '<button><svg></svg>سلام<p>no</p></button><p>q <button>سلام</button></p><div role="button"><h3>سلام</h3></div><p>one<p>دو</article>'))"""
 
 
-@query(rf"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS block_no, tag, CASE WHEN r = 0 THEN NULL WHEN r >= 0.4 * (r + l) THEN 'rtl' ELSE 'ltr' END AS dir FROM (
-SELECT page_id, pos, lower(regexp_extract(part, '^<([A-Za-z0-9]+)', 1)) AS tag, len(regexp_extract_all(regexp_replace(part, '<[^>]*>', '', 'g'), '[{web.RTL_LETTERS}]')) AS r, len(regexp_extract_all(regexp_replace(part, '<[^>]*>', '', 'g'), '[{web.LTR_LETTERS}]')) AS l
-FROM ({_tag_parts(f'(SELECT page_id, {_RTL_P} AS html FROM pages)')}) WHERE regexp_matches(part, '(?i)^<({'|'.join(web.BLOCK_TAGS)})\b'))""")
+@query(rf"""WITH RECURSIVE {sql_walk(f'(SELECT page_id, {_RTL_P} AS html FROM pages)')}
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS BIGINT) AS block_no, name AS tag, dir FROM found WHERE free AND name IN ({', '.join(f"'{x}'" for x in web.BLOCK_TAGS)})""")
 def page_blocks_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directions of the blocks of pages, with paragraphs of both directions."""
+    """Directions of the blocks of pages: both directions, blocks in blocks, code in blocks, controls, paragraphs without an end."""
     pages = read(spark, sf_dir, "pages").select("page_id", F.expr(_RTL_P).alias("html"))
-    return web.page_blocks(pages).select("page_id", F.col("block_no").cast("long").alias("block_no"), "tag", web.classify("text").alias("dir"))
+    return web.page_blocks(pages).select("page_id", F.col("block_no").cast("long").alias("block_no"), "tag", "dir")
 
 
-_CARDS = """concat(replace(html, '</article>', ''), '<div class="x artifact-card"><span>', CASE WHEN page_id % 2 = 0 THEN 'سلام' ELSE 'hello' END, '</span><div><p>x</p></div></div><p>سلام</p><section class="artifact-card"><p>plain</p><p>سلام دنیا</p></section></article>')"""
+_CARDS = """concat(replace(html, '</article>', ''), '<div class="x artifact-card"><span>', CASE WHEN page_id % 2 = 0 THEN 'سلام' ELSE 'hello' END, ' ', url, '</span><div><p>x</p></div></div><p>سلام</p><section class="artifact-card"><p>plain</p><p>سلام <b>', CASE WHEN page_id % 3 = 0 THEN url ELSE 'x' END, '</b></p><div class="artifact-card"><span>', url, '</span></div></section></article>')"""
 
 
-@query("SELECT page_id, CAST(0 AS BIGINT) AS card_no, CAST(2 AS BIGINT) AS blocks, CAST(CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS rtl_blocks, page_id % 2 = 0 AS marked FROM pages UNION ALL SELECT page_id, 1, 2, 1, TRUE FROM pages")
+@query(rf"""WITH RECURSIVE {sql_walk(f'(SELECT page_id, {_CARDS} AS html FROM pages)')},
+cards AS (SELECT page_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS card_no FROM found WHERE contains(tag, 'artifact-card')),
+blocks AS (SELECT page_id, dir, unnest(list_filter(around, lambda e: contains(e.tag, 'artifact-card'))) AS e FROM found WHERE free AND name IN ('span', {', '.join(f"'{x}'" for x in web.BLOCK_TAGS)}))
+SELECT cards.page_id, card_no, count(*) AS blocks, count(*) FILTER (WHERE dir = 'rtl') AS rtl_blocks, count(*) FILTER (WHERE dir = 'rtl') > 0 AS marked FROM cards JOIN blocks ON cards.page_id = blocks.page_id AND cards.pos = blocks.e.pos GROUP BY cards.page_id, card_no""")
 def page_card_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of pages, marked if something in them is right to left; what is beside a card does not count."""
+    """Cards of pages, marked if something in them is right to left; what is beside a card does not count, a card inside a card counts for both."""
     pages = read(spark, sf_dir, "pages").select("page_id", F.expr(_CARDS).alias("html"))
     cards = web.page_cards(pages)
     return cards.select("page_id", F.col("card_no").cast("long").alias("card_no"), "blocks", "rtl_blocks", "marked")

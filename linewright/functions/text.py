@@ -36,10 +36,10 @@ TOKEN = "|".join(TOKEN_KINDS)
 _LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{620}-\x{64A}"
 #: Words of letters that end in white space or with the text hold no token, nor a match that reaches beyond them; taken whole they spare a tile for each letter.
 _PLAIN = rf"[{_LETTERS}]++[.,;!?]?(?:[{WS}]++|\z)"
-#: Where no token starts, all that starts inside the run after it has no boundary before it, and none of it reaches beyond the run unless one of these follows.
-_RUN = rf"[{_LETTERS}0-9._%+@\-]++(?![:/(=>])"
-#: The kinds that look ahead over whole words do so only in the first characters of a run, else a run of n would take n * n steps.
-_DEEP = r"(?<![A-Za-z0-9._%+@-]{200})"
+#: The characters of a run. A match that starts inside a run has no boundary before it, so it is no token; it still takes its text, which can reach beyond the run.
+_IN_RUN = r"A-Za-z0-9._%+@\-"
+#: Where no token starts, the rest of a run holds none; and none of it reaches beyond the run unless one of these follows (a path that does is met again at its slash, and ends alike).
+_RUN = rf"[{_LETTERS}{_IN_RUN}]++(?![:(=>])"
 
 
 def possessive(kind: str) -> str:
@@ -50,7 +50,21 @@ def possessive(kind: str) -> str:
 
 def _java_token() -> str:
     kinds = [possessive(k) for k in TOKEN_KINDS]
-    return "|".join([*kinds[:4], f"{_DEEP}(?:{'|'.join(kinds[4:13])})", *kinds[13:]])
+    kinds[4] = rf"(?<![{_IN_RUN}]){kinds[4]}"  # inside a run it would take what the tiles take without it, at a walk to the run's end for each character
+    return "|".join(kinds)
+
+
+def _skipped() -> str:
+    """What is passed at once where no token starts inside a run that something follows: the tiles up to the next match that may reach beyond the run.
+
+    What failed here fails further on for the same reason, so it is not tried again: an address up to the next @, a name or dotted name in the same word.
+    Without this a run of n characters would take n * n steps.
+    """
+    k = [possessive(x) for x in TOKEN_KINDS]
+    word = rf"[A-Za-z](?:(?!{k[1]}|{k[2]})(?:{k[13]}|[A-Za-z0-9]))*+"
+    unit = rf"{word}|[0-9]++|_(?:_(?=__))*+|[.%+\-]"
+    inside = "|".join((k[8], k[9], k[10], k[12], k[13]))
+    return rf"(?:{unit})(?:(?!{'|'.join((k[1], k[2], *k[5:8]))})(?:{inside}|{unit}))*+"
 
 
 #: Stand around code tokens in marked text; cleaned text has no control characters.
@@ -90,11 +104,14 @@ def replay_cursor(line: Column) -> Column:
     returns = F.aggregate(F.split(line, "\r", -1), F.lit(""), lambda shown, new: F.concat(new, F.substring(shown, F.length(new) + 1, F.length(shown))))
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
 
-    def put(a: Column, ch: Column) -> Column:
-        typed = F.concat(F.left(a.s, a.at), ch, F.substring(a.s, a.at + 2, F.length(a.s)))
-        return F.when(ch == "\r", F.struct(a.s.alias("s"), F.lit(0).alias("at"))).when(ch == "\b", F.struct(a.s.alias("s"), F.greatest(a.at - 1, F.lit(0)).alias("at"))).otherwise(F.struct(typed.alias("s"), (a.at + 1).alias("at")))
+    def put(a: Column, run: Column) -> Column:
+        n = F.length(run)
+        typed = F.concat(F.left(a.s, a.at), run, F.substring(a.s, a.at + n + 1, F.length(a.s)))
+        back = F.struct(a.s.alias("s"), F.greatest(a.at - n, F.lit(0)).alias("at"))
+        return F.when(run == "\r", F.struct(a.s.alias("s"), F.lit(0).alias("at"))).when(run.startswith("\b"), back).otherwise(F.struct(typed.alias("s"), (a.at + n).alias("at")))
 
-    steps = F.aggregate(F.split(line, ""), start, put, lambda a: a.s)
+    runs = F.regexp_extract_all(line, F.lit(r"\r|\x08++|[^\r\x08]++"), F.lit(0))  # a step for each run, not for each character
+    steps = F.aggregate(runs, start, put, lambda a: a.s)
     return F.when(F.contains(line, F.lit("\b")), steps).when(F.contains(line, F.lit("\r")), returns).otherwise(line)
 
 
@@ -164,8 +181,8 @@ def gutter(line: str | Column) -> Column:
     return let(gutter_lead(line), parts)
 
 
-#: Pieces that join to the whole: matches of the token pattern, plain words, runs of letters and digits without a token, single characters.
-_TILE = rf"(?s:(?<![{_LETTERS}]){_PLAIN}|{_java_token()}|{_RUN}|.)"
+#: Pieces that join to the whole: matches of the token pattern, plain words, runs or parts of runs without a token, single characters.
+_TILE = rf"(?s:(?<![{_LETTERS}]){_PLAIN}|{_java_token()}|{_RUN}|{_skipped()}|.)"
 #: What a line with a token has somewhere.
 _SIGN = r"[`/\\_@=\[0-9]|[.:-][A-Za-z:>-]"
 

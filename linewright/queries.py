@@ -119,6 +119,18 @@ def segments_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("seg_no").cast("long").alias("seg_no"), "s.kind", "s.text")
 
 
+_RUN_UNIT = "CASE p_partkey % 8 WHEN 0 THEN '.' WHEN 1 THEN '%' WHEN 2 THEN '-' WHEN 3 THEN 'a-_' WHEN 4 THEN '9' WHEN 5 THEN 'q' WHEN 6 THEN '+@' ELSE 'x7%' END"
+_RUN_END = "CASE p_partkey % 7 WHEN 0 THEN 'name=' WHEN 1 THEN 'name()=' WHEN 2 THEN '=' WHEN 3 THEN 'http://' WHEN 4 THEN '/' WHEN 5 THEN '(' ELSE '::b->c=' END"
+_RUNS = f"repeat({_RUN_UNIT}, CAST(p_partkey * 37 % 900 AS INT)) || {_RUN_END} || 'foo.bar ' || p_name || '.rs'"
+
+
+@query(f"SELECT doc_id, len(string_split(marked, chr(1))) - 1 AS tokens, marked FROM ({sql_marked(f'SELECT p_partkey AS doc_id, {_RUNS} AS text FROM part', 'doc_id', 'text')})")
+def tokens_behind_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code tokens behind unbroken runs of up to 2,700 characters, which a match inside the run can take along."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_RUNS).alias("text"))
+    return rows.select("doc_id", T.marked("text").alias("marked")).select("doc_id", F.size(T.code_tokens("marked")).cast("long").alias("tokens"), "marked")
+
+
 _LEAD = rf"^(?:[{WS}{STRUCT}]|[-*+$][{WS}]|>+[{WS}]|[0-9]+[.)][{WS}])*"
 _GUTTERS = f"SELECT doc_id, lead, regexp_extract(rest, {q(rf'[{WS}{STRUCT}]*$')}) AS tail, rest FROM (SELECT doc_id, regexp_extract(text, {q(_LEAD)}) AS lead, substr(text, length(regexp_extract(text, {q(_LEAD)})) + 1) AS rest FROM (SELECT c_custkey AS doc_id, {_BOX} AS text FROM customer))"
 
@@ -144,13 +156,13 @@ def welded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_lines(docs).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-_TURNS = "SELECT conv_id AS doc_id, CASE WHEN turn % 4 = 1 THEN '```' ELSE left(replace(text, chr(10), ' '), 30) END AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS line_no FROM conversations"
+_TURNS = "SELECT conv_id AS doc_id, CASE WHEN turn % 4 = 1 THEN '```' ELSE replace(text, chr(10), ' ') END AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS line_no FROM conversations"
 
 
 @query(f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, fence OR coalesce(sum(CAST(fence AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS code FROM (SELECT *, line = '```' AS fence FROM ({_TURNS}))")
 def fence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of conversations inside code fences."""
-    turns = read(spark, sf_dir, "conversations").withColumn("line", F.expr("CASE WHEN turn % 4 = 1 THEN '```' ELSE left(replace(text, char(10), ' '), 30) END"))
+    """Whole turns of conversations, each as a line, inside code fences."""
+    turns = read(spark, sf_dir, "conversations").withColumn("line", F.expr("CASE WHEN turn % 4 = 1 THEN '```' ELSE replace(text, char(10), ' ') END"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     lines = turns.select(F.col("conv_id").alias("doc_id"), (F.row_number().over(order) - 1).alias("line_no"), "line", F.lit(False).alias("diff"))
     return with_fences(with_gutters(lines)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "code")
@@ -251,20 +263,19 @@ def unwrap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A framed table and one of aligned columns of each region's nations."""
-    nation = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = nation.groupBy("r_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
-    framed = F.concat(F.lit("┌──────────────────────┬──────┐\n│ nation               │ key  │\n├──────────────────────┼──────┤\n"), F.array_join(F.transform("n", lambda x: F.concat(F.lit("│ "), F.rpad(x.n_name, 20, " "), F.lit(" │ "), F.rpad(x.n_nationkey.cast("string"), 4, " "), F.lit(" │"))), "\n"), F.lit("\n└──────────────────────┴──────┘"))
-    spaced = F.concat(F.lit("nation                  key\n"), F.array_join(F.transform("n", lambda x: F.concat(F.rpad(x.n_name, 24, " "), x.n_nationkey.cast("string"))), "\n"))
-    return rows.select(F.col("r_regionkey").cast("long").alias("doc_id"), framed.alias("text")).union(rows.select((F.col("r_regionkey") + 100).cast("long"), spaced))
+    """A framed table and one of aligned columns of each ten suppliers."""
+    rows = read(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey div 10").alias("g")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.translate("s_name", "#", "_").alias("s_name")))).alias("n"))
+    framed = F.concat(F.lit("┌──────────────────────┬────────────┐\n│ supplier             │ key        │\n├──────────────────────┼────────────┤\n"), F.array_join(F.transform("n", lambda x: F.concat(F.lit("│ "), F.rpad(x.s_name, 20, " "), F.lit(" │ "), F.rpad(x.s_suppkey.cast("string"), 10, " "), F.lit(" │"))), "\n"), F.lit("\n└──────────────────────┴────────────┘"))
+    spaced = F.concat(F.lit("supplier                key\n"), F.array_join(F.transform("n", lambda x: F.concat(F.rpad(x.s_name, 24, " "), x.s_suppkey.cast("string"))), "\n"))
+    return rows.select((2 * F.col("g")).cast("long").alias("doc_id"), framed.alias("text")).union(rows.select((2 * F.col("g") + 1).cast("long"), spaced))
 
 
-_CELLS = """
-WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
-k AS (SELECT unnest([0, 100]) AS k), cells AS (
-SELECT n_regionkey AS g, r, 0 AS c, n_name AS text FROM n UNION ALL SELECT n_regionkey, r, 1, CAST(n_nationkey AS VARCHAR) FROM n
-UNION ALL SELECT DISTINCT n_regionkey, 0, 0, 'nation' FROM n UNION ALL SELECT DISTINCT n_regionkey, 0, 1, 'key' FROM n)
-SELECT CAST(g + k AS BIGINT) AS doc_id, CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS col_no, r = 0 AS head, text FROM cells, k"""
+_SUPPLIERS = "SELECT s_suppkey // 10 AS g, s_suppkey, translate(s_name, '#', '_') AS s_name, row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) AS r FROM supplier"
+_CELLS = f"""
+WITH n AS ({_SUPPLIERS}), k AS (SELECT unnest([0, 1]) AS k), cells AS (
+SELECT g, r, 0 AS c, s_name AS text FROM n UNION ALL SELECT g, r, 1, CAST(s_suppkey AS VARCHAR) FROM n
+UNION ALL SELECT DISTINCT g, 0, 0, 'supplier' FROM n UNION ALL SELECT DISTINCT g, 0, 1, 'key' FROM n)
+SELECT CAST(2 * g + k AS BIGINT) AS doc_id, CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS col_no, r = 0 AS head, text FROM cells, k"""
 
 
 @query(_CELLS)
@@ -274,7 +285,7 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), "head", "text")
 
 
-@query("SELECT CAST(n_regionkey + k AS BIGINT) AS doc_id, CAST(2 AS BIGINT) AS columns, CASE WHEN k = 0 THEN 'delimited' ELSE 'spaced' END AS sep, k = 0 AS framed, 'ltr' AS dir, count(*) + 1 AS n_rows FROM nation, (SELECT unnest([0, 100]) AS k) GROUP BY n_regionkey, k")
+@query("SELECT CAST(2 * (s_suppkey // 10) + k AS BIGINT) AS doc_id, CAST(2 AS BIGINT) AS columns, CASE WHEN k = 0 THEN 'delimited' ELSE 'spaced' END AS sep, k = 0 AS framed, 'ltr' AS dir, count(*) + 1 AS n_rows FROM supplier, (SELECT unnest([0, 1]) AS k) GROUP BY s_suppkey // 10, k HAVING count(*) > 1")
 def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables themselves."""
     out = analyse(_tables(spark, sf_dir))
@@ -282,10 +293,11 @@ def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.tables.join(sizes, ["doc_id", "table_id"]).select("doc_id", F.col("columns").cast("long").alias("columns"), "sep", "framed", F.col("table_dir").alias("dir"), "n_rows")
 
 
-@query("""
-WITH n AS (SELECT n_regionkey AS g, n_nationkey, n_name, greatest(max(length(n_name) + 2) OVER (PARTITION BY n_regionkey), 6) AS w FROM nation),
-body AS (SELECT g, w, string_agg('| ' || rpad('`' || n_name || '`', CAST(w AS INT), ' ') || ' | ' || rpad(CAST(n_nationkey AS VARCHAR), 3, ' ') || ' |', chr(10) ORDER BY n_nationkey) AS b FROM n GROUP BY g, w)
-SELECT CAST(g + k AS BIGINT) AS doc_id, '| ' || rpad('nation', CAST(w AS INT), ' ') || ' | key |' || chr(10) || '| ' || repeat('-', CAST(w AS INT)) || ' | --- |' || chr(10) || b AS out FROM body, (SELECT unnest([0, 100]) AS k)""")
+@query(f"""
+WITH n AS (SELECT g, s_suppkey, '`' || s_name || '`' AS name FROM ({_SUPPLIERS})),
+wide AS (SELECT *, greatest(max(length(name)) OVER (PARTITION BY g), 8) AS w, greatest(max(length(CAST(s_suppkey AS VARCHAR))) OVER (PARTITION BY g), 3) AS v FROM n),
+body AS (SELECT g, w, v, string_agg('| ' || rpad(name, CAST(w AS INT), ' ') || ' | ' || rpad(CAST(s_suppkey AS VARCHAR), CAST(v AS INT), ' ') || ' |', chr(10) ORDER BY s_suppkey) AS b FROM wide GROUP BY g, w, v)
+SELECT CAST(2 * g + k AS BIGINT) AS doc_id, '| ' || rpad('supplier', CAST(w AS INT), ' ') || ' | ' || rpad('key', CAST(v AS INT), ' ') || ' |' || chr(10) || '| ' || repeat('-', CAST(w AS INT)) || ' | ' || repeat('-', CAST(v AS INT)) || ' |' || chr(10) || b AS out FROM body, (SELECT unnest([0, 1]) AS k)""")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered tables as Markdown."""
     return analyse(_tables(spark, sf_dir)).copied("markdown")
@@ -332,41 +344,48 @@ def page_block_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("page_id", "tag").agg(F.count("*").alias("blocks"), F.count_if(web.classify("text") == "rtl").alias("rtl"))
 
 
-@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<li\\b')) AS BIGINT) AS items, CAST(0 AS BIGINT) AS rtl_items, CAST(NULL AS VARCHAR) AS dir FROM pages WHERE len(regexp_extract_all(html, '<li\\b')) > 0""".replace("\\\\b", "\\b"))
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '<li\\b')) AS BIGINT) AS items, CAST(0 AS BIGINT) AS rtl_items, CAST(NULL AS VARCHAR) AS dir FROM pages WHERE len(regexp_extract_all(html, '<li\\b')) > 0""")
 def page_list_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directions of the lists of pages."""
-    return web.list_direction(web.page_blocks(read(spark, sf_dir, "pages")))
+    """Directions of all items of each page together."""
+    items = web.page_blocks(read(spark, sf_dir, "pages")).where("tag = 'li'")
+    counts = items.groupBy("page_id").agg(F.count("*").alias("items"), F.count_if(F.col("dir") == "rtl").alias("rtl_items"))
+    return counts.withColumn("dir", web.list_side("items", "rtl_items"))
 
 
-def _tag_parts(pages: str) -> str:
-    """Pages (page_id, html) without what has no text, cut before each start and end of a block or list."""
-    return rf"""SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style|pre|code|textarea|select|button)\b[^>]*>.*?</(?:script|style|pre|code|textarea|select|button)\s*>', '', 'g'), '(?is)(</?(?:{_TAGS}|ul|ol)\b[^>]*>)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM {pages})"""
+def sql_walk(pages: str) -> str:
+    """CTEs that walk pages (page_id, html) tag by tag with a stack of open elements: `found` has for each element its name, what it is inside of and the letters of its subtree but code."""
+    return rf"""
+src AS (SELECT page_id, string_split(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<') AS parts FROM {pages}),
+walk AS (SELECT page_id, parts, 1 AS i, CAST([] AS STRUCT(pos INTEGER, name VARCHAR, tag VARCHAR)[]) AS stack FROM src UNION ALL
+  SELECT page_id, parts, i + 1, CASE WHEN p[1] = '/' THEN CASE WHEN len(list_filter(stack, lambda e: e.name = name)) > 0 THEN stack[:list_max(list_transform(stack, lambda e, k: CASE WHEN e.name = name THEN k ELSE 0 END)) - 1] ELSE stack END
+    WHEN NOT regexp_matches(p, '^[a-z]') OR name IN ('br', 'hr', 'img', 'input', 'link', 'meta') THEN stack ELSE list_append(CASE WHEN len(list_filter(stack, lambda e: e.name = 'p')) > 0 AND name IN ('p', 'ul', 'ol', 'pre', 'div', 'section', 'blockquote', 'article', 'footer', 'h2', 'h3') THEN stack[:list_max(list_transform(stack, lambda e, k: CASE WHEN e.name = 'p' THEN k ELSE 0 END)) - 1] ELSE stack END, {{'pos': i + 1, 'name': name, 'tag': split_part(p, '>', 1)}}) END
+  FROM (SELECT *, parts[i + 1] AS p, lower(regexp_extract(parts[i + 1], '^/?([a-zA-Z0-9]+)', 1)) AS name FROM walk WHERE i < len(parts))),
+texts AS (SELECT page_id, i, stack, len(list_filter(stack, lambda e: e.name IN ('pre', 'code'))) = 0 AS prose, CASE WHEN i = 1 THEN parts[1] ELSE substr(parts[i], strpos(parts[i], '>') + 1) END AS text FROM walk),
+counted AS (SELECT page_id, e.pos AS pos, sum(CASE WHEN prose THEN len(regexp_extract_all(text, '[{web.RTL_LETTERS}]')) ELSE 0 END) AS r, sum(CASE WHEN prose THEN len(regexp_extract_all(text, '[{web.LTR_LETTERS}]')) ELSE 0 END) AS l FROM (SELECT page_id, prose, text, unnest(stack) AS e FROM texts) GROUP BY ALL),
+found AS (SELECT counted.*, stack[-1].name AS name, stack[-1].tag AS tag, stack[:-2] AS around, stack[-2].pos AS parent, stack[-2].name AS parent_name, CASE WHEN r = 0 THEN NULL WHEN r >= 0.4 * (r + l) THEN 'rtl' ELSE 'ltr' END AS dir,
+  len(list_filter(stack, lambda e: e.name IN ('pre', 'code', 'svg', 'button') OR contains(e.tag, 'role="button"') OR contains(e.tag, 'contenteditable'))) = 0 AS free FROM counted JOIN texts ON counted.page_id = texts.page_id AND counted.pos = texts.i)"""
 
 
 def _list_sql(pages: str) -> str:
-    return rf"""
-WITH marks AS (SELECT *, CAST(regexp_matches(part, '(?i)^<[uo]l\b') AS INT) AS up, CAST(regexp_matches(part, '(?i)^</[uo]l\b') AS INT) AS down FROM ({_tag_parts(pages)})),
-deep AS (SELECT *, sum(up - down) OVER w AS depth, sum(up) OVER w AS n FROM marks WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
-own AS (SELECT *, CASE WHEN depth > 0 THEN max(CASE WHEN up = 1 THEN n - 1 END) OVER (PARTITION BY page_id, depth ORDER BY pos) END AS list_no FROM deep),
-items AS (SELECT page_id, list_no, regexp_replace(part, '<[^>]*>', '', 'g') AS text FROM own WHERE regexp_matches(part, '(?i)^<li\b')),
-counts AS (SELECT page_id, list_no, len(regexp_extract_all(text, '[{web.RTL_LETTERS}]')) AS r, len(regexp_extract_all(text, '[{web.LTR_LETTERS}]')) AS l FROM items)
-SELECT page_id, CAST(list_no AS INTEGER) AS list_no, count(*) AS items, CAST(count_if(r > 0 AND r >= 0.4 * (r + l)) AS BIGINT) AS rtl_items, CASE WHEN 2 * count_if(r > 0 AND r >= 0.4 * (r + l)) >= count(*) THEN 'rtl' END AS dir FROM counts GROUP BY page_id, list_no"""
+    return f"""
+WITH RECURSIVE {sql_walk(pages)}, lists AS (SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS list_no FROM found WHERE name IN ('ul', 'ol')),
+items AS (SELECT page_id, parent AS pos, count(*) AS items, count(*) FILTER (WHERE dir = 'rtl') AS rtl_items FROM found WHERE name = 'li' AND free AND parent_name IN ('ul', 'ol') GROUP BY ALL)
+SELECT page_id, list_no, items, rtl_items, CASE WHEN 2 * rtl_items >= items THEN 'rtl' END AS dir FROM items JOIN lists USING (page_id, pos)"""
 
 
 @query(_list_sql("pages"))
 def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions of each list of each page, by its own items."""
-    return web.list_direction(web.list_items(read(spark, sf_dir, "pages")), ["page_id", "list_no"])
+    return web.page_lists(read(spark, sf_dir, "pages"))
 
 
-_RTL_LISTS = "replace(html, '</article>', CASE WHEN page_id % 2 = 0 THEN '<ol><li>سلام</li><li>دنیا خوب<ul><li>abc</li><li>defg</li></ul></li><li>latin</li></ol></article>' ELSE '</article>' END)"
+_RTL_LISTS = "replace(html, '</article>', CASE WHEN page_id % 2 = 0 THEN '<ol><li>سلام</li><li>دنیا خوب<ul><li>abc</li><li>defg<p>in</p> سلام دنیا خوب</li></ul>abc</li><li>latin <pre><code>x</code> سلام</pre></li></ol></article>' ELSE '<ul><li>ab</li></ul><div contenteditable=\"true\"><ul><li>سلام</li></ul></div></article>' END)"
 
 
-@query(_list_sql(f"(SELECT page_id, {_RTL_LISTS} AS html FROM pages)"))
+@query(_list_sql(f"(SELECT page_id, {_RTL_LISTS} AS html FROM pages)").replace('\\"', '"'))
 def page_lists_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directions of lists, some with items from right to left and lists inside."""
-    pages = read(spark, sf_dir, "pages").select("page_id", F.expr(_RTL_LISTS).alias("html"))
-    return web.list_direction(web.list_items(pages), ["page_id", "list_no"])
+    """Directions of lists, some with items from right to left, lists, blocks and code inside."""
+    return web.page_lists(read(spark, sf_dir, "pages").select("page_id", F.expr(_RTL_LISTS).alias("html")))
 
 
 _MIXED_BLOCK = "CASE p_partkey % 3 WHEN 0 THEN 'سلام دنیا ' || p_name WHEN 1 THEN 'سلام دنیا خوب است ' || left(p_name, 4) ELSE p_name END"
@@ -378,11 +397,17 @@ def share_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), web.classify(F.expr(_MIXED_BLOCK)).alias("dir"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'update' WHEN event_id % 2 = 0 OR value < 5 OR event_type = coalesce(last_text, '') THEN 'dismiss' ELSE 'update' END AS action FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_text FROM events)""")
+@query("""
+WITH RECURSIVE numbered AS (SELECT event_id, user_id, trim(event_type) AS text, event_id % 3 <> 0 AS visible, event_id % 2 <> 0 AS pinned, value >= 5 AS selected, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk AS (SELECT user_id, 0 AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS action, '' AS shown FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN update THEN 'update' ELSE 'dismiss' END, CASE WHEN update THEN text ELSE shown END
+  FROM (SELECT e.*, shown, NOT visible OR (pinned AND selected AND text <> shown) AS update FROM walk JOIN numbered AS e ON walk.user_id = e.user_id AND e.n = walk.n + 1) AS e)
+SELECT event_id, action FROM walk WHERE n > 0""")
 def trigger_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each event does to the window of its user."""
-    rows = read(spark, sf_dir, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("text"), (F.col("event_id") % 3 != 0).alias("visible"), (F.col("event_id") % 2 != 0).alias("pinned"), (F.col("value") >= 5).alias("selected"))
-    return with_last_text(rows, "user_id", "at").select("event_id", trigger_action("visible", "pinned", "selected", F.concat(F.lit(" "), "text"), "last_text").alias("action"))
+    """What each event does to the window of its user, which keeps what it shows until an event updates it."""
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("text"), (F.col("event_id") % 3 != 0).alias("visible"), (F.col("event_id") % 2 != 0).alias("pinned"), (F.col("value") >= 5).alias("selected"))
+    told = with_last_text(rows, "user_id", "at", "visible", "pinned", "selected", chunk=F.date_trunc("month", "ts"))
+    return told.select("event_id", trigger_action("visible", "pinned", "selected", F.concat(F.lit(" "), "text"), "last_text").alias("action"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 AND t <> '' THEN 'selection' WHEN event_id % 3 = 0 AND t <> '' THEN 'clipboardFallback' ELSE 'empty' END AS source FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS t FROM events)")

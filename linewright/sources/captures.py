@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def read_captures(spark: SparkSession, path: str, pattern: str | None = None, glob: str = "*.txt") -> DataFrame:
-    """One row (doc_id, path, text, at) for each text file whose name fits `glob`, ordered by path; `pattern` is a substring that the name must have. Ids are hashes of paths, `at` is when the file was written."""
+    """One row (doc_id, path, text, at) for each text file whose name fits `glob`, in no order (sort by path where order matters, after the texts are gone); `pattern` is a substring that the name must have. Ids are hashes of paths, `at` is when the file was written."""
     rows = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob).load(path).select("value", "_metadata.file_path", "_metadata.file_modification_time")
     if pattern:
         rows = rows.where(F.contains(F.element_at(F.split("file_path", "/"), -1), F.lit(pattern)))
-    return _captures(rows).orderBy("path")
+    return _captures(rows)
 
 
 def _captures(rows: DataFrame) -> DataFrame:

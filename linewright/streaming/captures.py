@@ -22,9 +22,21 @@ def trigger_action(visible: str, pinned: str, has_selection: str, new_text: str
     return F.when(~F.col(visible), F.lit("update")).when(~F.col(pinned) | ~F.col(has_selection) | (new == last), F.lit("dismiss")).otherwise(F.lit("update"))
 
 
-def with_last_text(rows: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
-    """`rows` with `last_text`, the text of the one before under the same key."""
-    return rows.withColumn("last_text", F.lag(text).over(Window.partitionBy(key).orderBy(order)))
+def with_last_text(rows: DataFrame, key: str, order: str, visible: str, pinned: str, selected: str, text: str = "text", chunk: Column | None = None) -> DataFrame:
+    """`rows` with `last_text`, what the key shows before the event (null: nothing yet).
+
+    An event either sets what is shown, to its own text, or leaves it: one that finds the window hidden sets it, and one that finds it pinned with a
+    selection sets it or has the same text. So events compose to the last of them that sets, a running value. It is found within chunks first, then over
+    the totals of chunks, so that a key with very many events is not one task; `chunk` must grow with `order` (all of a key if not given).
+    """
+    sets = F.when(~F.col(visible) | (F.col(pinned) & F.col(selected)), F.struct(F.coalesce(text, F.lit("")).alias("t")))
+    each = rows.withColumns({"__chunk": F.lit(0) if chunk is None else chunk, "__set": sets})
+    inside = Window.partitionBy(key, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("__own", F.last("__set", ignorenulls=True).over(inside))
+    totals = each.groupBy(key, "__chunk").agg(F.max_by("__set", F.when(F.col("__set").isNotNull(), F.col(order))).alias("__total"))
+    before = totals.withColumn("__before", F.last("__total", ignorenulls=True).over(Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)))
+    joined = each.join(before.select(F.col(key).alias("__key"), F.col("__chunk").alias("__of"), "__before"), F.col(key).eqNullSafe(F.col("__key")) & F.col("__chunk").eqNullSafe(F.col("__of")))
+    return joined.withColumn("last_text", F.coalesce("__own", "__before")["t"]).drop("__chunk", "__set", "__own", "__before", "__key", "__of")
 
 
 def latest(captures: DataFrame, order: str | None = None) -> DataFrame:

@@ -46,6 +46,14 @@ def test_marks_are_those_of_a_walk(spark):
     assert [(r["x"], r["m"], marked(r["x"])) for r in got if r["m"] != marked(r["x"])] == []
 
 
+def test_marks_behind_runs_of_any_length(spark):
+    units = [".", "%", "-", "_", "+", "@", "a", "9", "z", "a-_", "w.", "x7%", "q@", "é"]
+    ends = ["name=foo.bar", "name()=foo.bar x.py", "=foo.bar", "a::b=c.d", "->b.c", "/x/y=foo.bar", "http://x.y z.w", "C:\\x y.z", "(x.py)", "()=x.py", "1.2-abc=foo.bar", "x@b.name=foo.bar", "-x=foo.bar p.q", " x.py", "é=foo.bar", "aaaaaaac:\\x"]
+    texts = [u * n + e for u in units for n in (1, 9, 199, 200, 260) for e in ends]
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.marked("x").alias("m")).collect()
+    assert [(r["x"], r["m"]) for r in got if r["m"] != marked(r["x"])] == []
+
+
 N = 1_000_000
 LONG = {
     "rule glyphs": "─" * N,
@@ -56,6 +64,9 @@ LONG = {
     "snake": "a_" * (N // 2) + "a",
     "underscores": "_" * N,
     "dots": "." * N,
+    "dots and a key": "." * N + "name=foo.bar",
+    "letters and a call": "q" * N + "()=x",
+    "percent signs and a colon": "a%" * (N // 2) + ":",
     "letters and digits": "a1" * (N // 2),
     "accented": "é" * N + "1",
     "kebab": "a-" * (N // 2) + "a",
