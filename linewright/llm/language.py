@@ -15,8 +15,6 @@ from .textkit import mix, remainder, slices, span_hashes, table, words
 #: Models are fitted on about so many documents of each language at most, drawn by a hash of their ids.
 SAMPLE_DOCS = 400
 ROUNDS = 4
-#: Words of more letters are not learned from; they are scored like others.
-FIT_LETTERS = 60
 #: Pseudo-count of each piece, and of all letters without a piece together.
 PRIOR = 0.01
 UNDETERMINED = "und"
@@ -194,10 +192,9 @@ def word_logs(vocabulary: Pieces, probabilities: np.ndarray, texts: list[str]) -
 
 
 def fit(vocabulary: Pieces, texts: list[str], counts: np.ndarray) -> np.ndarray:
-    """Piece probabilities of one language, by expectation-maximisation over all segmentations of its counted words of at most FIT_LETTERS letters."""
-    few = np.array([len(x) <= FIT_LETTERS for x in texts], bool)
-    found = words_of([x for x, ok in zip(texts, few, strict=True) if ok])
-    weight = counts[few][found.owner].astype(float)
+    """Piece probabilities of one language, by expectation-maximisation over all segmentations of its counted words; sums are scaled on the way, so that words of any length count."""
+    found = words_of(texts)
+    weight = counts[found.owner].astype(float)
     n = vocabulary.unknown + 1
     p = np.full(n + 1, 1.0 / n)
     p[n] = 0.0
@@ -206,18 +203,26 @@ def fit(vocabulary: Pieces, texts: list[str], counts: np.ndarray) -> np.ndarray:
         for part, matrix in found.blocks():
             lattice, ends = _lattice(vocabulary, matrix), found.size[part]
             steps, width, rows = _steps(lattice), len(matrix), np.arange(matrix.shape[1])
-            alpha, beta = np.zeros((width + 1, len(rows))), np.zeros((width + 1, len(rows)))
-            alpha[0], beta[ends, rows] = 1, 1
+            alpha, beta, scale = (np.zeros((width + 1, len(rows))) for _ in range(3))  # alpha is scaled by exp(-scale), beta by exp(scale) over the word's sum
+            alpha[0] = 1
             for j in range(1, width + 1):
                 for l in (1, *steps[j]):
-                    alpha[j] += alpha[j - l] * p[lattice[l - 1][j - l]]
+                    step = alpha[j - l] * p[lattice[l - 1][j - l]]
+                    alpha[j] += step * np.exp(scale[j - l] - scale[j - 1]) if (j - 1) // RESCALE > (j - l) // RESCALE else step
+                scale[j] = scale[j - 1]
+                if j % RESCALE == 0:
+                    by = np.where(alpha[j] > 0, alpha[j], 1.0)
+                    alpha[j] /= by
+                    scale[j] += np.log(by)
             whole = alpha[ends, rows]
-            scale = np.where(whole > 0, weight[part] / np.where(whole > 0, whole, 1.0), 0.0)
+            beta[ends, rows] = np.where(whole > 0, 1 / np.where(whole > 0, whole, 1.0), 0.0)
             for j in range(width, 0, -1):
                 for l in (1, *steps[j]):
                     piece = lattice[l - 1][j - l]
                     share = p[piece] * beta[j]
-                    expected += np.bincount(np.where(piece < 0, n, piece), alpha[j - l] * share * scale, minlength=n + 1)
+                    if j // RESCALE > (j - l) // RESCALE:
+                        share = share * np.exp(scale[j - l] - scale[j])
+                    expected += np.bincount(np.where(piece < 0, n, piece), alpha[j - l] * share * weight[part], minlength=n + 1)
                     beta[j - l] += share
         expected[n] = 0
         p = expected / expected.sum()

@@ -282,6 +282,21 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(logs[k, 1], brute_logs(pieces, p[:, 1], texts[k].lower()), rtol=1e-9)
 
 
+def test_fit_scales_words_of_any_length(monkeypatch):
+    vocabulary = language.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["the", "ing", "o", "é", "漢", "stra"]) for _ in range(rng.randrange(1, 25))) for _ in range(30)]
+    counts = np.arange(1, 31)
+    fine = language.fit(vocabulary, texts, counts)
+    monkeypatch.setattr(language, "RESCALE", 10_000)
+    assert np.allclose(fine, language.fit(vocabulary, texts, counts), rtol=1e-9)
+    monkeypatch.undo()
+    long = language.fit(vocabulary, ["the" * 2000, "a"], np.array([1, 1]))
+    assert np.isfinite(long).all() and abs(long.sum() - 1) < 1e-6
+    logs, _ = language.word_logs(vocabulary, np.stack([long, fine], axis=1), ["the" * 2000])
+    assert logs[0, 0] > logs[0, 1]
+
+
 def test_fit_gains_likelihood_and_counts_whole_pieces():
     vocabulary = language.pieces(public_tokenizers.path("piece_bpe_32k.model"))
     texts, counts = ["the", "then", "other", "mother", "a" * 100], np.array([50, 20, 10, 5, 1])
