@@ -1,6 +1,6 @@
 """Invertible Bloom lookup sketches of documents, in DataFrame operations only.
 
-A text is cut into paragraph cells: its lines, in pieces of few words. The digests of the cells are a set. A sketch of a set has three
+A text is cut into paragraph cells: its lines, in pieces of few words that end where their content says so. The digests of the cells are a set. A sketch of a set has three
 subtables; each digest goes to one cell of each, where a count, the XOR of digests and the XOR of their checks are kept. The sketches
 of two versions subtract, what both have cancels, and peeling gives the digests that differ: a cell whose count is one either way and
 whose check agrees holds one digest, which is then taken out of the other two subtables. The smallest sketch is the fingerprint. Two
@@ -16,8 +16,19 @@ from pyspark.sql import functions as F
 
 from .textkit import scratch, stored, table
 
-#: Words of a cell.
-CELL_WORDS = 12
+#: Most words of a cell, which ends with a word of a certain kind: its last two characters have these remainders by 4, as one word in about twelve has.
+CELL_WORDS = 64
+CUT = (1, 0)
+_SPACE, _WORD = r"[\x20\x09\x0B-\x0D]+", r"[^\x20\x09-\x0D]+"
+
+
+def _ends(remainder: int) -> str:
+    """The class body of the characters of alphabetic scripts, up to Arabic, whose number has a remainder by 4."""
+    return "".join(rf"\x{{{c:X}}}" for c in range(0x21, 0x700) if c % 4 == remainder)
+
+
+#: Words that end no cell, up to the most, and one more. What ends a cell is in its own text, so a word put in or taken out changes the cells around it alone.
+_CELL = rf"(?:{_WORD}(?<![{_ends(CUT[0])}][{_ends(CUT[1])}]){_SPACE}){{0,{CELL_WORDS - 1}}}{_WORD}"
 #: Cells of each subtable of the fingerprint; rounds of peeling; room for each digest when a pair is tried again.
 PRINT_WIDTH = 8
 ROUNDS = 9
@@ -34,8 +45,7 @@ BROADCAST_PAIRS = 500_000
 
 def digests(text: str) -> Column:
     """The distinct digests of the paragraph cells of a text column; none for a text without words."""
-    space, word = r"[\\x20\\x09\\x0B-\\x0D]+", r"[^\\x20\\x09-\\x0D]+"
-    return F.expr(f"array_distinct(transform(regexp_extract_all({text}, '{word}(?:{space}{word}){{0,{CELL_WORDS - 1}}}', 0), p -> xxhash64(p)))")
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(_CELL), F.lit(0)), lambda cell: F.xxhash64(cell)))
 
 
 def sketch(hashes: str, width: int = PRINT_WIDTH) -> Column:

@@ -226,6 +226,16 @@ def test_peeling_recovers_the_differences(spark, monkeypatch):
         assert len(parts) == 2 and sorted(r["key"] for r in parts[0].collect()) == [1, 2, 3, 4]
 
 
+def test_one_word_put_in_changes_few_cells(spark):
+    rng = random.Random(12)
+    bag = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    words = [rng.choice(bag) for _ in range(600)]
+    texts = [" ".join(words)] + [" ".join([*words[:at], "new", *words[at:]]) for at in (0, 1, 299, 600)] + [" ".join(words[:50] + words[51:]), " ".join(words) + " \n ", " ".join(["مرحبا"] * 100), "a  b \t\n c "]
+    rows = [set(r[0]) for r in spark.createDataFrame(list(enumerate(texts)), "i long, x string").orderBy("i").select(fingerprints.digests("x")).collect()]
+    alike = [2 * len(rows[0] & x) / (len(rows[0]) + len(x)) for x in rows]
+    assert 20 < len(rows[0]) < 120 and all(x > 0.9 for x in alike[1:6]) and alike[6] == 1.0 and len(rows[8]) == 2
+
+
 def test_ids_are_dealt_in_order(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 500)
     rng = random.Random(3)
@@ -580,7 +590,17 @@ def test_edited_texts(spark, tmp_path, rows):
     expected = []
 
     def cells(text):
-        return {tuple(WORD.findall(line)[k : k + fingerprints.CELL_WORDS]) for line in text.split("\n") for k in range(0, len(WORD.findall(line)), fingerprints.CELL_WORDS)}
+        out = set()
+        for line in text.split("\n"):
+            own = []
+            for word in WORD.findall(line):
+                own.append(word)
+                cut = len(word) > 1 and all(0x21 <= ord(c) < 0x700 and ord(c) % 4 == r for c, r in zip(word[-2:], fingerprints.CUT, strict=True))
+                if cut or len(own) == fingerprints.CELL_WORDS:
+                    out.add(tuple(own))
+                    own = []
+            out |= {tuple(own)} if own else set()
+        return out
 
     def alike(a, b):
         return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
