@@ -16,19 +16,14 @@ from pyspark.sql import functions as F
 
 from .textkit import scratch, stored, table
 
-#: Most words of a cell, which ends with a word of a certain kind: its last two characters have these remainders by 4, as one word in about twelve has.
+#: Most words of a cell, which ends with a word of a certain kind: its last two characters are of Latin-1 and have these remainders by 4, as one word in about twelve has, or it ends a clause in another script.
 CELL_WORDS = 64
 CUT = (1, 0)
-_SPACE, _WORD = r"[\x20\x09\x0B-\x0D]+", r"[^\x20\x09-\x0D]+"
-
-
-def _ends(remainder: int) -> str:
-    """The class body of the characters of alphabetic scripts, up to Arabic, whose number has a remainder by 4."""
-    return "".join(rf"\x{{{c:X}}}" for c in range(0x21, 0x700) if c % 4 == remainder)
-
-
+CLAUSE = ".,;:!?،؛؟۔。"
+_SPACE, _WORD = r"[\x20\x09\x0B-\x0D]++", r"[^\x20\x09-\x0D]++"
+_ENDS = ["".join(rf"\x{c:02X}" for c in range(0x21, 0x100) if c % 4 == remainder) for remainder in CUT]
 #: Words that end no cell, up to the most, and one more. What ends a cell is in its own text, so a word put in or taken out changes the cells around it alone.
-_CELL = rf"(?:{_WORD}(?<![{_ends(CUT[0])}][{_ends(CUT[1])}]){_SPACE}){{0,{CELL_WORDS - 1}}}{_WORD}"
+_CELL = rf"(?:{_WORD}(?<![{_ENDS[0]}][{_ENDS[1]}]|[\x{{100}}-\x{{10FFFF}}][{CLAUSE}]){_SPACE}){{0,{CELL_WORDS - 1}}}{_WORD}"
 #: Cells of each subtable of the fingerprint; rounds of peeling; room for each digest when a pair is tried again.
 PRINT_WIDTH = 8
 ROUNDS = 9
