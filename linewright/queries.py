@@ -121,12 +121,12 @@ def segments_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RUN_UNIT = "CASE p_partkey % 8 WHEN 0 THEN '.' WHEN 1 THEN '%' WHEN 2 THEN '-' WHEN 3 THEN 'a-_' WHEN 4 THEN '9' WHEN 5 THEN 'q' WHEN 6 THEN '+@' ELSE 'x7%' END"
 _RUN_END = "CASE p_partkey % 7 WHEN 0 THEN 'name=' WHEN 1 THEN 'name()=' WHEN 2 THEN '=' WHEN 3 THEN 'http://' WHEN 4 THEN '/' WHEN 5 THEN '(' ELSE '::b->c=' END"
-_RUNS = f"repeat({_RUN_UNIT}, CAST(p_partkey * 37 % 900 AS INT)) || {_RUN_END} || 'foo.bar ' || p_name || '.rs'"
+_RUNS = f"repeat({_RUN_UNIT}, CAST(p_partkey * 37 % 300 AS INT)) || {_RUN_END} || 'foo.bar ' || p_name || '.rs'"
 
 
 @query(f"SELECT doc_id, len(string_split(marked, chr(1))) - 1 AS tokens, marked FROM ({sql_marked(f'SELECT p_partkey AS doc_id, {_RUNS} AS text FROM part', 'doc_id', 'text')})")
 def tokens_behind_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code tokens behind unbroken runs of up to 2,700 characters, which a match inside the run can take along."""
+    """Code tokens behind unbroken runs of up to 900 characters, which a match inside the run can take along."""
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_RUNS).alias("text"))
     return rows.select("doc_id", T.marked("text").alias("marked")).select("doc_id", F.size(T.code_tokens("marked")).cast("long").alias("tokens"), "marked")
 
