@@ -1,12 +1,12 @@
-"""Recovery of tables from aligned or ruled text, as joins, windows and aggregates over display columns.
+"""Recovery of tables from aligned or ruled text, as bitwise aggregates, joins and windows over display columns.
 
-A block is a run of lines that are neither blank nor code; it becomes one table or none. Only blocks that can be tables are taken
-apart into glyphs.
+A block is a run of lines that are neither blank nor code; it becomes one table or none. The ink of a line is packed in words of
+columns, so a line of a block gives a row for each word, and one for each delimiter, but none for a glyph.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,10 +17,15 @@ BLOCK = ("doc_id", "block")
 LEAST_GAP = 2
 #: Gaps of one column count so near to a gap of a rule.
 NEAR = 2
+#: Columns of a word of ink.
+WORD = 60
 
 
 def candidate_lines(lines: DataFrame) -> DataFrame:
-    """Rows (doc_id, block, line_no, painted, rule) of the blocks that can be tables: two lines with content that share a delimiter, or have a wide gap, or a segmented rule."""
+    """Rows (doc_id, block, line_no, painted, rule, delim) of the blocks that can be tables: two lines with content that share a delimiter, or have a wide gap, or a segmented rule.
+
+    `delim` is the delimiter that two content lines of the block share: that on most lines, of equals the last in order.
+    """
     painted = lines.where(~F.col("diff")).select("doc_id", "line_no", "code", F.concat("lead", "content").alias("painted"))
     apart = T.is_blank("painted") | F.col("code")
     order = Window.partitionBy("doc_id").orderBy("line_no")
@@ -29,57 +34,84 @@ def candidate_lines(lines: DataFrame) -> DataFrame:
     content = ~F.col("rule")
     odd = rf"[^{T.WS}][{T.WS}{zero()}]{{{LEAST_GAP},}}[^{T.WS}]|[^{T.WS}]\x{{3000}}[^{T.WS}]"
     gap = F.when(T.is_plain("painted"), F.col("painted").rlike(rf"[^ ] {{{LEAST_GAP},}}[^ ]")).otherwise(F.col("painted").rlike(odd))
-    shared = [F.sum((content & F.contains("painted", F.lit(d))).cast("int")).over(block) >= 2 for d in DELIMITERS]
-    can = shared[0] | shared[1] | shared[2] | shared[3] | (F.sum((content & gap).cast("int")).over(block) >= 2) | F.max(F.col("rule") & gap).over(block)
+    shared = [F.sum((content & F.contains("painted", F.lit(d))).cast("int")).over(block) for d in DELIMITERS]
+    best = F.greatest(*(F.when(n >= 2, F.struct(n.alias("n"), T.delimiter_order(F.lit(d)).alias("order"), F.lit(d).alias("d"))) for d, n in zip(DELIMITERS, shared, strict=True)))
+    rows = rows.withColumn("delim", best["d"])
+    can = F.col("delim").isNotNull() | (F.sum((content & gap).cast("int")).over(block) >= 2) | F.max(F.col("rule") & gap).over(block)
     rows = rows.withColumn("can", can & (F.sum(content.cast("int")).over(block) >= 2))
-    return rows.where("can").select(*BLOCK, "line_no", "painted", "rule")
+    return rows.where("can").select(*BLOCK, "line_no", "painted", "rule", "delim")
+
+
+def _units(painted: Column) -> Column:
+    """The characters that take columns, each behind the ones without width before it; such at the end of the line are one more unit."""
+    return F.regexp_extract_all(painted, F.lit(rf"(?s)[{zero()}]*+[^{zero()}]|[{zero()}]++\z"), F.lit(0))
+
 
+def grid(painted: str | Column) -> Column:
+    """The text of each display column; the second column of a wide character is empty."""
+    painted = F.col(painted) if isinstance(painted, str) else painted
+    spread = F.flatten(F.transform(_units(painted), lambda u: F.when(u.rlike(rf"[{wide()}]\z"), F.array(u, F.lit(""))).otherwise(F.array(u))))
+    return F.when(T.is_plain(painted), F.split(painted, "")).otherwise(spread)
 
-def glyphs(candidates: DataFrame) -> DataFrame:
-    """Rows (doc_id, block, line_no, rule, at, ch, col, w): each character, its display column and width."""
-    each = candidates.select(*BLOCK, "line_no", "rule", F.posexplode(F.split("painted", "")).alias("at", "ch"))
-    each = each.withColumn("w", F.when(T.is_plain("ch"), 1).when(F.col("ch").rlike(f"[{zero()}]"), 0).when(F.col("ch").rlike(f"[{wide()}]"), 2).otherwise(1))
-    before = Window.partitionBy(*BLOCK, "line_no").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("col", F.coalesce(F.sum("w").over(before), F.lit(0)).cast("int"))
 
+def ink(painted: str | Column) -> Column:
+    """1 for each display column with ink and 0 for each without."""
+    painted = F.col(painted) if isinstance(painted, str) else painted
 
-def _delimiters(g: DataFrame) -> DataFrame:
-    """The delimiter of each block that has one on two content lines: that on most lines, of equals the last in order."""
-    lines = g.where("not rule").where(F.instr(F.lit(DELIMITERS), F.col("ch")) > 0).groupBy(*BLOCK, "ch").agg(F.countDistinct("line_no").alias("n")).where("n >= 2")
-    return lines.groupBy(*BLOCK).agg(F.max_by("ch", F.struct("n", T.delimiter_order(F.col("ch")))).alias("delim"))
+    def mark(u: Column) -> Column:
+        one = F.when(u.rlike(rf"[{T.WS}]\z"), F.lit("0")).otherwise(F.lit("1"))
+        return F.when(u.rlike(rf"^[{zero()}]*\z"), F.lit("")).when(u.rlike(rf"[{wide()}]\z"), F.repeat(one, F.lit(2))).otherwise(one)
 
+    plain = F.regexp_replace(F.regexp_replace(painted, "[^ ]", "1"), " ", "0")
+    return F.when(T.is_plain(painted), plain).otherwise(F.array_join(F.transform(_units(painted), mark), ""))
 
-def _filled(g: DataFrame) -> DataFrame:
-    return g.where(~T.is_blank("ch")).select(*BLOCK, "line_no", "rule", "ch", "at", "col", F.explode(F.expr("case when w = 2 then array(0, 1) when w = 1 then array(0) else array() end")).alias("k")).withColumn("cell", F.col("col") + F.col("k"))
 
+def gaps(bits: str | Column) -> Column:
+    """The runs [s, e) of columns without ink."""
+    bits = F.col(bits) if isinstance(bits, str) else bits
 
-def _gaps(filled: DataFrame, keys: tuple[str, ...], widths: DataFrame) -> DataFrame:
-    """Runs [s, e) of columns without ink below each key's width."""
-    order = Window.partitionBy(*keys).orderBy("cell")
-    ink = filled.select(*keys, "cell").distinct()
-    between = ink.withColumn("s", F.coalesce(F.lag("cell").over(order) + 1, F.lit(0))).where("s < cell").select(*keys, "s", F.col("cell").alias("e"), F.lit(False).alias("after"))
-    last = ink.groupBy(*keys).agg((F.max("cell") + 1).alias("s")).join(widths, list(keys)).where("s < width").select(*keys, "s", F.col("width").alias("e"), F.lit(True).alias("after"))
-    return between.union(last)
+    def found(a: Column) -> Column:
+        n = F.size(a)
+        here = F.sequence(F.lit(0), n - 1)
+        starts = F.filter(here, lambda i: (a[i] == "0") & ((i == 0) | (F.get(a, i - 1) == "1")))
+        ends = F.filter(here, lambda i: (a[i] == "0") & ((i == n - 1) | (F.get(a, i + 1) == "1")))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e + 1).alias("e")))
+
+    return F.when(bits == "", F.array().cast("array<struct<s:int,e:int>>")).otherwise(T.let(F.split(bits, ""), found))
+
+
+def _block_ink(content: DataFrame) -> DataFrame:
+    """Rows (doc_id, block, delim, width, bits): the columns of each block in which a content line has ink that is not the delimiter.
+
+    Lines are packed in words of WORD columns, so that a block is a bitwise or over words, combined before the shuffle.
+    """
+    other = F.when(F.col("delim").isNull(), F.col("painted")).otherwise(F.replace("painted", F.col("delim"), F.lit(" ")))
+    packed = F.transform(F.regexp_extract_all("bits", F.lit(f"[01]{{1,{WORD}}}"), F.lit(0)), lambda x: F.conv(F.rpad(x, WORD, "0"), 2, 10).cast("long"))
+    words = content.select(*BLOCK, "delim", ink(other).alias("bits")).select(*BLOCK, "delim", F.length("bits").alias("width"), F.posexplode(packed).alias("word", "set"))
+    words = words.groupBy(*BLOCK, "word").agg(F.bit_or("set").alias("set"), F.max("width").alias("width"), F.first("delim").alias("delim"))
+    blocks = words.groupBy(*BLOCK).agg(F.sort_array(F.collect_list(F.struct("word", "set"))).alias("words"), F.max("width").alias("width"), F.first("delim").alias("delim"))
+    joined = F.array_join(F.transform("words", lambda x: F.lpad(F.bin(x["set"]), WORD, "0")), "")
+    return blocks.select(*BLOCK, "delim", "width", F.left(joined, F.col("width")).alias("bits"))
 
 
-def column_ranges(g: DataFrame) -> DataFrame:
+def column_ranges(candidates: DataFrame) -> DataFrame:
     """Rows (doc_id, block, sep, delim, ranges): the column ranges [s, e) of each block, by delimiter or else by gaps; blocks without bounds have no row."""
-    delim = _delimiters(g)
-    filled = _filled(g)
-    content, rules = filled.where("not rule"), filled.where("rule")
-    widths = g.where("not rule").groupBy(*BLOCK).agg(F.max(F.col("col") + F.col("w")).alias("width"))
-    is_delim = (F.col("ch") == F.col("delim")) & (F.col("k") == 0)
-    bounds = content.join(delim, list(BLOCK)).groupBy(*BLOCK, "delim", "cell").agg(F.countDistinct(F.when(is_delim, F.col("line_no"))).alias("hits"), F.max((~is_delim).cast("int")).alias("other")).where("hits >= 2 and other = 0")
-    cuts = bounds.groupBy(*BLOCK, "delim").agg(F.sort_array(F.collect_list("cell")).alias("cuts")).join(widths, list(BLOCK))
-    by_delim = cuts.select(*BLOCK, F.lit("delimited").alias("sep"), "delim", F.expr("transform(sequence(0, size(cuts)), i -> named_struct('s', case when i = 0 then 0 else cuts[i - 1] + 1 end, 'e', case when i = size(cuts) then greatest(width, cuts[i - 1] + 1) else cuts[i] end))").alias("ranges"))
-    line_widths = g.where("rule").groupBy(*BLOCK, "line_no").agg(F.max(F.col("col") + F.col("w")).alias("width"))
-    rule_gaps = _gaps(rules, (*BLOCK, "line_no"), line_widths).where(f"not after and s > 0 and e - s >= {LEAST_GAP}").select(*BLOCK, F.col("s").alias("rs"), F.col("e").alias("re"))
-    gaps = _gaps(content.join(delim, list(BLOCK), "left_anti"), BLOCK, widths)
-    wide_enough = gaps.where(f"e - s >= {LEAST_GAP}")
-    near = gaps.where("e - s = 1").join(rule_gaps, list(BLOCK)).where(f"s <= re + {NEAR} and e + {NEAR} >= rs").select(*gaps.columns).distinct()
-    by_gap = wide_enough.union(near).groupBy(*BLOCK).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("gaps")).join(widths, list(BLOCK))
-    spans = "filter(transform(sequence(0, size(gaps)), i -> named_struct('s', case when i = 0 then 0 else gaps[i - 1].e end, 'e', case when i = size(gaps) then width else gaps[i].s end)), r -> r.s < r.e)"
-    return by_delim.union(by_gap.select(*BLOCK, F.lit("spaced").alias("sep"), F.lit(None).cast("string").alias("delim"), F.expr(spans).alias("ranges")))
+    content, rules = candidates.where("not rule"), candidates.where("rule")
+    blocks = _block_ink(content)
+    at = T.let(grid("painted"), lambda g: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.endswith(g[i], F.col("delim"))))
+    hits = content.where("delim is not null").select(*BLOCK, F.explode(at).alias("at")).groupBy(*BLOCK, "at").count().where("count >= 2")
+    hits = hits.groupBy(*BLOCK).agg(F.sort_array(F.collect_list("at")).alias("hits"))
+    inner = T.let(ink("painted"), lambda bits: F.filter(gaps(bits), lambda g: (g["s"] > 0) & (g["e"] < F.length(bits)) & (g["e"] - g["s"] >= LEAST_GAP)))
+    breaks = rules.select(*BLOCK, F.explode(inner).alias("gap")).distinct().groupBy(*BLOCK).agg(F.collect_list("gap").alias("breaks"))
+    rows = blocks.join(hits, list(BLOCK), "left").join(breaks, list(BLOCK), "left")
+    cuts = T.let(F.split("bits", ""), lambda a: F.filter("hits", lambda c: a[c] == "0"))
+    near = lambda g: F.exists(F.coalesce("breaks", F.array()), lambda r: (g["s"] <= r["e"] + NEAR) & (g["e"] + NEAR >= r["s"]))
+    apart = F.filter(gaps("bits"), lambda g: (g["e"] - g["s"] >= LEAST_GAP) | near(g))
+    rows = rows.select(*BLOCK, "delim", "width", F.when(F.col("delim").isNotNull(), cuts).alias("cuts"), F.when(F.col("delim").isNull(), apart).alias("gaps"))
+    by_delim = F.expr("transform(sequence(0, size(cuts)), i -> named_struct('s', case when i = 0 then 0 else cuts[i - 1] + 1 end, 'e', case when i = size(cuts) then greatest(width, cuts[i - 1] + 1) else cuts[i] end))")
+    by_gap = F.expr("filter(transform(sequence(0, size(gaps)), i -> named_struct('s', case when i = 0 then 0 else gaps[i - 1].e end, 'e', case when i = size(gaps) then width else gaps[i].s end)), r -> r.s < r.e)")
+    sep = F.when(F.col("delim").isNotNull(), F.lit("delimited")).otherwise(F.lit("spaced"))
+    return rows.where("size(coalesce(cuts, array())) > 0 or size(coalesce(gaps, array())) > 0").select(*BLOCK, sep.alias("sep"), "delim", F.when(F.col("delim").isNotNull(), by_delim).otherwise(by_gap).alias("ranges"))
 
 
 def recover(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,33 +121,27 @@ def recover(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     row is the head, with a rule or without. A row whose first cell is empty continues the one above, unless a rule stands between.
     """
     candidates = stored(candidate_lines(lines), "candidates")
-    g = stored(glyphs(candidates), "glyphs")
-    ranges = stored(column_ranges(g), "ranges")
-    placed = g.where("not rule").join(ranges.select(*BLOCK, "ranges"), list(BLOCK)).withColumn("range_no", F.expr("size(filter(ranges, r -> r.s <= col)) - 1")).where("range_no >= 0 and col < ranges[range_no].e")
-    text = T.trim_ws(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "ch"))), lambda x: x.ch), ""))
-    slices = placed.groupBy(*BLOCK, "line_no", "range_no").agg(text.alias("text")).where("text != ''")
-    dense = Window.partitionBy(*BLOCK).orderBy("range_no")
-    slices = stored(slices.withColumn("col_no", F.dense_rank().over(dense) - 1), "slices")
-    rule_marks = candidates.where("rule").select(*BLOCK, "line_no", F.lit(True).alias("is_rule"), F.lit(None).cast("boolean").alias("first"))
-    row_marks = slices.groupBy(*BLOCK, "line_no").agg(F.max((F.col("col_no") == 0)).alias("first")).select(*BLOCK, "line_no", F.lit(False).alias("is_rule"), "first")
+    ranges = column_ranges(candidates).select(*BLOCK, "sep", "ranges")
+    cut = T.let(grid("painted"), lambda g: F.transform("ranges", lambda r: T.trim_ws(F.array_join(F.slice(g, r["s"] + 1, r["e"] - r["s"]), ""))))
+    cut = candidates.join(ranges, list(BLOCK)).select(*BLOCK, "line_no", "rule", "sep", "delim", F.when(~F.col("rule"), cut).alias("parts"))
+    cut = stored(cut.where("rule or exists(parts, x -> x != '')"), "slices")
+    used = cut.where("not rule").select(*BLOCK, F.explode(F.expr("filter(sequence(0, size(parts) - 1), i -> parts[i] != '')")).alias("range_no"))
+    used = used.groupBy(*BLOCK).agg(F.sort_array(F.collect_set("range_no")).alias("used")).where("size(used) >= 2")
     order = Window.partitionBy(*BLOCK).orderBy("line_no")
-    marks = rule_marks.union(row_marks).withColumn("part", F.sum(F.col("is_rule").cast("int")).over(order)).where("not is_rule")
+    marks = cut.join(used, list(BLOCK)).withColumn("cells", F.expr("transform(used, k -> parts[k])")).withColumn("first", F.expr("cells[0] != ''"))
+    marks = marks.withColumn("part", F.sum(F.col("rule").cast("int")).over(order)).where("not rule")
     before = Window.partitionBy(*BLOCK, "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.withColumn("new", F.col("first") | ~F.coalesce(F.max("first").over(before), F.lit(False))).withColumn("row_no", F.sum(F.col("new").cast("int")).over(order) - 1)
+    marks = marks.withColumn("new", F.col("first") | ~F.coalesce(F.max("first").over(before), F.lit(False))).withColumn("row_no", (F.sum(F.col("new").cast("int")).over(order) - 1).cast("int"))
     join = lambda a, x: F.when(a == "", x).when(a.rlike(r"[-/\x{200C}]\z") | x.startswith("/"), F.concat(a, x)).otherwise(F.concat(a, F.lit(" "), x))
-    lines_of = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text)
-    cells = slices.join(marks.select(*BLOCK, "line_no", "row_no"), [*BLOCK, "line_no"]).groupBy(*BLOCK, "row_no", "col_no").agg(F.aggregate(lines_of, F.lit(""), join).alias("text"))
-    cells = stored(cells, "cells")
-    rows = cells.groupBy(*BLOCK, "row_no").agg(F.count("*").alias("n"))
-    shape = rows.groupBy(*BLOCK).agg(F.count("*").alias("rows"), F.count_if(F.col("n") >= 2).alias("full")).where("rows >= 2 and full >= 2")
-    shape = shape.join(cells.groupBy(*BLOCK).agg((F.max("col_no") + 1).alias("columns")), list(BLOCK)).where("columns >= 2")
+    merged = marks.groupBy(*BLOCK, "row_no").agg(F.first("sep").alias("sep"), F.first("delim").alias("delim"), F.first(F.size("used")).alias("columns"), F.sort_array(F.collect_list(F.struct("line_no", "cells"))).alias("m"))
+    texts = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda k: F.aggregate(F.filter(F.transform("m", lambda x: x["cells"][k]), lambda x: x != ""), F.lit(""), join))
+    rows = stored(merged.select(*BLOCK, "row_no", "sep", "delim", "columns", texts.alias("cells")), "rows")
+    shape = rows.groupBy(*BLOCK).agg(F.first("sep").alias("sep"), F.first("delim").alias("delim"), F.first("columns").alias("columns"), F.count("*").alias("rows"), F.count_if(F.expr("size(filter(cells, x -> x != '')) >= 2")).alias("full")).where("rows >= 2 and full >= 2")
     extent = candidates.groupBy(*BLOCK).agg(F.min("line_no").alias("start"), (F.max("line_no") + 1).alias("end"), F.max(T.is_frame("painted")).alias("framed"))
-    found = shape.join(ranges.select(*BLOCK, "sep", "delim"), list(BLOCK)).join(extent, list(BLOCK))
+    found = shape.join(extent, list(BLOCK))
     found = stored(found.withColumn("table_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1), "tables")
-    grid = found.select("doc_id", "block", "table_id", F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("row_no"), "columns").select("doc_id", "block", "table_id", "row_no", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("col_no"))
-    full = grid.join(cells, [*BLOCK, "row_no", "col_no"], "left").select("doc_id", "table_id", "row_no", "col_no", (F.col("row_no") == 0).alias("head"), F.coalesce("text", F.lit("")).alias("text"))
-    full = stored(full, "grid")
-    return found.select("doc_id", "table_id", "start", "end", "columns", "sep", "delim", "framed"), full
+    cells = rows.select(*BLOCK, "row_no", "cells").join(found.select(*BLOCK, "table_id"), list(BLOCK)).select("doc_id", "table_id", "row_no", (F.col("row_no") == 0).alias("head"), F.posexplode("cells").alias("col_no", "text"))
+    return found.select("doc_id", "table_id", "start", "end", "columns", "sep", "delim", "framed"), cells.select("doc_id", "table_id", "row_no", "col_no", "head", "text")
 
 
 def directed_cells(cells: DataFrame, doc_dirs: DataFrame) -> DataFrame:
