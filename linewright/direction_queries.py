@@ -13,6 +13,7 @@ from .plans.batch import dump
 from .plans.pipeline import Analysis, analyse
 from .queries import _MIXED, _MIXED_MARKED, _mixed, q, query, read, sql_prose, sql_runs, sql_walk
 from .streaming.captures import latest
+from .streaming.pages import claims, parent_history
 
 _SIDE = "CASE WHEN {r} > {l} THEN 'rtl' ELSE 'ltr' END"
 
@@ -246,3 +247,25 @@ def page_card_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user the latest text."""
     return latest(read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "ts", F.col("event_type").alias("text")), "ts")
+
+
+# Targets that come and go, lists whose items change: the tables of events as what the streams see.
+
+
+@query("""WITH marked AS (SELECT user_id, event_id, value < 10 AS gone, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, value < 10 ORDER BY event_id) AS island FROM events),
+firsts AS (SELECT user_id, gone, island, min(event_id) AS seq FROM marked GROUP BY ALL)
+SELECT user_id AS target_id, seq, CASE WHEN gone THEN 'release' ELSE 'attach' END AS action FROM firsts WHERE NOT gone OR seq > (SELECT min(event_id) FROM events WHERE events.user_id = firsts.user_id)""")
+def target_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user's target is attached and released; events of small value detach it."""
+    return claims(read(spark, sf_dir, "events").select(F.col("user_id").alias("target_id"), F.col("event_id").alias("seq"), (F.col("value") < 10).alias("detached")))
+
+
+@query("""WITH changes AS (SELECT user_id AS parent_id, event_id AS seq, value < 5 AS removed, event_id % 3 = 0 AND 4 >= 0.4 * (4 + len(regexp_extract_all(event_type, '[A-Za-z]'))) AS rtl,
+  lead(event_id) OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id) AS next FROM events),
+counted AS (SELECT e.parent_id, e.seq, count(c.seq) AS items, count(c.seq) FILTER (c.rtl) AS rtl_items FROM changes AS e LEFT JOIN changes AS c ON c.parent_id = e.parent_id AND NOT c.removed AND c.seq <= e.seq AND (c.next IS NULL OR c.next > e.seq) GROUP BY e.parent_id, e.seq)
+SELECT *, CASE WHEN items > 0 AND 2 * rtl_items >= items THEN 'rtl' END AS dir, rtl_items > 0 AS marked FROM counted""")
+def parent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of each user after each event, which puts, changes or (of small value) removes one of seven items."""
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("سلام "), "event_type")).otherwise(F.col("event_type"))
+    changes = read(spark, sf_dir, "events").select(F.col("user_id").alias("parent_id"), (F.col("event_id") % 7).alias("child_id"), F.col("event_id").alias("seq"), text.alias("text"), (F.col("value") < 5).alias("removed"))
+    return parent_history(changes, F.expr("seq div 500"))

@@ -33,8 +33,8 @@ _PIECE = r"(?s)<!--.*?(?:-->|\z)|(?i:<(script|style|textarea)\b[^>]*+>.*?(?:</\1
 
 
 def classify(text: str | Column) -> Column:
-    """rtl, ltr, or null without a right-to-left letter."""
-    text = F.col(text) if isinstance(text, str) else text
+    """rtl, ltr, or null without a right-to-left letter (as of a null text)."""
+    text = F.coalesce(text, F.lit(""))
     return sided(F.regexp_count(text, F.lit(f"[{RTL_LETTERS}]")), F.regexp_count(text, F.lit(f"[{LTR_LETTERS}]")))
 
 

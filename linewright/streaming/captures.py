@@ -1,4 +1,4 @@
-"""Captures as a stream: what a trigger does, analysis batch by batch, lists whose items change."""
+"""Captures as a stream: what a trigger does, analysis batch by batch."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import trim_ws
-from ..operators.web import classify
 from ..options import Options
 from ..plans.pipeline import Analysis, analyse
 
@@ -54,11 +53,6 @@ def analyse_stream(captures: DataFrame, sink: Callable[[Analysis, int], None], c
     return captures.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def new_targets(targets: DataFrame, event_time: str, late: str = "10 minutes") -> DataFrame:
-    """Each target id of a stream once, within the watermark."""
-    return targets.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["target_id"])
-
-
 def trigger_stream(events: DataFrame, key: str) -> DataFrame:
     """Rows (key, event_id, action) for a stream of events (key, event_id, visible, pinned, selected, text): the last text of each key is state, events of a batch follow each other by event_id.
 
@@ -79,19 +73,3 @@ def trigger_stream(events: DataFrame, key: str) -> DataFrame:
 
     kind = events.schema[key].dataType.simpleString()
     return events.groupBy(key).applyInPandasWithState(act, f"{key} {kind}, event_id long, action string", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def list_direction_stream(items: DataFrame) -> DataFrame:
-    """Rows (list_id, items, rtl_items, dir) for a stream of items (list_id, item_id, text), in update mode: when an item comes again with another text, its list is given anew."""
-
-    def recount(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for frame in frames:
-            known.update(zip(frame["item_id"].tolist(), frame["rtl"].tolist(), strict=True))
-        state.update((list(known), list(known.values())))
-        right = sum(known.values())
-        yield pd.DataFrame({"list_id": [own[0]], "items": [len(known)], "rtl_items": [right], "dir": ["rtl" if 2 * right >= len(known) else None]})
-
-    judged = items.select("list_id", "item_id", F.coalesce(classify("text") == "rtl", F.lit(False)).alias("rtl"))
-    kinds = {c: items.schema[c].dataType.simpleString() for c in ("list_id", "item_id")}
-    return judged.groupBy("list_id").applyInPandasWithState(recount, f"list_id {kinds['list_id']}, items long, rtl_items long, dir string", f"ids array<{kinds['item_id']}>, rtl array<boolean>", "update", GroupStateTimeout.NoTimeout)

@@ -52,24 +52,6 @@ def test_a_dismissed_text_is_not_the_last_one(spark):
     assert [r["a"] for r in told.orderBy("n").select(streams.trigger_action("visible", "pinned", "selected", "text", "last_text").alias("a")).collect()] == ["update", "dismiss", "dismiss"]
 
 
-def test_a_list_is_given_anew_when_an_item_changes(spark, tmp_path):
-    schema = "list_id long, item_id long, text string"
-    spark.createDataFrame([(1, 1, "سلام"), (1, 2, "latin"), (1, 3, "words"), (2, 1, "x")], schema).repartition(1).write.json(f"{tmp_path}/in")
-    query, name = run(streams.list_direction_stream(spark.readStream.schema(schema).json(f"{tmp_path}/in")), "update", f"{tmp_path}/cp")
-    spark.createDataFrame([(1, 2, "دنیا"), (3, 1, "خوب")], schema).repartition(1).write.mode("append").json(f"{tmp_path}/in")
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(tuple(r) for r in spark.table(name).collect()) == sorted([(1, 3, 1, None), (2, 1, 0, None), (1, 3, 2, "rtl"), (3, 1, 1, "rtl")], key=str) or sorted(map(str, map(tuple, spark.table(name).collect()))) == sorted(map(str, [(1, 3, 1, None), (2, 1, 0, None), (1, 3, 2, "rtl"), (3, 1, 1, "rtl")]))
-
-
-def test_targets_come_once(spark, tmp_path):
-    schema = "target_id string, at timestamp"
-    spark.sql("SELECT * FROM VALUES ('a', timestamp'2024-01-01 00:00:00'), ('b', timestamp'2024-01-01 00:00:01'), ('a', timestamp'2024-01-01 00:00:02') AS t(target_id, at)").write.json(f"{tmp_path}/in")
-    query, name = run(streams.new_targets(spark.readStream.schema(schema).json(f"{tmp_path}/in"), "at"), "append", f"{tmp_path}/cp")
-    query.stop()
-    assert sorted(r["target_id"] for r in spark.table(name).collect()) == ["a", "b"]
-
-
 def test_latest_text_of_each_document(spark):
     rows = spark.createDataFrame([(1, 5, "zz"), (1, 9, "aa"), (2, 1, None), (3, 2, "b"), (3, 2, "c")], "doc_id long, at long, text string")
     assert sorted(tuple(r) for r in streams.latest(rows, "at").collect()) == [(1, "aa"), (2, None), (3, "c")]
