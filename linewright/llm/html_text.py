@@ -42,6 +42,8 @@ _CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt",
 MARK = "\ue000"
 #: Elements that frame a page and are not its text, wherever they stand.
 _FRAME = frozenset("head nav aside footer form".split())
+#: Words of names that say of an element inside an article that readers wrote it; for labels only.
+_READERS = frozenset("comment comments commentlist replies disqus".split())
 
 
 @dataclass
@@ -116,9 +118,9 @@ def marked(part: str) -> str:
 
 
 def labelled(page: str) -> tuple[list[Block], np.ndarray]:
-    """The blocks of a page with marks, without these, and which of them are main text: those with a mark, but for those in elements that frame a page."""
+    """The blocks of a page with marks, without these, and which of them are main text: those with a mark, but for those in elements that frame a page or that name themselves as readers' comments."""
     blocks = leaf_blocks(page)
-    label = np.array([MARK in b.text and not _FRAME.intersection(b.path) for b in blocks], float)
+    label = np.array([MARK in b.text and not _FRAME.intersection(b.path) and not any(x.partition(".")[2] in _READERS for x in b.path) for b in blocks], float)
     for b in blocks:
         b.text = _SPACE.sub(" ", b.text.replace(MARK, "")).strip()
     return [b for b in blocks if b.text], label[[bool(b.text) for b in blocks]]
@@ -136,7 +138,8 @@ def article_of(page: str) -> tuple[int, int] | None:
 
 
 def made_page(article: str, bag: list[str], rng: np.random.Generator) -> str:
-    """A page around the content of an article, with marks in the article only: templates with telling and with meaningless names, and other blocks around and inside."""
+    """A page around the content of an article, with marks in the article only: templates with telling, with meaningless and without names, and other blocks around and inside, readers' comments among them."""
+    nameless = rng.random() < 0.15
 
     def some(low: int, high: int) -> str:
         return " ".join(rng.choice(bag, int(rng.integers(low, high))))
@@ -145,6 +148,8 @@ def made_page(article: str, bag: list[str], rng: np.random.Generator) -> str:
         return choices[int(rng.integers(len(choices)))]
 
     def name(*words: str) -> str:
+        if nameless:
+            return ""
         word = pick(list(words)) if rng.random() < 0.55 else "".join(rng.choice(list("abcdefghijklmnoprstuvwxyz"), int(rng.integers(1, 8))))
         return f' {pick(["class", "class", "id"])}="{word}"'
 
@@ -190,6 +195,7 @@ def made_page(article: str, bag: list[str], rng: np.random.Generator) -> str:
             parts[k] += kinds[pick(["advert", "share", "side"])]()
     body = marked(parts[0]) + "".join(parts[1:])
     shell = pick(["article", "main", "div", "div", "div", "section", "td", ""])
+    body += draw("comments", 0.5)
     inner = body if not shell else f"<{shell}{name('post-content', 'content', 'story', 'entry', 'article-body', 'main-text', 'post') if shell != 'td' else ''}>{body}</{shell}>"
     above = draw("header", 0.4) + draw("menu", 0.8) + draw("notice", 0.25) + draw("crumbs", 0.2) + draw("advert", 0.4) + draw("side", 0.15)
     below = draw("share", 0.3) + draw("form", 0.2) + draw("comments", 0.45) + draw("side", 0.35) + draw("advert", 0.2) + draw("notice", 0.1) + draw("footer", 0.8)

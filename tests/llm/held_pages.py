@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from linewright.llm import html_text
 
@@ -39,3 +40,25 @@ def evaluate(network, pages, times=20):
             scores.append(2 * common / max(1, len(text.split()) + sum(len(x.split()) for x in want)))
         out[style] = round(sum(scores) / times, 3)
     return out
+
+
+#: Names of a block of readers' comments and of one comment; the second pair is in no list of the library.
+COMMENT_NAMES = {"telling": ("comments", "comment"), "unknown": ("zq-thread", "zq-entry"), "none": None}
+
+
+def evaluate_comments(network, pages, kind):
+    """The mean F1 of words over pages with one article, after readers' comments were put at its end; those are not wanted."""
+    rng, given, wanted = random.Random(1), [], []
+    bag = [w for p in pages[:50] for b in html_text.leaf_blocks(p) for w in re.findall(r"[^\W\d_]{2,}", b.text)]
+    outer, inner = (f' class="{x}"' for x in COMMENT_NAMES[kind]) if COMMENT_NAMES[kind] else ("", "")
+    some = lambda low, high: " ".join(rng.choice(bag) for _ in range(rng.randint(low, high)))
+    for page in pages:
+        start, end = html_text.article_of(page)
+        said = "".join(f"<div{inner}><p><b>{some(1, 2)}</b></p><p>{some(5, 60)}</p></div>" for _ in range(rng.randint(1, 5)))
+        given.append(f"{page[:end]}<section{outer}><h3>{some(1, 3)}</h3>{said}</section>{page[end:]}")
+        wanted.append(Counter(w for b in html_text.leaf_blocks(page[start:end]) for w in b.text.split()))
+    scores = []
+    for text, want in zip(html_text.main_text(network, given), wanted, strict=True):
+        got = Counter(text.split())
+        scores.append(2 * (got & want).total() / max(1, got.total() + want.total()))
+    return sum(scores) / len(scores)

@@ -555,8 +555,27 @@ def test_training_pages_know_their_main_text():
 
 def test_styles_that_training_never_makes():
     table = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
-    found = held_pages.evaluate(html_text.fit(table[:160]), table[160:])
+    network = html_text.fit(table[:160])
+    found = held_pages.evaluate(network, table[160:])
     assert min(found.values()) > 0.7 and sum(found.values()) / len(found) > 0.9, found
+    comments = {kind: held_pages.evaluate_comments(network, table[160:], kind) for kind in held_pages.COMMENT_NAMES}
+    assert min(comments.values()) > 0.9 and comments["telling"] > 0.99, comments
+
+
+def test_readers_comments_in_an_article_are_not_its_text():
+    page = PAGE.replace("</article>", '<section id="comments"><p>so true</p></section><div class="commentary">by us</div></article>')
+    for k in range(5):
+        for made in html_text.training_pages(page, k):
+            label = {b.text: y for b, y in zip(*html_text.labelled(made), strict=True)}
+            assert not label.get("so true", 0) and label["by us"] and label["Head & more"]
+
+
+def test_html_of_repeated_pages_and_other_columns(spark):
+    network = html_text.Network(html_text._new(np.random.default_rng(0)))
+    frame = spark.createDataFrame([(1, "u", PAGE, "x", 9), (1, "u", PAGE, "x", 9), (None, None, "<p>a", None, None)], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(html_text.extract(frame, network).collect(), key=str)
+    assert len(got) == 3 and got[0] == got[1] and html_text.extract(frame, network).columns == ["page_id", "url", "text", "n_chars"]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
 def test_html(spark):
