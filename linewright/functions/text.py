@@ -91,12 +91,31 @@ def is_blank(x: str | Column) -> Column:
     return _c(x).rlike(rf"^[{WS}]*\z")
 
 
+#: What an escape sequence passes without leaving its state, after ESC, ESC [, and ESC with an intermediate. CAN, SUB and ESC always leave.
+_AFTER_ESC, _AFTER_CSI, _AFTER_INTER = r"\x18\x1A\x1B\x20-\x7E", r"\x18\x1A\x1B\x40-\x7E", r"\x18\x1A\x1B\x30-\x7E"
+#: Strings that go up to their end, whatever they hold: OSC, and DCS, SOS, PM and APC.
+_STRINGS = r"\][^\x07\x18\x1A\x1B]*+\x07?|[PX^_][^\x18\x1A\x1B]*+"
+_ESCAPE = rf"\x1B[^{_AFTER_ESC}]*+(?:\[[^{_AFTER_CSI}]*+[\x40-\x7E]?|[\x20-\x2F][^{_AFTER_INTER}]*+[\x30-\x7E]?|{_STRINGS}|[\x30-\x7E])?[\x18\x1A]?"
+#: An escape sequence that passes a line feed, which stays.
+_ESCAPED_LINE = rf"\x1B[^{_AFTER_ESC}\n]*+(?:\n|\[[^{_AFTER_CSI}\n]*+\n|[\x20-\x2F][^{_AFTER_INTER}\n]*+\n)"
+
+
 def strip_escapes(x: str | Column) -> Column:
-    """Without terminal escape sequences (a sequence that does not end goes up to the end) and without controls but line feed, CR, tab and backspace. The private-use stand-ins of the last three become these."""
+    """Without terminal escape sequences and without controls but line feed, CR, tab and backspace. The private-use stand-ins of the last three become these.
+
+    A sequence is what the state machine of a terminal takes: CAN and SUB end it, ESC ends it and starts another, other characters that do not
+    belong in it are taken along, but line feeds, which stay where they are unless inside a string. One that does not end goes up to the end.
+    Each ESC starts a sequence, so those of a text are independent and one pass finds them.
+    """
     x = F.translate(_c(x), "\uE000\uE001\uE002", "\r\t\b")
-    for pattern in (r"\x1B\][^\x07\x1B]*(?:\x07|\x1B\\|\z)", r"(?s)\x1B[PX^_].*?(?:\x1B\\|\z)", r"\x1B\[[\x30-\x3F]*[\x20-\x2F]*[\x40-\x7E]", r"\x1B[\x20-\x2F]*[\x30-\x7E]", r"[\x00-\x07\x0B\x0C\x0E-\x1F\x7F]"):
-        x = F.regexp_replace(x, pattern, "")
-    return F.replace(x, F.lit("\r\n"), F.lit("\n"))
+
+    def lines_of(piece: Column) -> Column:
+        return F.when(piece.startswith("\x1B"), F.regexp_replace(F.regexp_replace(piece, rf"(?s)^(\x1B[^{_AFTER_ESC}]*+)[PX^_\]].*", "$1"), r"[^\n]++", "")).otherwise(piece)
+
+    # After each sequence what is left up to the next ESC is a piece of its own.
+    pieces = F.array_join(F.transform(F.regexp_extract_all(x, F.lit(rf"{_ESCAPE}|[^\x1B]++"), F.lit(0)), lines_of), "")
+    x = F.when(~F.contains(x, F.lit("\x1B")), x).when(x.rlike(_ESCAPED_LINE), pieces).otherwise(F.regexp_replace(x, _ESCAPE, ""))
+    return F.replace(F.regexp_replace(x, r"[\x00-\x07\x0B\x0C\x0E-\x1F\x7F]", ""), F.lit("\r\n"), F.lit("\n"))
 
 
 def replay_cursor(line: Column) -> Column:

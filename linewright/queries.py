@@ -199,6 +199,22 @@ def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), T.clean(raw).alias("text"))
 
 
+_SEQUENCE = "CASE event_id % 11 WHEN 0 THEN '[1;31m' WHEN 1 THEN '[3' || {n} || '1' WHEN 2 THEN ']8;;http://x' || {n} || {bel} WHEN 3 THEN ']0;title ' WHEN 4 THEN 'Pq#0' || {n} WHEN 5 THEN '(B' WHEN 6 THEN '[12' || {can} WHEN 7 THEN '^note' || {sub} WHEN 8 THEN {n} || '[2J' WHEN 9 THEN '# 7é' ELSE '[4é;2' END"
+_NEXT = "CASE event_id % 7 WHEN 0 THEN {esc} || {st} WHEN 1 THEN {esc} || '[0m' WHEN 2 THEN '' WHEN 3 THEN {esc} || {esc} || 'c' ELSE {can} END"
+_CHARACTERS = {"n": 10, "bel": 7, "can": 24, "sub": 26, "esc": 27, "st": 92}
+_ESCAPED = f"event_type || {{esc}} || {_SEQUENCE} || user_id || {_NEXT} || ' end ' || event_id"
+_SEQUENCES_SQL = r"""list_transform(string_split(raw, chr(27)), lambda p, i: CASE WHEN i = 1 THEN p
+  WHEN regexp_matches(p, '^[^\x18\x1A\x20-\x7E]*[\]PX^_]') THEN regexp_replace(regexp_extract(p, '^[^\x18\x1A\x20-\x7E]*'), '[^\n]', '', 'g') || regexp_replace(p, '(?s)^[^\x18\x1A\x20-\x7E]*(?:\][^\x07\x18\x1A]*[\x07\x18\x1A]?|[PX^_][^\x18\x1A]*[\x18\x1A]?)', '')
+  ELSE list_transform([regexp_extract(p, '^[^\x18\x1A\x20-\x7E]*(?:[\x18\x1A]|\[[^\x18\x1A\x40-\x7E]*[\x18\x1A\x40-\x7E]?|[\x20-\x2F][^\x18\x1A\x30-\x7E]*[\x18\x1A\x30-\x7E]?|[\x30-\x7E])?')], lambda m: regexp_replace(m, '[^\n]', '', 'g') || substr(p, length(m) + 1))[1] END)"""
+
+
+@query(f"SELECT doc_id, regexp_replace(array_to_string({_SEQUENCES_SQL}, ''), '[\\x00-\\x07\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS text FROM (SELECT event_id AS doc_id, {_ESCAPED.format(**{k: f'chr({v})' for k, v in _CHARACTERS.items()})} AS raw FROM events)")
+def escape_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without their escape sequences, of which some do not end, are cancelled, or have others or line feeds inside."""
+    raw = F.expr(_ESCAPED.format(**{k: f"char({v})" for k, v in _CHARACTERS.items()}))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), T.strip_escapes(raw).alias("text"))
+
+
 @query("SELECT c_custkey AS doc_id, 'یک ' || c_name || ' لا الله ی' AS text FROM customer")
 def fold_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presentation forms and Arabic letters folded."""
