@@ -11,7 +11,7 @@ from .operators import render, web
 from .operators.lines import analysed_lines
 from .plans.batch import dump
 from .plans.pipeline import Analysis, analyse
-from .queries import _MIXED, _MIXED_MARKED, _mixed, q, query, read, sql_prose, sql_runs, sql_walk
+from .queries import _MIXED, _MIXED_MARKED, _mixed, q, query, read, sql_prose, sql_runs, sql_width, sql_walk
 from .streaming.captures import latest
 from .streaming.pages import claims, parent_history
 
@@ -39,7 +39,7 @@ base AS (SELECT c_custkey // 8 AS doc_id, row_number() OVER (PARTITION BY c_cust
 raw AS (SELECT doc_id, row_no, unnest(t) AS text, generate_subscripts(t, 1) - 1 AS col_no FROM (SELECT * FROM base UNION ALL SELECT DISTINCT doc_id, 0, ['{_HEADS[0]}', '{_HEADS[1]}', '{_HEADS[2]}'] FROM base)),
 counted AS (SELECT *, {sql_runs('text', 'ltr')} AS l, {sql_runs('text', 'rtl')} AS r FROM raw),
 cells AS (SELECT doc_id, row_no, col_no, text, {_SIDE.format(l='l', r='r')} AS dir, CASE WHEN sum(r) OVER (PARTITION BY doc_id, col_no) > sum(l) OVER (PARTITION BY doc_id, col_no) THEN 'rtl' ELSE 'ltr' END AS align,
-  CASE WHEN sum(r) OVER (PARTITION BY doc_id) > sum(l) OVER (PARTITION BY doc_id) THEN 'rtl' ELSE 'ltr' END AS table_dir, max(length(text)) OVER (PARTITION BY doc_id, col_no) AS w FROM counted)"""
+  CASE WHEN sum(r) OVER (PARTITION BY doc_id) > sum(l) OVER (PARTITION BY doc_id) THEN 'rtl' ELSE 'ltr' END AS table_dir, max({sql_width('text')}) OVER (PARTITION BY doc_id, col_no) AS w FROM counted)"""
 
 
 @query(f"WITH {_CELLS} SELECT doc_id, CAST(row_no AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, row_no = 0 AS head, dir, align, table_dir, text FROM cells")
@@ -51,7 +51,7 @@ def table_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_drawn(cell: str) -> str:
     edge = lambda a, b, c: f"(SELECT '{a}' || string_agg(repeat('─', CAST(w + 2 AS INT)), '{b}' ORDER BY col_no) || '{c}' FROM cells c2 WHERE c2.doc_id = rows.doc_id AND c2.row_no = 0)"
-    return f"""WITH {_CELLS}, rows AS (SELECT doc_id, row_no, '│ ' || string_agg({cell} || repeat(' ', CAST(w - length(text) AS INT)), ' │ ' ORDER BY col_no) || ' │' AS line FROM cells GROUP BY doc_id, row_no),
+    return f"""WITH {_CELLS}, rows AS (SELECT doc_id, row_no, '│ ' || string_agg({cell} || repeat(' ', CAST(w - {sql_width('text')} AS INT)), ' │ ' ORDER BY col_no) || ' │' AS line FROM cells GROUP BY doc_id, row_no),
 heads AS (SELECT doc_id, line, {edge('┌', '┬', '┐')} AS top, {edge('├', '┼', '┤')} AS middle, {edge('└', '┴', '┘')} AS bottom FROM rows WHERE row_no = 0),
 bodies AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY row_no) AS body FROM rows WHERE row_no > 0 GROUP BY doc_id)
 SELECT doc_id, top || chr(10) || line || chr(10) || middle || chr(10) || body || chr(10) || bottom AS out FROM heads JOIN bodies USING (doc_id)"""
@@ -109,8 +109,8 @@ def table_wrapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.col("col_no").cast("long").alias("col_no"), "head", "text")
 
 
-@query(f"""WITH {_ALIGNED}, wide AS (SELECT *, max(length(text)) OVER (PARTITION BY doc_id, col_no) AS w FROM cells),
-rows AS (SELECT doc_id, row_no, rtrim(string_agg(rpad(text, CAST(w AS INT), ' '), '  ' ORDER BY col_no)) || CASE WHEN row_no = 0 THEN chr(10) || string_agg(repeat('─', CAST(w AS INT)), '  ' ORDER BY col_no) ELSE '' END AS line FROM wide GROUP BY doc_id, row_no)
+@query(f"""WITH {_ALIGNED}, wide AS (SELECT *, max({sql_width('text')}) OVER (PARTITION BY doc_id, col_no) AS w FROM cells),
+rows AS (SELECT doc_id, row_no, rtrim(string_agg(text || repeat(' ', CAST(w - {sql_width('text')} AS INT)), '  ' ORDER BY col_no)) || CASE WHEN row_no = 0 THEN chr(10) || string_agg(repeat('─', CAST(w AS INT)), '  ' ORDER BY col_no) ELSE '' END AS line FROM wide GROUP BY doc_id, row_no)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY row_no) AS out FROM rows GROUP BY doc_id""")
 def table_spaced_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned tables drawn again."""

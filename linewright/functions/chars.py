@@ -59,6 +59,24 @@ def zero() -> str:
     return ranges(_all(lambda x: unicodedata.category(x) in ("Mn", "Me", "Cf", "Cc") and x != "\u00AD", range(0x110000)))
 
 
+#: Letters that join as lam and as alef, which together are one glyph.
+LAM, ALEF = r"\x{644}\x{6B5}-\x{6B8}\x{76A}\x{8A6}\x{8C7}", r"\x{622}\x{623}\x{625}\x{627}\x{671}-\x{673}\x{675}\x{773}\x{774}\x{870}-\x{882}"
+#: Skin tones, and signs other than symbols that can be shown as emoji.
+TONES, SIGNS = r"\x{1F3FB}-\x{1F3FF}", r"\x{203C}\x{2049}"
+
+
+@cache
+def marks() -> str:
+    """Combining marks without width."""
+    return ranges(_all(lambda x: unicodedata.category(x) in ("Mn", "Me"), range(0x110000)))
+
+
+@cache
+def symbols() -> str:
+    """What can be shown as emoji; unicodedata does not tell which symbols cannot."""
+    return ranges(_all(lambda x: unicodedata.category(x) in ("So", "Sm"), range(0xA0, 0x110000))) + SIGNS
+
+
 @cache
 def presentation_forms() -> tuple[tuple[str, str], ...]:
     """Arabic presentation forms and what they stand for, letters folded."""

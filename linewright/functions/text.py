@@ -9,7 +9,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .chars import DELIMITERS, FOLDED, RULES, STRAY, STRUCT, WS, presentation_forms, quick_text, strong, wide, zero
+from .chars import ALEF, DELIMITERS, FOLDED, LAM, RULES, STRAY, STRUCT, TONES, WS, marks, presentation_forms, quick_text, strong, symbols, wide, zero
 
 #: The kinds of code-like tokens, in order of precedence.
 TOKEN_KINDS = (
@@ -301,10 +301,22 @@ def is_plain(x: str | Column) -> Column:
     return _c(x).rlike(r"^[\x20-\x7E\x{A1}-\x{AC}\x{AE}-\x{2FF}\x{620}-\x{64A}\x{671}-\x{6D3}\x{2500}-\x{257F}]*+\z")
 
 
+def _sequences(x: Column) -> Column:
+    """The text with each sequence that is shown as one glyph as one character of its width."""
+    one = rf"[{symbols()}]\x{{FE0F}}?[{TONES}]?"
+    emoji = rf"{one}(?:\x{{200D}}{one})++|[{symbols()}](?:\x{{FE0F}}[{TONES}]?|[{TONES}])|[#*0-9]\x{{FE0F}}\x{{20E3}}?"
+    x = F.regexp_replace(x, rf"[{LAM}][{marks()}]*+[{ALEF}]", "\u0644")
+    return F.when(x.rlike(rf"[\x{{200D}}\x{{FE0E}}\x{{FE0F}}{TONES}]"), F.regexp_replace(F.regexp_replace(x, emoji, "\U0001F600"), rf"[{symbols()}]\x{{FE0E}}", "x")).otherwise(x)
+
+
 def width(x: str | Column) -> Column:
-    """Columns that a text takes: two for wide characters, none for marks, joiners and controls."""
+    """Columns that a text takes: two for wide characters and for emoji sequences, none for marks, joiners and controls, one for lam and alef together."""
+
+    def counted(s: Column) -> Column:
+        return F.length(s) - F.regexp_count(s, F.lit(f"[{zero()}]")) + F.regexp_count(s, F.lit(f"[{wide()}]"))
+
     x = _c(x)
-    return F.when(is_plain(x), F.length(x)).otherwise(F.length(x) - F.regexp_count(x, F.lit(f"[{zero()}]")) + F.regexp_count(x, F.lit(f"[{wide()}]")))
+    return F.when(is_plain(x), F.length(x) - F.regexp_count(x, F.lit(f"[{LAM}][{ALEF}]"))).otherwise(let(_sequences(x), counted))
 
 
 def ends_sentence(content: str | Column) -> Column:

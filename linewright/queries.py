@@ -64,6 +64,11 @@ def sql_prose(marked: str) -> str:
     return f"regexp_replace({marked}, chr(1) || '[^' || chr(2) || ']*' || chr(2), ' ', 'g')"
 
 
+def sql_width(text: str) -> str:
+    """The columns of a text without wide characters, marks and emoji; lam and alef are one."""
+    return f"(length({text}) - len(regexp_extract_all({text}, 'ل[اآأإ]')))"
+
+
 # Captures.
 
 _MIXED = "CASE p_partkey % 3 WHEN 0 THEN 'سلام دنیا ' || p_name WHEN 1 THEN p_name || ' in src/item_' || p_partkey || '.rs.' ELSE 'فایل data/part-' || p_partkey || '.csv را با --size=' || p_size || ' بساز' END"
