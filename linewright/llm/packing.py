@@ -20,8 +20,8 @@ END_ID = 2
 #: Tokens and pieces that one task packs; a shard leaves at most one sequence badly filled, so larger shards gain little.
 SHARD_TOKENS = 1 << 21
 SHARD_PIECES = 100_000
-#: Bytes of text that are encoded at once: the more, the fewer chunks are looked up twice.
-ENCODE_BYTES = 4_000_000
+#: Bytes of text that are encoded at once; what a slice takes besides its ids stays with the worker, whose allocators give little back.
+ENCODE_BYTES = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, seq long"
 
 

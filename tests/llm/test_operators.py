@@ -72,6 +72,18 @@ def test_cut_chunks_give_the_ids_of_whole_texts():
         assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts[at : at + 500])] == expected
 
 
+def test_chunks_are_kept_from_their_second_slice_on():
+    library, ours = Tokenizer.from_file(BPE), Encoder(BPE)
+    for k in range(6):
+        texts = [" ".join(["often", *(f"only{k}x{j}" for j in range(400))])] * 2
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts)] == expected
+        assert len(ours.memo) < 40  # "often" and a few whose hashes meet; not the 400 words that each slice has alone
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids(texts)] == expected
+    assert 400 <= len(ours.memo) < 440 and ours.known == len(ours.memo)
+
+
 def test_other_files_are_encoded_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     library, ours = Tokenizer.from_file(path), Encoder(path)
