@@ -45,12 +45,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
     The shorter word gives two disjoint chunks, the other all its grams with their places. One edit leaves a chunk as it is, at its place
     or one further (behind an insertion), so an equality join on lengths, place and gram finds every pair, and only such pairs are
     verified. A pair that meets in several ways counts at the first of them. The join has no key but these four; sorted partitions
-    that a frequent gram makes large are split by Spark. Words of fewer than two code points have no pairs.
+    that a frequent gram makes large are split by Spark, which is told to merge: it takes the grams for no larger than the stored words
+    that they come from and would send them through the driver. Words of fewer than two code points have no pairs.
     """
     words = words.where(F.length("word") >= 2)
     left = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.explode(chunks(F.col("word"))).alias("k")).select("a", "a_n", "k.*")
     right = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(grams(F.col("word"))).alias("k")).select("b", "b_n", "k.*")
-    met = left.join(right, ["n", "m", "pos", "gram"]).where("(n < m or a < b) and levenshtein(a, b, 1) = 1")
+    met = left.join(right.hint("merge"), ["n", "m", "pos", "gram"]).where("(n < m or a < b) and levenshtein(a, b, 1) = 1")
     q, at = F.floor(F.col("n") / 2).cast("int"), lambda word, p: F.substring(F.col(word), p + 1, F.floor(F.col("n") / 2).cast("int"))
     zero = F.lit(0)
     ways = [at("b", zero) == at("a", zero), at("b", zero + 1) == at("a", zero), at("b", q) == at("a", q)]
@@ -64,15 +65,15 @@ def spelling_groups(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     n_near counts the words one edit away. The form of a word is the most frequent of them (ties: the smallest), if it is at least
     `ratio` (more than 1) times as frequent; the root is where following forms ends, the word itself if it has none. Frequencies grow along the way,
     so it has no circle and few steps. Rows of the same word are added up, null words are left out, other columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows. Nothing that grows with the words is broadcast: stored words take several times their files' size in memory.
     """
     words = stored(words.where("word is not null").groupBy("word").agg(F.sum(F.coalesce("n", F.lit(0))).cast("long").alias("n")), "words")
     both = near_pairs(words).select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))).alias("p")).select("p.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("top"))
-    own = words.join(best, "word", "left")
+    own = words.join(best.hint("merge"), "word", "left")
     good = -F.col("top.minus") >= ratio * F.col("n")
     formed = stored(own.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("top.near")).alias("form"), F.when(good, -F.col("top.minus")).alias("form_n")), "forms")
-    return formed.join(roots(formed.where("form is not null").select("word", "form")), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return formed.join(roots(formed.where("form is not null").select("word", "form")).hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def roots(links: DataFrame) -> DataFrame:
     ends = stored(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = ends.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = stored(ends.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        joined = stored(ends.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         ends = joined.select("word", "root")
         if joined.where("moved").isEmpty():
             return ends

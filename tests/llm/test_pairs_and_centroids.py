@@ -90,6 +90,20 @@ def test_each_pair_is_met_once_and_chains_end(spark):
     assert spelling.spelling_groups(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_what_grows_with_the_words_is_not_broadcast(spark, adaptive):
+    """Spark takes the grams of words for no larger than the words' files."""
+    frame = spark.createDataFrame([("a" * k, 10**k) for k in range(6, 10)], "word string, n long")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        grouped = spelling.spelling_groups(frame)
+        assert grouped.count() == 4
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in (grouped, spelling.near_pairs(frame.groupBy("word").agg(F.sum("n").alias("n"))))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [("SortMergeJoin" in p, "Broadcast" in p) for p in plans] == [(True, False)] * 2
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
