@@ -54,6 +54,25 @@ def test_marks_behind_runs_of_any_length(spark):
     assert [(r["x"], r["m"]) for r in got if r["m"] != marked(r["x"])] == []
 
 
+def test_marks_behind_runs_of_several_kinds(spark):
+    """Units of tokens, parts of tokens and other characters, repeated; what stands behind them takes text of them or does not."""
+    rng = random.Random(11)
+    parts = [".", "..", "/", "-", "--", "_", "__", "::", "->", "()", "@", "é", "a", "b", "v1", "Q", "x1", "1", "12", "3", "deadbeef9", "0123456", "%", "+", "a.b", "a-b", "1.2", "_a", "b_", "x@y.z", "a1a1a1a1", "9a", "x_y"]
+    ends = ["", "=", "=x.y", "::b.c", "->q", "()=z", "(x.py)", " x.py", "://a b.c", ":\\x y.z", "http://a b.c"]
+    texts = list({rng.choice(["", " ", *parts]) + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) * rng.randrange(1, 9) + rng.choice(parts) + rng.choice(ends) for _ in range(20000)})
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", T.marked("x").alias("m")).collect()
+    assert [(r["x"], r["m"], marked(r["x"])) for r in got if r["m"] != marked(r["x"])] == []
+
+
+@pytest.mark.parametrize("unit", ["+@", "a-_", "a-_b-c_", "a1", "1a", "a.b%", "a.b@", "é", "a@b.c-", "-x_b_c"])
+@pytest.mark.parametrize("end", ["name=foo.bar", "", "://x y.z"])
+def test_runs_that_something_follows_take_few_tiles(spark, unit, end):
+    """A tile for each character, or a look at the whole run for each, would take time that grows with the square of the run."""
+    text = unit * (20_000 // len(unit)) + end
+    made = spark.createDataFrame([(text,)], "x string").select(F.size(T.tiles("x")).alias("n"), F.array_join(T.tiles("x"), "").alias("whole")).collect()[0]
+    assert made["whole"] == text and made["n"] < 12
+
+
 N = 1_000_000
 LONG = {
     "rule glyphs": "─" * N,
