@@ -1,8 +1,11 @@
-"""Queries read whole inputs: fences on later lines, lists apart from each other, tables whose number grows."""
+"""Queries read whole inputs: fences on later lines, lists apart from each other, tables whose number grows; none of it is broadcast."""
 
 import duckdb
 
 import __spark_entry__ as entry_points
+from linewright.operators import tables
+from linewright.plans import pipeline
+from linewright.storage import stored
 
 
 def test_fences_on_later_lines_and_past_30_characters(spark, tmp_path):
@@ -26,3 +29,23 @@ def test_each_list_has_its_own_direction(spark, tmp_path):
     assert got == [(1, 0, 4, 1, None), (1, 1, 1, 1, "rtl"), (1, 2, 2, 2, "rtl")]  # the third item has its inner list's text too
     theirs = duckdb.sql(entry_points.oracle_sql()["page_lists"].replace("FROM pages", f"FROM '{path}/*.parquet'")).fetchall()
     assert sorted(theirs) == got
+
+
+def test_no_relation_of_an_analysis_is_broadcast(spark, monkeypatch):
+    """Stored relations are small as files only: the lines of tables, once exploded, are as many as those of the captures."""
+    plans = {}
+
+    def planned(frame, label):
+        plans[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return stored(frame, label)
+
+    for module in (tables, pipeline):
+        monkeypatch.setattr(module, "stored", planned)
+    text = "name    size\n────    ────\none      1\ntwo      2\n\n│ a │ b │\n│ c │ d │"
+    out = pipeline.analyse(spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string"))
+    drawn = {"copied": out.copied(), "html": out.html(), "json": out.json(spark.createDataFrame([(0, "file")], "doc_id long, source string"))}
+    for name, frame in drawn.items():
+        assert len(frame.collect()) == 3
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+    assert {"folded", "cells", "rows", "tables", "slices", *drawn} <= set(plans)
+    assert [name for name, plan in plans.items() if "Broadcast" in plan] == []
